@@ -46,4 +46,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op9_mixing": op9_mixing,
 }
-ORACLES = {"op9_mixing": mixing.ORACLE}
+ORACLES = {
+    "op4_quality_rules": lines.oracle_rules(),
+    "op6_line_dedup": lines.oracle_drop(),
+    "op9_mixing": mixing.ORACLE,
+}
