@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, mixing
+from . import bpe, lines, minhash, mixing
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -40,11 +40,16 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op6_line_dedup": op6_line_dedup,
     "op9_mixing": op9_mixing,
+    "op10_minhash": op10_minhash,
 }
 ORACLES = {
     "op4_quality_rules": lines.oracle_rules(),
