@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, mil, minhash, mixing
+from . import bpe, crf, lines, mil, minhash, mixing
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -22,6 +22,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(n: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def held_out(n: int) -> Column:
+    """Of every n classes of ids one is never learned from."""
+    return F.coalesce(remainder(n) == 2, F.lit(False))
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = crf.fit_languages(docs.where(~held_out(4)).select("doc_id", "text", "lang"))
+    found = crf.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(4).alias("held_out"), "lang_pred", "score", "n_words")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
@@ -36,15 +52,6 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-def remainder(n: int) -> Column:
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
-
-
-def held_out(n: int) -> Column:
-    """Of every n classes of ids one is never learned from."""
-    return F.coalesce(remainder(n) == 2, F.lit(False))
-
-
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = mil.fit_quality(docs, table(spark, sf_dir, "labels").where(~held_out(4)))
@@ -61,6 +68,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
     "op2_bpe": op2_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op6_line_dedup": op6_line_dedup,
