@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, crf, lines, mil, minhash, mixing
+from . import bpe, covertree, crf, lines, mil, minhash, mixing
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -47,6 +47,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_frequent_words")
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = lines.drop_site_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), stats=True)
     return d.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_bpe": op2_bpe,
     "op4_quality_rules": op4_quality_rules,
+    "op5_topk": op5_topk,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality": op7_quality,
     "op9_mixing": op9_mixing,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES = {
     "op4_quality_rules": lines.oracle_rules(),
+    "op5_topk": covertree.ORACLE,
     "op6_line_dedup": lines.oracle_drop(),
     "op9_mixing": mixing.ORACLE,
 }
