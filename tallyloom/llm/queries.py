@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, crf, lines, mil, minhash, mixing
+from . import bpe, covertree, crf, lines, mil, minhash, mixing, recurrent
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -63,6 +63,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(4).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_passages", "top_passage")
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = recurrent.score_texts(docs, ~held_out(7))
+    return scored.select("doc_id", held_out(7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_topk": op5_topk,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality": op7_quality,
+    "op8_lm": op8_lm,
     "op9_mixing": op9_mixing,
     "op10_minhash": op10_minhash,
 }
