@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, crf, lines, mil, minhash, mixing, recurrent
+from . import bpe, covertree, crf, lines, mil, minhash, mixing, recurrent, suffix
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -42,6 +42,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
+def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removed_spans(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = lines.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_frequent_words")
@@ -80,6 +84,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_bpe": op2_bpe,
+    "op3_suffix": op3_suffix,
     "op4_quality_rules": op4_quality_rules,
     "op5_topk": op5_topk,
     "op6_line_dedup": op6_line_dedup,
