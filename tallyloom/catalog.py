@@ -1,4 +1,6 @@
 """The registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tallyloom.plans import registry, relational, texts  # noqa: F401
+
+QUERIES = registry.QUERIES
+ORACLES = registry.ORACLES
