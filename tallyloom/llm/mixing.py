@@ -36,7 +36,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], max_repeats: fl
     every = Window.partitionBy(F.lit(0))
     s = s.withColumn("cap_before", F.sum("cap").over(by_room) - F.col("cap")).withColumn("w_before", F.sum("w").over(by_room) - F.col("w"))
     s = s.withColumn("level", (F.sum("size").over(every).cast("double") - F.col("cap_before")) / (F.sum("w").over(every) - F.col("w_before")))
-    s = s.withColumn("level", F.min(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level"))).over(every))
+    s = s.withColumn("level", F.max(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level"))).over(every))
     return s.select("key", "source", F.col("size").alias("source_size"), F.least("cap", F.col("level") * F.col("w")).alias("target"))
 
 
@@ -102,7 +102,7 @@ WITH d AS (
   SELECT *, (CAST(sum(size) OVER () AS DOUBLE) - (sum(cap) OVER o - cap)) / (sum(w) OVER () - (sum(w) OVER o - w)) AS level
   FROM w WINDOW o AS (ORDER BY cap / w, key)
 ), l AS (
-  SELECT min(level) AS level FROM f WHERE level <= cap / w
+  SELECT max(level) AS level FROM f WHERE level <= cap / w
 ), t AS (
   SELECT key, f.size AS source_size, least(cap, l.level * w) AS target FROM f, l
 ), p AS (
