@@ -185,7 +185,7 @@ class LanguageCRF:
         n, k = len(offsets) - 1, len(self.labels)
         buf = folded(raw)
         text, which, starts, sizes, keys = distinct_words(buf, offsets)
-        if not len(text):
+        if not len(text) or not k:
             return np.zeros((n, k)), np.zeros(n, np.int64)
         f = Features(buf, starts, sizes)
         emit = self.emissions(f, self.entries(keys))
