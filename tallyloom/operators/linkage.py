@@ -15,12 +15,13 @@ def token_candidates(left: DataFrame, right: DataFrame, *, left_id: str, right_i
     return a.join(b, [*block, "_t"]).select(left_id, right_id).distinct()
 
 
-def fuzzy_link(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, core_left: str, core_right: str, left_tokens: str, right_tokens: str, block: list[str], threshold: float = 88, boost: Column | None = None) -> DataFrame:
+def fuzzy_link(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, core_left: str, core_right: str, left_tokens: str, right_tokens: str, block: list[str], threshold: float = 88, boost: Column | None = None, apart: Column | None = None) -> DataFrame:
     """The best candidate of each left row with score >= threshold; a tie at the top links nothing unless ids agree in order.
 
-    Only the best score is tested. boost adds to the score (100 at most).
+    Only the best score is tested. boost adds to the score (100 at most). apart: the pairs that may be linked.
     """
     pairs = token_candidates(left, right, left_id=left_id, right_id=right_id, left_tokens=left_tokens, right_tokens=right_tokens, block=block)
+    pairs = pairs if apart is None else pairs.where(apart)
     wide = pairs.join(left.select(left_id, core_left), left_id).join(right.select(right_id, core_right), right_id)
     score = token_sort_ratio(F.col(core_left), F.col(core_right))
     scored = wide.withColumn("score", score if boost is None else F.least(F.lit(100.0), score + boost))

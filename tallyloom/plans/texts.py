@@ -35,9 +35,9 @@ def core_tokens(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.array_join(core, " ").alias("core"), F.size(X.significant_tokens(core)).alias("n_significant"))
 
 
-@query(f"SELECT doc_id, trim(regexp_extract(coalesce('X (' || substr({HEAD}, 1, 12) || ') y', ''), '\\(([^)]*)\\)', 1)) AS inside FROM documents")
+@query(f"SELECT doc_id, trim(regexp_extract(coalesce('X (' || {HEAD} || ') y', ''), '\\(([^)]*)\\)', 1)) AS inside FROM documents")
 def title_paren(t: Tables) -> DataFrame:
-    return _head(t).select("doc_id", X.parenthesised(F.concat(F.lit("X ("), F.substring("head", 1, 12), F.lit(") y"))).alias("inside"))
+    return _head(t).select("doc_id", X.parenthesised(F.concat(F.lit("X ("), F.col("head"), F.lit(") y"))).alias("inside"))
 
 
 @query("""SELECT c_custkey, array_to_string(list_transform(string_split(upper(c_name) || ' HS', ' '), lambda w: CASE WHEN w IN ('II', 'III', 'IV', 'HS', 'MS', 'ES', 'STEM', 'US', 'USA', 'NW', 'NE', 'SW', 'SE') THEN w
@@ -51,13 +51,13 @@ def url_host(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.host(F.col("url")).alias("host"), F.contains("url", F.lit("?")).alias("has_query"))
 
 
-MARKED = "'{{note|x}} [[' || substr(text, 1, 8) || '|label]] saw [[it]] [3] , ' || substr(text, 1, 20) || ' ]]'"
+MARKED = "'{{note|x}} [[a page|label]] saw [[it]] [3] , ' || text || ' ]]'"
 CLEANED = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({m}, '\{\{[^{}]*\}\}', '', 'g'), '\[\[[^\[\]|]*\|([^\[\]]*)\]\]', '\1', 'g'), '\[\[([^\[\]]*)\]\]', '\1', 'g'), '\[[0-9]+\]', '', 'g'), '\[\[|\]\]|\{\{|\}\}', '', 'g'), ' +([.,;:])', '\1', 'g'), ' +', ' ', 'g'))".replace("{m}", MARKED)
 
 
 @query(f"SELECT doc_id, {CLEANED} AS clean, regexp_matches({CLEANED}, '\\{{\\{{|\\}}\\}}|\\[\\[|\\]\\]|\\[[0-9]+\\]') AS left_over FROM documents")
 def clean_markup(t: Tables) -> DataFrame:
-    marked = F.concat(F.lit("{{note|x}} [["), F.substring("text", 1, 8), F.lit("|label]] saw [[it]] [3] , "), F.substring("text", 1, 20), F.lit(" ]]"))
+    marked = F.concat(F.lit("{{note|x}} [[a page|label]] saw [[it]] [3] , "), F.col("text"), F.lit(" ]]"))
     return t.documents.select("doc_id", X.clean_markup(marked).alias("clean")).withColumn("left_over", X.has_markup(F.col("clean")))
 
 
@@ -77,11 +77,10 @@ def ids_and_phones(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", X.zero_pad(raw).alias("id"), X.phone((F.lit(5550000000) + F.col("c_custkey")).cast("string")).alias("phone"))
 
 
-@query("""SELECT item_id, CAST(sum((length(d.text) - length(replace(d.text, p, ''))) // length(p)) AS BIGINT) AS n FROM documents d,
-(SELECT item_id, string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2] AS p FROM benchmark WHERE item_id < 5) b GROUP BY item_id""")
+@query("""SELECT lang, CAST(sum((length(text) - length(replace(text, 'of the', ''))) // 6) AS BIGINT) AS of_the, CAST(sum((length(text) - length(replace(text, 'de la', ''))) // 5) AS BIGINT) AS de_la FROM documents GROUP BY lang""")
 def phrase_count(t: Tables) -> DataFrame:
-    phrases = t.benchmark.where("item_id < 5").select("item_id", F.concat_ws(" ", F.get(F.split("text", " "), 0), F.get(F.split("text", " "), 1)).alias("p"))
-    return t.documents.crossJoin(F.broadcast(phrases)).groupBy("item_id").agg(F.sum(X.phrase_count(F.col("text"), F.col("p"))).alias("n"))  # five phrases: a feature of the query
+    n = lambda p: F.sum(X.phrase_count(F.col("text"), F.lit(p)))
+    return t.documents.groupBy("lang").agg(n("of the").alias("of_the"), n("de la").alias("de_la"))
 
 
 GRAMS = "SELECT DISTINCT {id}, array_to_string(w[i:i+3], ' ') AS g FROM (SELECT {id}, w, unnest(range(1, greatest(len(w) - 2, 1))) AS i FROM (SELECT {id}, regexp_extract_all(lower(text), '[a-z0-9'']+') AS w FROM {t}))"
@@ -103,24 +102,24 @@ def lcs_run(t: Tables) -> DataFrame:
     return a.join(b, "item_id").select("item_id", S.common_run(F.lower("x"), F.lower("y")).alias("run"), S.token_set_ratio(F.lower("x"), F.lower("y")).alias("set_ratio"), S.block_ratio(F.col("x"), F.col("y")).alias("block_ratio"))
 
 
-def _parts(t: Tables, low: int, high: int, name: str) -> DataFrame:
+def _parts(t: Tables, name: str) -> DataFrame:
     core = F.array_join(F.split(F.lower("p_name"), " "), " ")
-    d = t.part.where(F.pmod("p_partkey", F.lit(2)).between(low, high)).select(F.col("p_partkey").alias(name), "p_brand", core.alias(f"core_{name}"))
+    d = t.part.select(F.col("p_partkey").alias(name), "p_brand", core.alias(f"core_{name}"))
     return d.withColumn(f"tokens_{name}", X.significant_tokens(F.split(f"core_{name}", " ")))
 
 
 @query("""WITH w AS (SELECT p_partkey, p_brand, unnest(list_distinct(list_filter(string_split(lower(p_name), ' '), lambda x: length(x) >= 4))) AS t FROM part)
-SELECT p_brand, count(*) AS pairs FROM (SELECT DISTINCT a.p_brand, a.p_partkey AS x, b.p_partkey AS y FROM w a JOIN w b USING (p_brand, t) WHERE a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1) GROUP BY p_brand""")
+SELECT p_brand, count(*) AS pairs FROM (SELECT DISTINCT a.p_brand, a.p_partkey AS x, b.p_partkey AS y FROM w a JOIN w b USING (p_brand, t) WHERE a.p_partkey < b.p_partkey) GROUP BY p_brand""")
 def token_block_candidates(t: Tables) -> DataFrame:
-    a, b = _parts(t, 0, 0, "a"), _parts(t, 1, 1, "b")
+    a, b = _parts(t, "a"), _parts(t, "b")
     pairs = L.token_candidates(a, b, left_id="a", right_id="b", left_tokens="tokens_a", right_tokens="tokens_b", block=["p_brand"])
-    return pairs.join(a.select("a", "p_brand"), "a").groupBy("p_brand").agg(F.count(F.lit(1)).alias("pairs"))
+    return pairs.where("a < b").join(a.select("a", "p_brand"), "a").groupBy("p_brand").agg(F.count(F.lit(1)).alias("pairs"))
 
 
 @query()
 def fuzzy_link(t: Tables) -> DataFrame:
-    a, b = _parts(t, 0, 0, "a"), _parts(t, 1, 1, "b")
-    return L.fuzzy_link(a, b, left_id="a", right_id="b", core_left="core_a", core_right="core_b", left_tokens="tokens_a", right_tokens="tokens_b", block=["p_brand"], threshold=80)
+    a, b = _parts(t, "a"), _parts(t, "b")
+    return L.fuzzy_link(a, b, left_id="a", right_id="b", core_left="core_a", core_right="core_b", left_tokens="tokens_a", right_tokens="tokens_b", block=["p_brand"], threshold=80, apart=F.col("a") != F.col("b"))
 
 
 POINT = "CAST({k} * 7919 % 6000 AS DOUBLE) / 100.0 - 30.0 AS lat, CAST({k} * 104729 % 30000 AS DOUBLE) / 100.0 - 150.0 AS lon"
@@ -160,13 +159,13 @@ def baseline_predict(t: Tables) -> DataFrame:
     return p.groupBy("quality", "guess").agg(F.count(F.lit(1)).alias("n"))
 
 
-ANSWER = "'A1: ' || role || chr(10) || 'A2: ' || CAST(turn AS VARCHAR) || ' to 12' || chr(10) || 'D1: ' || substr(text, 1, 10)"
+ANSWER = "'A1: ' || role || chr(10) || 'A2: ' || CAST(turn AS VARCHAR) || ' to 12' || chr(10) || 'D1: ' || text"
 
 
 @query(f"""SELECT conv_id, turn, nullif(trim(regexp_extract({ANSWER}, 'A1:[ \\t]*([^\\n]*)', 1)), '') AS a1, CAST(regexp_extract({ANSWER}, 'A2:[ \\t]*([0-9]+)', 1) AS INTEGER) AS lo,
 CAST(regexp_extract({ANSWER}, 'A2:[^\\n]* ([0-9]+)', 1) AS INTEGER) AS hi FROM conversations""")
 def answer_parse(t: Tables) -> DataFrame:
-    answer = F.concat(F.lit("A1: "), F.col("role"), F.lit("\nA2: "), F.col("turn").cast("string"), F.lit(" to 12\nD1: "), F.substring("text", 1, 10))
+    answer = F.concat(F.lit("A1: "), F.col("role"), F.lit("\nA2: "), F.col("turn").cast("string"), F.lit(" to 12\nD1: "), F.col("text"))
     numbers = F.regexp_extract_all(X.labelled(answer, "A2"), F.lit("[0-9]+"), F.lit(0))
     return t.conversations.select("conv_id", "turn", X.labelled(answer, "A1").alias("a1"), F.element_at(numbers, 1).cast("int").alias("lo"), F.element_at(numbers, -1).cast("int").alias("hi"))
 
