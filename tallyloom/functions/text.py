@@ -116,3 +116,46 @@ def labelled(c: Column, label: str) -> Column:
 def first_object(c: Column) -> Column:
     """From the first { to the last }."""
     return F.nullif(F.regexp_extract(c, r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def strip_sections(c: Column, headings: list[str]) -> Column:
+    """A text without the sections under these headings (and their deeper ones), and without any heading line.
+
+    A heading is a line of equals signs around a name; a section ends at a heading of its level or above.
+    """
+    line_kind = lambda l: F.length(F.regexp_extract(l, r"^(=+)[^=].*=\s*$", 1))
+    name = lambda l: F.lower(F.trim(F.regexp_replace(l, "=", "")))
+    start = F.struct(F.lit(0).alias("skip"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, l: Column) -> Column:
+        level = line_kind(l)
+        inside = (s["skip"] > 0) & (level > s["skip"])
+        skip = F.when(level == 0, s["skip"]).when(inside, s["skip"]).when(name(l).isin(*headings), level).otherwise(F.lit(0))
+        return F.struct(skip.alias("skip"), F.when((level > 0) | (s["skip"] > 0), s["out"]).otherwise(F.concat(s["out"], F.array(l))).alias("out"))
+
+    return F.trim(F.array_join(F.aggregate(F.split(F.coalesce(c, F.lit("")), "\n"), start, step)["out"], "\n"))
+
+
+def oxford(items: Column) -> Column:
+    """a; a and b; a, b, and c; null if there is none."""
+    n = F.size(items)
+    most = F.array_join(F.slice(items, 1, F.greatest(n - 1, F.lit(1))), ", ")
+    last = F.try_element_at(items, F.lit(-1))
+    return F.when(n == 1, last).when(n == 2, F.concat(F.get(items, 0), F.lit(" and "), last)).when(n > 2, F.concat(most, F.lit(", and "), last))
+
+
+def shares_text(names: list[str], shares: list[Column]) -> Column:
+    """Non-zero shares, largest first and else in the given order: "60% a, 30.5% b, and 9.5% c"."""
+    items = F.array(*[F.struct((-s).alias("p"), F.lit(i).alias("i"), F.lit(n).alias("n")) for i, (n, s) in enumerate(zip(names, shares, strict=True))])
+    kept = F.array_sort(F.filter(items, lambda x: F.coalesce(x["p"] < 0, F.lit(False))))
+    number = lambda x: F.regexp_replace(F.format_string("%.4f", -x["p"]), r"\.?0+$", "")
+    return oxford(F.transform(kept, lambda x: F.concat(number(x), F.lit("% "), x["n"])))
+
+
+def clauses(*parts: Column) -> Column:
+    """Sentences joined by spaces; one whose fields are missing (null) is left out."""
+    return replace_all(F.concat_ws(" ", *parts), [(" +", " "), (r" ,", ",")])
+
+
+def thousands(c: Column) -> Column:
+    return F.format_number(c, 0)
