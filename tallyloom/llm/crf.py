@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .store import bounded_sample
 
 UNKNOWN = "und"
 GRAM_BITS, AFFIX_BITS = 15, 14
@@ -202,11 +203,9 @@ class LanguageCRF:
 
 
 def fit_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 1000, sample_chars: int = 4_000_000) -> LanguageCRF:
-    """A model from the labelled rows with the smallest md5 of the id: sample_rows at most, and no more than sample_chars together."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    small = rows.where(F.length("text") <= sample_chars).orderBy("h", "lang", F.length("text")).limit(sample_rows)
-    total = F.sum(F.length("text")).over(Window.orderBy("h", "lang", F.length("text")).rowsBetween(Window.unboundedPreceding, 0))
-    got = small.withColumn("total", total).where(F.col("total") <= sample_chars).collect()
+    """A model from labelled rows chosen by hash: sample_rows at most, and no more than sample_chars together."""
+    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
+    got = bounded_sample(rows, "id", sample_rows, sample_chars).collect()
     model = LanguageCRF(sorted({r.lang for r in got}))
     if len(model.labels) > 1:
         model.fit([r.text for r in got], [r.lang for r in got])

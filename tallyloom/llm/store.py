@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -42,3 +43,17 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
         taken.add(n.lower())
         out.append(n)
     return out
+
+
+def bounded_sample(rows: DataFrame, id_col: str, n: int, chars: int) -> DataFrame:
+    """At most n rows of (text, ...), no more than chars characters together, chosen by md5 of id and text's hash.
+
+    Only keys and lengths are ordered; the texts of the chosen few, a bounded number, are then looked up. Rows that
+    repeat count once. A text longer than chars is passed over.
+    """
+    h = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.xxhash64("text").cast("string")))
+    rows = rows.where(F.col("text").isNotNull()).withColumn("_h", h)
+    keys = rows.select("_h", F.length("text").alias("_n")).where(F.col("_n") <= chars).distinct().orderBy("_h").limit(n)
+    total = F.sum("_n").over(Window.orderBy("_h").rowsBetween(Window.unboundedPreceding, 0))
+    keys = keys.withColumn("_t", total).where(F.col("_t") <= chars).select("_h")
+    return rows.join(F.broadcast(keys), "_h").dropDuplicates(["_h"]).orderBy("_h").drop("_h")
