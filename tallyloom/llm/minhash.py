@@ -6,9 +6,9 @@ every register of the text, so most stop after one. Two texts agree on a registe
 similarity of their counts. For texts without repeated shingles that is the Jaccard similarity.
 
 Texts that are equal are one vertex from the start. Texts that share a band are linked to the smallest id of
-the bucket, if the similarity of their whole texts is 0.8 or more. Buckets in which a text stays apart from the
-others are then searched by signature, block by block, for each text's best partners in the nearest other components, and
-these are verified alike. Classes are the connected components, found by joins.
+the bucket, if the similarity of their whole texts is 0.8 or more. In buckets in which a text stays apart from the
+others, all pairs that aren't joined yet are then compared in memory, by whole texts alike. Classes are the connected
+components, found by joins.
 """
 
 from __future__ import annotations
@@ -100,7 +100,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signature_table(docs: DataFrame, *, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
-    """id, text_md5, n_shingles, bands (array<bigint>), signature (binary); one pass, no shuffle."""
+    """id, text_md5, n_shingles, bands (array<bigint>); one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,14 +118,13 @@ def signature_table(docs: DataFrame, *, id_col: str, text_col: str, size: int, b
                         batch.column(2).slice(i, j - i),
                         pa.array(count, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * bands, bands), pa.int32()), pa.array(h.ravel())),
-                        pa.array([s.tobytes() for s in sig], pa.binary()),
                     ],
-                    ["id", "text_md5", "n_shingles", "bands", "signature"],
+                    ["id", "text_md5", "n_shingles", "bands"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows_in = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_md5"))
-    return rows_in.mapInArrow(run, f"id {kind}, text_md5 string, n_shingles bigint, bands array<bigint>, signature binary")
+    return rows_in.mapInArrow(run, f"id {kind}, text_md5 string, n_shingles bigint, bands array<bigint>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, *, size: int, threshold: float) -> DataFrame:
@@ -172,55 +171,90 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def partners(members: DataFrame, *, registers: int, least: float, best_n: int = 4) -> DataFrame:
-    """members (bucket, id, label, signature), sorted by bucket in each partition -> pairs (a, b) of different labels.
+def bounds(x: np.ndarray, total: int, ids: np.ndarray, counts: np.ndarray, starts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """The most that the similarity of a text can be to each of others: x has its counts by shingle, the others lie end to end.
 
-    Within a bucket every two signatures are compared in memory, and each id keeps its best partner in
-    each of the best_n nearest other components, of an estimate of least or more. So the pairs grow with the members, not with their square.
+    Of a shared shingle i the sum over max(x_j / x_i, y_j / y_i) is max(x, y) / max(x_i, y_i) together or more. Exact if no shingle repeats.
     """
-    kind = members.schema["id"].dataType.simpleString()
+    mine = x[ids]
+    both = np.where(mine > 0, np.maximum(mine, counts), 0)
+    high, low = np.add.reduceat(both, starts), np.add.reduceat(np.minimum(mine, counts), starts)
+    return high / (total + totals - low)
+
+
+def links_within(ids: np.ndarray, labels: np.ndarray, sides: np.ndarray, bands: np.ndarray, bucket: int, texts: list[np.ndarray], threshold: float) -> tuple[list, list]:
+    """Links that join all texts of a bucket as their similarities do; only pairs from both sides, or of the one side that there is.
 
-    def best(ids: np.ndarray, labels: np.ndarray, sig: np.ndarray) -> tuple[list, list]:
-        a, b = [], []
-        _, comp = np.unique(labels, return_inverse=True)
-        if comp.max() == 0:
-            return a, b
-        for i in range(len(ids)):
-            near = (sig == sig[i]).sum(1)
-            other = np.flatnonzero((comp != comp[i]) & (near >= least * registers))
-            if not len(other):
-                continue
-            order = other[np.lexsort((ids[other], -near[other]))]
-            _, first = np.unique(comp[order], return_index=True)
-            order = order[np.sort(first)[:best_n]]
-            a += [min(ids[i], ids[k]) for k in order]
-            b += [max(ids[i], ids[k]) for k in order]
+    No pair is left out but those joined already and those that share an earlier band, which are met in its bucket.
+    """
+    a, b = [], []
+    _, comp = np.unique(labels, return_inverse=True)
+    if comp.max() == 0:
         return a, b
+    band = int(np.argmax((bands == bucket).all(0)))
+    hashed = [np.unique(t, return_counts=True) for t in texts]
+    size = np.array([len(k) for k, _ in hashed])
+    starts = np.concatenate([[0], np.cumsum(size)])
+    shingle, column = np.unique(np.concatenate([k for k, _ in hashed]), return_inverse=True)
+    counts = np.concatenate([c for _, c in hashed])
+    totals = np.array([len(t) for t in texts])
+    x = np.zeros(len(shingle), np.int64)
+    one = sides.min() == sides.max()
+    for i in range(len(ids) - 1):
+        k = np.arange(i + 1, len(ids))
+        k = k[(comp[k] != comp[i]) & (one | (sides[k] != sides[i])) & (size[k] > 0)]
+        k = k[~(bands[k, :band] == bands[i, :band]).any(1)]
+        if not len(k):
+            continue
+        mine = slice(starts[i], starts[i + 1])
+        x[column[mine]] = counts[mine]
+        begin = np.cumsum(size[k]) - size[k]
+        at = np.arange(size[k].sum()) + np.repeat(starts[k] - begin, size[k])
+        most = bounds(x, totals[i], column[at], counts[at], begin, totals[k])
+        x[column[mine]] = 0
+        for m in k[most >= threshold - 1e-9]:
+            if comp[m] != comp[i] and similarity(texts[i], texts[m]) >= threshold - 1e-9:
+                comp[comp == comp[m]] = comp[i]
+                a.append(min(ids[i], ids[m]))
+                b.append(max(ids[i], ids[m]))
+    return a, b
+
+
+def bucket_links(members: DataFrame, *, size: int, threshold: float) -> DataFrame:
+    """members (part, bucket, side, id, label, bands, text), sorted by part in each partition -> links (a, b) of verified pairs.
+
+    All texts of a part are compared in memory, so rows grow with the members and not with their square.
+    """
+    kind = members.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         schema = None
 
         def groups(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            bucket = table.column("bucket").to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
-            ids, labels = (np.array(table.column(c).to_pylist(), object if kind == "string" else None) for c in ("id", "label"))
-            sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, registers)
-            a, b = [], []
+            part, bucket, side = (table.column(c).to_numpy() for c in ("part", "bucket", "side"))
+            cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                if j - i > 1:
-                    x, y = best(ids[i:j], labels[i:j], sig[i:j])
-                    a += x
-                    b += y
-            if a:
-                t = schema.field("id").type
-                yield pa.RecordBatch.from_arrays([pa.array(a, t), pa.array(b, t)], ["a", "b"])
+                t = table.slice(i, j - i)
+                ids, labels = (np.array(t.column(c).to_pylist(), object if kind == "string" else None) for c in ("id", "label"))
+                if j - i < 2 or (labels == labels[0]).all():
+                    continue
+                bands = np.array(t.column("bands").to_pylist(), np.int64)
+                buf, offsets = K.packed(t.column("text").combine_chunks())
+                texts = []
+                for m, n in K.groups(offsets):
+                    h, text = shingles(buf[offsets[m] : offsets[n]], offsets[m : n + 1] - offsets[m], size)
+                    texts += np.split(h, np.searchsorted(text, np.arange(1, n - m)))
+                a, b = links_within(ids, labels, side[i:j], bands, bucket[i], texts, threshold)
+                if a:
+                    of = schema.field("id").type
+                    yield pa.RecordBatch.from_arrays([pa.array(a, of), pa.array(b, of)], ["a", "b"])
 
         for batch in batches:
             schema = batch.schema
             table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch], schema)
-            bucket = table.column("bucket").to_numpy()
-            k = len(bucket) - int(np.argmax(bucket[::-1] != bucket[-1])) if len(bucket) and (bucket != bucket[-1]).any() else 0
+            part = table.column("part").to_numpy()
+            k = len(part) - int(np.argmax(part[::-1] != part[-1])) if len(part) and (part != part[-1]).any() else 0
             if k:
                 yield from groups(table.slice(0, k))
             rest = table.slice(k)
@@ -254,8 +288,7 @@ def near_duplicates(
     """
     table = cut(signature_table(docs, id_col=id_col, text_col=text_col, size=size, bands=bands, rows=rows))
     texts = table.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
-    vertices = texts.groupBy("text_md5").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
-    vertices = cut(vertices)
+    vertices = cut(texts.groupBy("text_md5").agg(F.min("id").alias("id"), F.first("bands").alias("bands")))
     banded = vertices.select("id", F.explode("bands").alias("bucket"))
     centres = cut(banded.groupBy("bucket").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
     members = banded.join(centres, "bucket")
@@ -268,14 +301,13 @@ def near_duplicates(
     labels = components(links)
 
     labelled = members.where(F.col("n") > 2).join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"))
-    open_rows = cut(split_buckets(cut(labelled)).join(vertices.select("id", "signature", "bands"), "id"))
+    open_rows = split_buckets(cut(labelled)).join(vertices.select("id", "bands"), "id")
     blocks = F.ceil(F.col("n") / block)
     second = F.element_at("bands", (F.pmod(F.array_position("bands", F.col("bucket")), F.lit(bands)) + 1).cast("int"))
-    bucket = F.when(blocks > 1, F.xxhash64("bucket", F.pmod(second, blocks))).otherwise(F.col("bucket"))
-    open_rows = open_rows.select(bucket.alias("bucket"), "id", "label", "signature")
-    sorted_rows = open_rows.repartition("bucket").sortWithinPartitions("bucket", "id")
-    more = cut(partners(sorted_rows, registers=bands * rows, least=threshold - 0.1).distinct().join(pairs, ["a", "b"], "left_anti"))
-    found = cut(verified(more, text_of, size=size, threshold=threshold))
+    part = F.when(blocks > 1, F.xxhash64("bucket", F.pmod(second, blocks))).otherwise(F.col("bucket"))
+    open_rows = cut(open_rows.select(part.alias("part"), "bucket", F.lit(0).alias("side"), "id", "label", "bands"))
+    sorted_rows = open_rows.join(text_of.hint("merge"), "id").select("part", "bucket", "side", "id", "label", "bands", "text").repartition("part").sortWithinPartitions("part", "id")
+    found = cut(bucket_links(sorted_rows, size=size, threshold=threshold))
     if found.limit(1).count():
         labels = components(links.union(found))
 

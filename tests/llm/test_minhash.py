@@ -75,6 +75,26 @@ def test_partners_and_blocks(frame):
     assert len({r.class_id for r in a}) >= len({r.class_id for r in b})
 
 
+#: Seeds of copies that share one band with prose(1, 150), are under 0.8 similar to it, to one another and to PARTNER's.
+OTHERS = [3, 9, 17, 18, 23, 28, 29, 36, 42, 44, 47, 49, 50, 57, 65, 66, 67, 77, 78, 81, 86, 92, 95, 97, 116, 117, 118, 122, 130, 140]
+#: A copy that is 0.802 similar, shares that band alone, and agrees in 68 of 100 registers.
+PARTNER = 2383
+
+
+def one_pair(n):
+    text = prose(1, 150)
+    rows = [row(k, edited(text, s, 4)) for k, s in enumerate(OTHERS[:n])] + [row(100, text), row(101, edited(text, PARTNER, 4))]
+    near = [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and plain_similarity(grams(a[1]), grams(b[1])) >= 0.8]
+    assert near == [(100, 101)]
+    return rows
+
+
+def test_pair_with_a_low_estimate(frame):
+    rows = one_pair(3)
+    out = {r.doc_id: r.class_id for r in minhash.near_duplicates(frame(rows)).collect()}
+    assert out == {r[0]: min(r[0], 100) for r in rows}
+
+
 def test_edges(frame, edge_rows):
     out = minhash.near_duplicates(frame(edge_rows)).collect()
     assert len(out) == len(edge_rows)
