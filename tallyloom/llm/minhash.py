@@ -280,17 +280,19 @@ def near_duplicates(
     bands: int = 20,
     rows: int = 5,
     block: int = 2048,
+    block_shingles: int = 1 << 21,
 ) -> DataFrame:
     """One row per row of docs: id, class_id (the smallest id of its class), n_shingles, kept (one row of each class).
 
     A null text, or one without words, is a class by itself. A null id has a null class_id and is kept. Rows that
-    repeat, id included, are in one class and kept alike. A bucket of over block texts is searched in blocks that share another band.
+    repeat, id included, are in one class and kept alike. A bucket of over block texts, or block_shingles
+    shingles, is searched by pairs of blocks, each pair a task of its own.
     """
     table = cut(signature_table(docs, id_col=id_col, text_col=text_col, size=size, bands=bands, rows=rows))
     texts = table.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
-    vertices = cut(texts.groupBy("text_md5").agg(F.min("id").alias("id"), F.first("bands").alias("bands")))
-    banded = vertices.select("id", F.explode("bands").alias("bucket"))
-    centres = cut(banded.groupBy("bucket").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
+    vertices = cut(texts.groupBy("text_md5").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")))
+    banded = vertices.select("id", "n_shingles", F.explode("bands").alias("bucket"))
+    centres = cut(banded.groupBy("bucket").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("mass")).where(F.col("n") > 1))
     members = banded.join(centres, "bucket")
     pairs = members.where(F.col("id") != F.col("centre")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     pairs = cut(pairs)
@@ -300,12 +302,13 @@ def near_duplicates(
     links = cut(verified(pairs, text_of, size=size, threshold=threshold).distinct())
     labels = components(links)
 
-    labelled = members.where(F.col("n") > 2).join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("label"))
+    labelled = members.where(F.col("n") > 2).join(labels, "id", "left").select("bucket", "id", "n", "mass", F.coalesce("label", "id").alias("label"))
     open_rows = split_buckets(cut(labelled)).join(vertices.select("id", "bands"), "id")
-    blocks = F.ceil(F.col("n") / block)
-    second = F.element_at("bands", (F.pmod(F.array_position("bands", F.col("bucket")), F.lit(bands)) + 1).cast("int"))
-    part = F.when(blocks > 1, F.xxhash64("bucket", F.pmod(second, blocks))).otherwise(F.col("bucket"))
-    open_rows = cut(open_rows.select(part.alias("part"), "bucket", F.lit(0).alias("side"), "id", "label", "bands"))
+    # each text meets those of every block: block i with block j is one part, of sides 0 and 1
+    open_rows = open_rows.withColumn("blocks", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("mass") / block_shingles)))
+    open_rows = open_rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    part = F.when(F.col("blocks") > 1, F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("bucket"))
+    open_rows = cut(open_rows.select(part.alias("part"), "bucket", (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "label", "bands"))
     sorted_rows = open_rows.join(text_of.hint("merge"), "id").select("part", "bucket", "side", "id", "label", "bands", "text").repartition("part").sortWithinPartitions("part", "id")
     found = cut(bucket_links(sorted_rows, size=size, threshold=threshold))
     if found.limit(1).count():

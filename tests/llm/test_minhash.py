@@ -95,6 +95,13 @@ def test_pair_with_a_low_estimate(frame):
     assert out == {r[0]: min(r[0], 100) for r in rows}
 
 
+def test_blocks_lose_no_pair(frame):
+    rows = one_pair(30)
+    for size in ({"block": 8}, {"block_shingles": 1000}):
+        out = {r.doc_id: r.class_id for r in minhash.near_duplicates(frame(rows), **size).collect()}
+        assert out == {r[0]: min(r[0], 100) for r in rows}
+
+
 def test_edges(frame, edge_rows):
     out = minhash.near_duplicates(frame(edge_rows)).collect()
     assert len(out) == len(edge_rows)
