@@ -1,9 +1,10 @@
 """Rules on lines, in DataFrame functions only: quality by cross-document frequency, and line dedup by site-relative frequency.
 
 Both hash each document's normalised lines once (trimmed, lower case), and count for every host and line the
-documents that hold it. Versions of one document shall not make their own text look like a site's frame: all
-documents of a host whose smallest line hash agrees count once. Counting is over (host, line, smallest), so a
-line that stands in a third of all documents is spread over as many keys.
+pages that hold it. Copies of one document shall not make their own text look like a site's frame: documents of a
+host with the same lines are one page. Counting is over (host, line, page), so a line that stands in a third of all
+documents is spread over as many keys. With by_smallest, which the SQL of op4 and op6 has, all documents of a host
+whose smallest line hash agrees are one page; a frame line that is itself the smallest is then missed.
 """
 
 from __future__ import annotations
@@ -30,14 +31,16 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(norm_line(line)), 1, 15), 16, 10).cast("long")
 
 
-def line_frequencies(docs: DataFrame, *, text_col: str, host_col: str) -> DataFrame:
-    """(host, line, n_docs, host_docs) of all lines with a word; host_docs counts the host's documents alike."""
+def line_frequencies(docs: DataFrame, *, text_col: str, host_col: str, by_smallest: bool = False) -> DataFrame:
+    """(host, line, n_docs, n_smallest) of all lines with a word: the pages that hold it, and those of which it is the smallest."""
     hashes = F.array_distinct(F.transform(F.filter(text_lines(F.col(text_col)), lambda l: l.rlike(HAS_WORD)), line_hash))
     rows = docs.select(F.col(host_col).cast("string").alias("host"), hashes.alias("hashes")).where(F.size("hashes") > 0)
-    rows = rows.select("host", F.array_min("hashes").alias("sketch"), F.explode("hashes").alias("line"))
-    seen = rows.groupBy("host", "line", "sketch").agg(F.lit(1).alias("one"))
-    # the smallest line of a document is one of its lines, so the lines that are some document's smallest give the number of documents
-    counts = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.max((F.col("line") == F.col("sketch")).cast("int")).alias("is_sketch"))
+    smallest = F.array_min("hashes")
+    page = smallest if by_smallest else F.xxhash64("hashes")
+    rows = rows.select("host", page.alias("page"), smallest.alias("smallest"), F.explode("hashes").alias("line"))
+    seen = rows.groupBy("host", "line", "page").agg(F.max((F.col("line") == F.col("smallest")).cast("int")).alias("is_smallest"))
+    # each page has one smallest line, so these add up to the number of pages
+    counts = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("is_smallest").alias("n_smallest"))
     return cut(counts)
 
 
@@ -46,7 +49,7 @@ def frequent_lines(counts: DataFrame, min_docs: int, max_ratio: float) -> DataFr
 
     A host with p lines a document has at most p / max_ratio of them.
     """
-    hosts = counts.groupBy(F.col("host").alias("of_host")).agg(F.sum("is_sketch").alias("host_docs"))
+    hosts = counts.groupBy(F.col("host").alias("of_host")).agg(F.sum("n_smallest").alias("host_docs"))
     often = counts.where(F.col("n_docs") >= min_docs)
     often = often.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).where(F.col("n_docs") > F.col("host_docs") * F.lit(max_ratio))
     return cut(often.groupBy("host").agg(F.collect_list("line").alias("frequent")))
@@ -64,14 +67,14 @@ def is_frequent(line: Column, frequent: Column) -> Column:
 
 
 def drop_site_lines(
-    docs: DataFrame, *, text_col: str = "text", host_col: str = "source", min_docs: int = 10, max_ratio: float = 0.04, stats: bool = False
+    docs: DataFrame, *, text_col: str = "text", host_col: str = "source", min_docs: int = 10, max_ratio: float = 0.04, stats: bool = False, by_smallest: bool = False
 ) -> DataFrame:
     """docs with text_col less the lines that stand in over max_ratio of their host's pages (and in min_docs pages).
 
     Lines without a word stay. A null text stays null; a text that loses all lines becomes empty; a null host is
-    a host. Rows that repeat are versions of one page. With stats, columns n_lines and n_dropped follow.
+    a host. Rows that repeat are one page. With stats, columns n_lines and n_dropped follow.
     """
-    counts = line_frequencies(docs, text_col=text_col, host_col=host_col)
+    counts = line_frequencies(docs, text_col=text_col, host_col=host_col, by_smallest=by_smallest)
     frequent = frequent_lines(counts, min_docs, max_ratio)
     name, lines, kept = free_names(docs, "frequent", "lines", "kept_lines")
     both = with_frequent(docs, frequent, host_col=host_col, name=name).withColumn(lines, text_lines(F.col(text_col)))
@@ -92,6 +95,7 @@ def quality_rules(
     min_words: int = 50,
     max_repeat_percent: int = 50,
     min_left_percent: int = 20,
+    by_smallest: bool = False,
 ) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_frequent_words, kept.
 
@@ -100,7 +104,7 @@ def quality_rules(
     A null text has no words and fails. n_repeat_words compares hashes of 64 bits less those of a word's position.
     """
     f, words, lines, hashes, n, bits, keys, at = free_names(docs, "frequent", "words", "lines_", "hashes", "n_triples", "bits", "keys", "starts")
-    frequent = frequent_lines(line_frequencies(docs, text_col=text_col, host_col=host_col), min_docs, max_ratio)
+    frequent = frequent_lines(line_frequencies(docs, text_col=text_col, host_col=host_col, by_smallest=by_smallest), min_docs, max_ratio)
     d = with_frequent(docs, frequent, host_col=host_col, name=f)
     text = F.coalesce(F.col(text_col), F.lit(""))
     spaced = text

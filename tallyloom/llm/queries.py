@@ -47,7 +47,7 @@ def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = lines.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    d = lines.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), by_smallest=True)
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_frequent_words")
 
 
@@ -56,7 +56,7 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = lines.drop_site_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), stats=True)
+    d = lines.drop_site_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), stats=True, by_smallest=True)
     return d.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 

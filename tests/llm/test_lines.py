@@ -1,4 +1,5 @@
 import re
+from hashlib import md5
 
 from llm_rows import prose, row
 
@@ -47,6 +48,14 @@ def test_depleted_documents_are_rejected(frame):
     assert not out[100].base_failed and not out[100].kept and out[0].kept
 
 
+def test_a_frame_line_counts_by_pages_if_it_is_the_smallest(frame):
+    frame_line = min((prose(k, 6) for k in range(20_000)), key=lambda x: md5(x.encode()).hexdigest())
+    rows = site(60, frame_line)
+    out = lines.drop_site_lines(frame(rows), stats=True).collect()
+    assert all(r.n_dropped == 1 and frame_line not in r.text for r in out)
+    assert all(r.n_frequent_words == 6 for r in lines.quality_rules(frame(rows)).collect())
+
+
 def test_edges(frame, edge_rows):
     out = lines.drop_site_lines(frame(edge_rows)).collect()
     assert sorted(str(r.text) for r in out) == sorted(str(r[1]) for r in edge_rows)
