@@ -12,15 +12,19 @@ from tallyloom.llm.queries import tokenizer_path
 from tallyloom.llm.store import shared_dir
 
 
+def with_n_chars(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs; n_chars as the text has now."""
+    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(*docs.columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return lines.quality_rules(docs).where("kept").select(*docs.columns)
+    """Documents that the quality rules keep, their text less the lines above the limits; n_chars as the text has now."""
+    return with_n_chars(lines.quality_rules(docs).where("kept"), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their text less the frame lines of its site; n_chars as the text has now."""
-    out = lines.drop_site_lines(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
+    return with_n_chars(lines.drop_site_lines(docs), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,10 +97,10 @@ def quality_rules(
     min_left_percent: int = 20,
     by_smallest: bool = False,
 ) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_frequent_words, kept.
+    """docs, text_col less its frequent lines, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_frequent_words, kept.
 
-    Lines above the limits (in min_docs documents of the host and over max_ratio of them) are taken away; a
-    document is depleted if less than min_left_percent of its words are left. kept: neither base_failed nor depleted.
+    Lines above the limits (in min_docs documents of the host and over max_ratio of them) are taken away; the counts are
+    of the text as it was. A document is depleted if less than min_left_percent of its words are left. kept: neither base_failed nor depleted.
     A null text has no words and fails. n_repeat_words compares hashes of 64 bits less those of a word's position.
     """
     f, words, lines, hashes, n, bits, keys, at = free_names(docs, "frequent", "words", "lines_", "hashes", "n_triples", "bits", "keys", "starts")
@@ -133,8 +133,10 @@ def quality_rules(
         covered.alias("n_repeat_words"),
         F.when(F.col(f).isNull(), F.lit(0).cast("long")).otherwise(gone).alias("n_frequent_words"),
     )
+    everything = text_lines(F.col(text_col))
+    less = F.when(F.exists(lines, lambda l: is_frequent(l, F.col(f))), F.array_join(F.filter(everything, lambda l: ~is_frequent(l, F.col(f))), "\n")).otherwise(F.col(text_col))
     # a generator: a filter on the verdict isn't pushed below it, where each use would work all this out again
-    d = d.select(*docs.columns, F.inline(F.array(counts)))
+    d = d.select(*(less.alias(c) if c == text_col else F.col(c) for c in docs.columns), F.inline(F.array(counts)))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
     left = (F.col("n_words") - F.col("n_frequent_words")) * 100 >= F.col("n_words") * min_left_percent
     return d.withColumn("base_failed", failed).withColumn("kept", ~failed & left)

@@ -2,7 +2,9 @@ import re
 from hashlib import md5
 
 from llm_rows import prose, row
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tallyloom.llm import lines
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -48,6 +50,16 @@ def test_depleted_documents_are_rejected(frame):
     assert not out[100].base_failed and not out[100].kept and out[0].kept
 
 
+def test_quality_rules_take_frequent_lines_away(spark, frame):
+    rows = site(60, "Subscribe to our letter") + [row(100, prose(5000, 70), "en", "b"), row(101, None)]
+    docs = frame(rows).withColumn("n_chars", F.lit(1).cast("long"))
+    out = {r.doc_id: r for r in lines.quality_rules(docs).collect()}
+    assert all(out[i].text == rows[i][1].replace("Subscribe to our letter\n", "") and out[i].n_words == 94 for i in range(60))
+    assert out[100].text == rows[60][1] and out[101].text is None
+    staged = corpus_pipeline.quality(spark, docs, "").collect()
+    assert len(staged) == 61 and all(r.text == out[r.doc_id].text and r.n_chars == len(r.text) for r in staged)
+
+
 def test_a_frame_line_counts_by_pages_if_it_is_the_smallest(frame):
     frame_line = min((prose(k, 6) for k in range(20_000)), key=lambda x: md5(x.encode()).hexdigest())
     rows = site(60, frame_line)
