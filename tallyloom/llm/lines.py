@@ -1,10 +1,10 @@
 """Rules on lines, in DataFrame functions only: quality by cross-document frequency, and line dedup by site-relative frequency.
 
 Both hash each document's normalised lines once (trimmed, lower case), and count for every host and line the
-pages that hold it. Copies of one document shall not make their own text look like a site's frame: documents of a
-host with the same lines are one page. Counting is over (host, line, page), so a line that stands in a third of all
-documents is spread over as many keys. With by_smallest, which the SQL of op4 and op6 has, all documents of a host
-whose smallest line hash agrees are one page; a frame line that is itself the smallest is then missed.
+documents that hold it. Documents of a host with equal texts are one page and count once, so that a page that was
+copied a thousand times isn't taken for the site's frame; texts are told apart by 64 bits, and two that agree by
+chance cost a count of one. Counting is over (host, line, page), so a line that stands in a third of all documents is
+spread over as many keys.
 """
 
 from __future__ import annotations
@@ -31,27 +31,29 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(norm_line(line)), 1, 15), 16, 10).cast("long")
 
 
-def line_frequencies(docs: DataFrame, *, text_col: str, host_col: str, by_smallest: bool = False) -> DataFrame:
+def line_frequencies(docs: DataFrame, *, text_col: str, host_col: str) -> DataFrame:
     """(host, line, n_docs, n_smallest) of all lines with a word: the pages that hold it, and those of which it is the smallest."""
-    hashes = F.array_distinct(F.transform(F.filter(text_lines(F.col(text_col)), lambda l: l.rlike(HAS_WORD)), line_hash))
-    rows = docs.select(F.col(host_col).cast("string").alias("host"), hashes.alias("hashes")).where(F.size("hashes") > 0)
-    smallest = F.array_min("hashes")
-    page = smallest if by_smallest else F.xxhash64("hashes")
-    rows = rows.select("host", page.alias("page"), smallest.alias("smallest"), F.explode("hashes").alias("line"))
+    text = F.col(text_col).cast("string")
+    hashes = F.array_distinct(F.transform(F.filter(text_lines(text), lambda l: l.rlike(HAS_WORD)), line_hash))
+    rows = docs.select(F.col(host_col).cast("string").alias("host"), F.xxhash64(text).alias("page"), hashes.alias("hashes")).where(F.size("hashes") > 0)
+    rows = rows.select("host", "page", F.array_min("hashes").alias("smallest"), F.explode("hashes").alias("line"))
     seen = rows.groupBy("host", "line", "page").agg(F.max((F.col("line") == F.col("smallest")).cast("int")).alias("is_smallest"))
     # each page has one smallest line, so these add up to the number of pages
     counts = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("is_smallest").alias("n_smallest"))
     return cut(counts)
 
 
-def frequent_lines(counts: DataFrame, min_docs: int, max_ratio: float) -> DataFrame:
-    """One row per host: frequent, the array of lines in more than max_ratio of its documents and in min_docs at least.
+def frequent_lines(counts: DataFrame, min_docs: int, max_ratio: float, max_docs: int | None = None) -> DataFrame:
+    """One row per host: frequent, the array of lines in more than max_ratio of its pages and in min_docs at least, or in over max_docs.
 
-    A host with p lines a document has at most p / max_ratio of them.
+    A host with p lines a page has at most p / max_ratio of the first kind, and pages * p / max_docs of the second.
     """
     hosts = counts.groupBy(F.col("host").alias("of_host")).agg(F.sum("n_smallest").alias("host_docs"))
     often = counts.where(F.col("n_docs") >= min_docs)
-    often = often.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).where(F.col("n_docs") > F.col("host_docs") * F.lit(max_ratio))
+    above = F.col("n_docs") > F.col("host_docs") * F.lit(max_ratio)
+    if max_docs is not None:
+        above = above | (F.col("n_docs") > max_docs)
+    often = often.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).where(above)
     return cut(often.groupBy("host").agg(F.collect_list("line").alias("frequent")))
 
 
@@ -62,25 +64,33 @@ def with_frequent(docs: DataFrame, frequent: DataFrame, *, host_col: str, name:
     return docs.join(f, docs[host_col].cast("string").eqNullSafe(f[host]), "left").drop(host)
 
 
-def is_frequent(line: Column, frequent: Column) -> Column:
-    return F.coalesce(F.array_contains(frequent, line_hash(line)), F.lit(False)) & line.rlike(HAS_WORD)
+def own_frequent(lines: Column, frequent: Column) -> Column:
+    """The hashes of a document's lines that its host has too often: one hash set a document, and a short list to look up in."""
+    return F.array_intersect(F.transform(F.filter(lines, lambda l: l.rlike(HAS_WORD)), line_hash), frequent)
+
+
+def is_frequent(line: Column, own: Column) -> Column:
+    return F.coalesce(F.array_contains(own, line_hash(line)), F.lit(False)) & line.rlike(HAS_WORD)
 
 
 def drop_site_lines(
-    docs: DataFrame, *, text_col: str = "text", host_col: str = "source", min_docs: int = 10, max_ratio: float = 0.04, stats: bool = False, by_smallest: bool = False
+    docs: DataFrame, *, text_col: str = "text", host_col: str = "source", min_docs: int = 10, max_ratio: float = 0.04, stats: bool = False
 ) -> DataFrame:
     """docs with text_col less the lines that stand in over max_ratio of their host's pages (and in min_docs pages).
 
     Lines without a word stay. A null text stays null; a text that loses all lines becomes empty; a null host is
-    a host. Rows that repeat are one page. With stats, columns n_lines and n_dropped follow.
+    a host. Rows that repeat are one page. With stats, columns n_lines and n_dropped follow, in place of any that docs has.
     """
-    counts = line_frequencies(docs, text_col=text_col, host_col=host_col, by_smallest=by_smallest)
+    counts = line_frequencies(docs, text_col=text_col, host_col=host_col)
     frequent = frequent_lines(counts, min_docs, max_ratio)
-    name, lines, kept = free_names(docs, "frequent", "lines", "kept_lines")
+    name, lines, own, kept = free_names(docs, "frequent", "lines", "own_frequent", "kept_lines")
     both = with_frequent(docs, frequent, host_col=host_col, name=name).withColumn(lines, text_lines(F.col(text_col)))
-    both = both.withColumn(kept, F.when(F.col(name).isNull(), F.col(lines)).otherwise(F.filter(lines, lambda l: ~is_frequent(l, F.col(name)))))
+    both = both.withColumn(own, own_frequent(F.col(lines), F.col(name)))
+    untouched = F.coalesce(F.size(own), F.lit(0)) == 0
+    both = both.withColumn(kept, F.when(F.col(own).isNull() | untouched, F.col(lines)).otherwise(F.filter(lines, lambda l: ~is_frequent(l, F.col(own)))))
     text = F.when(F.size(kept) == F.size(lines), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    out = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    new = {"n_lines", "n_dropped"} if stats else set()
+    out = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c.lower() not in new]
     more = [F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(kept)).cast("long").alias("n_dropped")] if stats else []
     return both.select(*out, *more)
 
@@ -92,19 +102,21 @@ def quality_rules(
     host_col: str = "source",
     min_docs: int = 25,
     max_ratio: float = 0.04,
+    max_docs: int = 5000,
     min_words: int = 50,
     max_repeat_percent: int = 50,
     min_left_percent: int = 20,
-    by_smallest: bool = False,
 ) -> DataFrame:
-    """docs, text_col less its frequent lines, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_frequent_words, kept.
+    """docs, text_col less its frequent lines, with the columns of COUNTS, base_failed and kept, in place of any that docs has.
 
-    Lines above the limits (in min_docs documents of the host and over max_ratio of them) are taken away; the counts are
-    of the text as it was. A document is depleted if less than min_left_percent of its words are left. kept: neither base_failed nor depleted.
-    A null text has no words and fails. n_repeat_words compares hashes of 64 bits less those of a word's position.
+    Lines above the limits (in min_docs pages of the host and over max_ratio of them, or in over max_docs) are taken away;
+    the counts are of the text as it was. A document is depleted if less than min_left_percent of its words are left.
+    kept: neither base_failed nor depleted. A null text has no words and fails.
+    Three-word windows are sorted by hashes, less the bits of a position; neighbours that agree are compared by their words,
+    and a text in which hashes of different words agree is counted anew by the words themselves.
     """
-    f, words, lines, hashes, n, bits, keys, at = free_names(docs, "frequent", "words", "lines_", "hashes", "n_triples", "bits", "keys", "starts")
-    frequent = frequent_lines(line_frequencies(docs, text_col=text_col, host_col=host_col, by_smallest=by_smallest), min_docs, max_ratio)
+    f, own, words, lines, hashes, n, bits, keys, twins = free_names(docs, "frequent", "own_frequent", "words", "lines_", "hashes", "n_triples", "bits", "keys", "twins")
+    frequent = frequent_lines(line_frequencies(docs, text_col=text_col, host_col=host_col), min_docs, max_ratio, max_docs)
     d = with_frequent(docs, frequent, host_col=host_col, name=f)
     text = F.coalesce(F.col(text_col), F.lit(""))
     spaced = text
@@ -115,49 +127,56 @@ def quality_rules(
         lines: F.filter(text_lines(F.col(text_col)), lambda l: l.rlike(HAS_WORD)),
     })
     size = F.size(words)
-    d = d.withColumns({hashes: F.transform(words, lambda w: F.xxhash64(w)), bits: F.length(F.bin(size)).cast("int"), n: F.greatest(size - 2, F.lit(0))})
+    d = d.withColumns({hashes: F.transform(words, lambda w: F.xxhash64(w)), bits: F.length(F.bin(size)).cast("int"), n: F.greatest(size - 2, F.lit(0)), own: own_frequent(F.col(lines), F.col(f))})
     pair = F.zip_with(F.slice(hashes, 1, F.col(n)), F.slice(hashes, 2, F.col(n)), lambda x, y: F.xxhash64(x, y))
     d = d.withColumn(keys, F.zip_with(pair, F.slice(hashes, 3, F.col(n)), lambda x, y: F.call_function("shiftleft", F.xxhash64(x, y), F.col(bits))))
     d = d.withColumn(keys, F.sort_array(F.transform(keys, lambda k, i: k.bitwiseOR(i.cast("long")))))
     m = F.greatest(F.col(n) - 1, F.lit(0))
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(bits)) - 1
-    twins = F.zip_with(F.slice(keys, 1, m), F.slice(keys, 2, m), lambda x, y: F.when(F.call_function("shiftright", x.bitwiseXOR(y), F.col(bits)) == 0, F.array(x.bitwiseAND(mask), y.bitwiseAND(mask))))
-    d = d.withColumn(at, F.sort_array(F.array_distinct(F.flatten(F.array_compact(twins)))))
-    covered = F.aggregate(at, F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n")), lambda s, p: F.struct(p.alias("last"), (s["n"] + F.least(F.lit(3).cast("long"), p - s["last"])).alias("n")))["n"]
-    gone = F.aggregate(F.filter(lines, lambda l: is_frequent(l, F.col(f))), F.lit(0).cast("long"), lambda s, l: s + F.size(F.array_remove(F.split(l, GAP), "")))
+    near = F.zip_with(F.slice(keys, 1, m), F.slice(keys, 2, m), lambda x, y: F.when(F.call_function("shiftright", x.bitwiseXOR(y), F.col(bits)) == 0, F.array(x.bitwiseAND(mask), y.bitwiseAND(mask))))
+    d = d.withColumn(twins, F.array_compact(near))
+    at = lambda p, k: F.get(words, (p + k).cast("int"))
+    lied = F.exists(twins, lambda t: (at(t[0], 0) != at(t[1], 0)) | (at(t[0], 1) != at(t[1], 1)) | (at(t[0], 2) != at(t[1], 2)))
+    triples = F.sort_array(F.transform(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1), lambda i: F.struct(F.array_join(F.slice(words, i.cast("int") + 1, 3), " ").alias("w"), i.alias("i"))))
+    exact = F.array_compact(F.zip_with(F.slice(triples, 1, m), F.slice(triples, 2, m), lambda x, y: F.when(x["w"] == y["w"], F.array(x["i"], y["i"]))))
+    starts = F.sort_array(F.array_distinct(F.flatten(F.when(lied, exact).otherwise(F.col(twins)))))
+    covered = F.aggregate(starts, F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n")), lambda s, p: F.struct(p.alias("last"), (s["n"] + F.least(F.lit(3).cast("long"), p - s["last"])).alias("n")))["n"]
+    gone = F.aggregate(F.filter(lines, lambda l: is_frequent(l, F.col(own))), F.lit(0).cast("long"), lambda s, l: s + F.size(F.array_remove(F.split(l, GAP), "")))
+    untouched = F.coalesce(F.size(own), F.lit(0)) <= 0
     counts = F.struct(
         F.size(words).cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
-        F.when(F.col(f).isNull(), F.lit(0).cast("long")).otherwise(gone).alias("n_frequent_words"),
+        F.when(untouched, F.lit(0).cast("long")).otherwise(gone).alias("n_frequent_words"),
     )
-    everything = text_lines(F.col(text_col))
-    less = F.when(F.exists(lines, lambda l: is_frequent(l, F.col(f))), F.array_join(F.filter(everything, lambda l: ~is_frequent(l, F.col(f))), "\n")).otherwise(F.col(text_col))
+    less = F.when(untouched, F.col(text_col)).otherwise(F.array_join(F.filter(text_lines(F.col(text_col)), lambda l: ~is_frequent(l, F.col(own))), "\n"))
+    plain = [c for c in docs.columns if c.lower() not in {*COUNTS, "base_failed", "kept"}]
     # a generator: a filter on the verdict isn't pushed below it, where each use would work all this out again
-    d = d.select(*(less.alias(c) if c == text_col else F.col(c) for c in docs.columns), F.inline(F.array(counts)))
+    d = d.select(*(less.alias(c) if c == text_col else F.col(c) for c in plain), F.inline(F.array(counts)))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
     left = (F.col("n_words") - F.col("n_frequent_words")) * 100 >= F.col("n_words") * min_left_percent
     return d.withColumn("base_failed", failed).withColumn("kept", ~failed & left)
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_frequent_words")
+
 
-#: One document's versions count once by their smallest line, in SQL as above.
-def oracle_frequent(min_docs: int, max_ratio: float) -> str:
+#: Pages of a host are its distinct texts with a word, in SQL as above.
+def oracle_frequent(min_docs: int, max_ratio: float, max_docs: int | None = None) -> str:
+    also = "" if max_docs is None else f" OR n_docs > {max_docs}"
     return rf"""
 lines AS (
-  SELECT doc_id, source, line, CAST('0x' || substr(md5(lower(trim(line, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)))), 1, 15) AS BIGINT) AS h
-  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
-), sketches AS (
-  SELECT DISTINCT source, h, min(h) OVER (PARTITION BY doc_id) AS sketch FROM lines
+  SELECT doc_id, source, text, line, CAST('0x' || substr(md5(lower(trim(line, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)))), 1, 15) AS BIGINT) AS h
+  FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), counts AS (
-  SELECT source, h, count(*) AS n_docs FROM sketches GROUP BY source, h
+  SELECT source, h, count(DISTINCT text) AS n_docs FROM lines GROUP BY source, h
 ), hosts AS (
-  SELECT source, count(DISTINCT sketch) AS host_docs FROM sketches GROUP BY source
+  SELECT source, count(DISTINCT text) AS host_docs FROM documents WHERE regexp_matches(text, '[^\x20\x09-\x0D]') GROUP BY source
 ), frequent AS (
   SELECT c.source, h FROM counts c JOIN hosts s ON c.source IS NOT DISTINCT FROM s.source
-  WHERE n_docs >= {min_docs} AND n_docs > CAST(host_docs AS DOUBLE) * CAST({max_ratio} AS DOUBLE)
+  WHERE n_docs >= {min_docs} AND (n_docs > CAST(host_docs AS DOUBLE) * CAST({max_ratio} AS DOUBLE){also})
 )"""
 
 
@@ -176,9 +195,9 @@ FROM documents d LEFT JOIN by_doc b USING (doc_id)
 """
 
 
-def oracle_rules(min_docs: int = 25, max_ratio: float = 0.04, min_words: int = 50, max_repeat_percent: int = 50, min_left_percent: int = 20) -> str:
+def oracle_rules(min_docs: int = 25, max_ratio: float = 0.04, max_docs: int = 5000, min_words: int = 50, max_repeat_percent: int = 50, min_left_percent: int = 20) -> str:
     return rf"""
-WITH {oracle_frequent(min_docs, max_ratio)}, words AS (
+WITH {oracle_frequent(min_docs, max_ratio, max_docs)}, words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, coalesce(text, '') AS text FROM documents
 ), each AS (
   SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM words

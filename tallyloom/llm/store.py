@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -13,10 +13,13 @@ CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where none is set, as in tests."""
+    """The cluster's spark.checkpoint.dir; a folder of our own only in a local session without one, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyloom-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="tallyloom-"))
     return sc.getCheckpointDir()
 
 
@@ -33,6 +36,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that cut or a stage wrote, once no one reads it any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def hot_keys(counts: DataFrame, keys: list[str], total: int, floor: int = 20_000) -> DataFrame:
+    """(keys, salts) of the keys with more than max(floor, total / 100,000) of all rows; counts: (keys, n).
+
+    At most 100,000 keys can have so many, whatever the table, so the result may be broadcast.
+    """
+    most = max(floor, total // 100_000)
+    return cut(counts.where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("salts")))
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str, hot: DataFrame, spread: Column) -> DataFrame:
+    """big join small on keys, the rows of a hot key in as many parts as hot says: big by spread, small once in each."""
+    salts, salt = free_names(big, "salts", "salt")
+    marks = F.broadcast(hot.withColumnRenamed("salts", salts))
+    n = F.coalesce(salts, F.lit(1))
+    b = big.join(marks, keys, "left").withColumn(salt, F.pmod(F.xxhash64(spread), n).cast("int")).drop(salts)
+    s = small.join(marks, keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), n - 1))).drop(salts)
+    return b.join(s.hint("merge"), [*keys, salt], how).drop(salt)
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """Column names for internal use that df doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -1,4 +1,5 @@
 import re
+from collections import Counter, defaultdict
 from hashlib import md5
 
 from llm_rows import prose, row
@@ -18,12 +19,13 @@ def base(text):
             dup += line in seen
             seen.add(line)
     triples = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-    hit = {i + k for i, t in enumerate(triples) if triples.count(t) > 1 for k in range(3)} if len(w) < 2000 else set()
+    often = Counter(triples)
+    hit = {i + k for i, t in enumerate(triples) if often[t] > 1 for k in range(3)}
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(hit)
 
 
 def test_base_counts(frame, edge_rows):
-    rows = [r for r in edge_rows if len(r[1] or "") < 20_000] + [row(20, "a b c d a b c x\na b c\na b c\n\n a b c"), row(21, "w " * 120), row(22, "x y z x y z x y z q")]
+    rows = edge_rows + [row(20, "a b c d a b c x\na b c\na b c\n\n a b c"), row(21, "w " * 120), row(22, "x y z x y z x y z q")]
     out = lines.quality_rules(frame(rows)).collect()
     assert sorted((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in out) == sorted(base(r[1]) for r in rows)
     for r in out:
@@ -66,6 +68,39 @@ def test_a_frame_line_counts_by_pages_if_it_is_the_smallest(frame):
     out = lines.drop_site_lines(frame(rows), stats=True).collect()
     assert all(r.n_dropped == 1 and frame_line not in r.text for r in out)
     assert all(r.n_frequent_words == 6 for r in lines.quality_rules(frame(rows)).collect())
+    two = site(200, frame_line + "\nAll rights reserved")
+    assert sum(r.n_dropped for r in lines.drop_site_lines(frame(two), stats=True).collect()) == 400
+
+
+def by_hand(rows, min_docs, max_ratio, max_docs):
+    """(host, normalised line) above the limits, from the documents themselves."""
+    holds, pages = defaultdict(set), defaultdict(set)
+    for r in rows:
+        for line in (r[1] or "").split("\n"):
+            if WORD.search(line):
+                pages[r[3]].add(r[1])
+                holds[r[3], line.strip(" \t\r\x0b\x0c").lower()].add(r[1])
+    return {k for k, v in holds.items() if len(v) >= min_docs and (len(v) > max_ratio * len(pages[k[0]]) or len(v) > max_docs)}
+
+
+def test_against_counts_by_hand(frame):
+    shared = [prose(900 + k, 5) for k in range(6)]
+    rows = [row(i, "\n".join([prose(i, 30), *(s if i % 2 else s.upper() + " " for k, s in enumerate(shared) if i % (3 * k + 1) == 0), prose(400 + i, 25)]), "en", "ab"[i % 5 == 0] if i % 11 else None) for i in range(300)]
+    rows += rows[:30]
+    for options in ({"min_docs": 10, "max_ratio": 0.2, "max_docs": 10**6}, {"min_docs": 10, "max_ratio": 0.9, "max_docs": 40}):
+        gone = by_hand(rows, **options)
+        assert gone
+        out = lines.quality_rules(frame(rows), **options).collect()
+        want = {r[0]: "\n".join(x for x in r[1].split("\n") if (r[3], x.strip(" ").lower()) not in gone) for r in rows}
+        assert {r.doc_id: r.text for r in out} == want
+
+
+def test_columns_named_as_the_results(frame):
+    docs = frame(site(20, "Subscribe")).withColumns({c: F.lit("mine") for c in (*lines.COUNTS, "kept", "base_failed", "n_lines", "n_dropped", "frequent", "own_frequent")})
+    out = lines.quality_rules(docs)
+    assert len(set(out.columns)) == len(out.columns) and out.where("kept").count() == 20
+    out = lines.drop_site_lines(docs, stats=True)
+    assert out.agg(F.sum("n_dropped")).first()[0] == 20 and out.where("kept = 'mine'").count() == 20
 
 
 def test_edges(frame, edge_rows):
