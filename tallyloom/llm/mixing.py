@@ -3,13 +3,13 @@
 Every source has a target in words. Each of its documents is expected target / size-of-source times, at
 most max_repeats. The documents of a source stand in one order; expected copies are summed up along it, one
 offset in [0, 1) is added, and a document is taken once for each integer that its step crosses. The order is
-by size class (length and next two bits of the size), then md5 of the id: neighbours are of like size, so a
-source's taken words come near its target.
+by size, then md5 of the id. Of neighbours in that order one is taken a word more often where the other is a word
+less, so the words taken from a source differ from its target by less than twice the size of its largest document.
 
-Positions come in three levels, none of which is one task over a source: counts of (source, class, first
-hex digit of the md5), counts within by the first three digits, and row numbers within those.
+Positions come in levels, none of which is one task over a source: counts of (source, size class), of sizes within a
+class, of the first two hex digits of the md5 within a size, and row numbers within those.
 
-A null text has size 0; a null source is a source, the last one. Rows that repeat are taken each by
+A null text has size 0; a null source is a source, the last one. Rows that repeat, or share an id, are taken each by
 itself. An empty table gives no rows. Other columns are left alone.
 """
 
@@ -40,16 +40,26 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], max_repeats: fl
     return s.select("key", "source", F.col("size").alias("source_size"), F.least("cap", F.col("level") * F.col("w")).alias("target"))
 
 
-def positions(rows: DataFrame) -> DataFrame:
-    """rows (key, band, digest, ...) -> also position: from 1 within key by band, digest."""
-    fine = rows.withColumn("d1", F.substring("digest", 1, 1)).withColumn("d3", F.substring("digest", 1, 3))
-    cells = fine.groupBy("key", "band", "d1", "d3").agg(F.count(F.lit(1)).alias("n"))
-    coarse = cells.groupBy("key", "band", "d1").agg(F.sum("n").alias("n1"))
-    coarse = coarse.select("key", "band", "d1", (F.sum("n1").over(Window.partitionBy("key").orderBy("band", "d1")) - F.col("n1")).alias("before1"))
-    cells = cells.select("key", "band", "d1", "d3", (F.sum("n").over(Window.partitionBy("key", "band", "d1").orderBy("d3")) - F.col("n")).alias("before3"))
-    cells = cells.join(coarse, ["key", "band", "d1"]).select("key", "band", "d3", (F.col("before1") + F.col("before3")).alias("before"))
-    row = F.row_number().over(Window.partitionBy("key", "band", "d3").orderBy("digest"))
-    return fine.withColumn("row", row).join(cells, ["key", "band", "d3"]).withColumn("position", F.col("row") + F.col("before")).drop("d1", "d3", "row", "before")
+def positions(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """rows (key, size, digest, ...) -> also position, from 1 within key by size and digest, and the columns of their source's target.
+
+    The rows meet their source's columns by (key, size, digits), never by the key alone.
+    """
+    bits = F.bin("size")
+    band = F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 2, 2))
+    fine = rows.withColumn("d2", F.substring("digest", 1, 2))
+    cells = cut(fine.groupBy("key", "size", "d2").agg(F.count(F.lit(1)).alias("n")).withColumn("band", band))
+    sizes = cells.groupBy("key", "band", "size").agg(F.sum("n").alias("n"))
+    bands = sizes.groupBy("key", "band").agg(F.sum("n").alias("n"))
+    before = lambda *by: F.sum("n").over(Window.partitionBy(*by[:-1]).orderBy(by[-1])) - F.col("n")
+    bands = bands.select("key", "band", before("key", "band").alias("b1")).join(targets, "key")
+    sizes = sizes.select("key", "band", "size", before("key", "band", "size").alias("b2")).join(bands, ["key", "band"])
+    cells = cells.select("key", "size", "d2", before("key", "size", "d2").alias("b3")).join(sizes, ["key", "size"])
+    cells = cells.withColumn("before", F.col("b1") + F.col("b2") + F.col("b3")).drop("band", "b1", "b2", "b3")
+    order = [c for c in ("digest", "row") if c in rows.columns]
+    row = F.row_number().over(Window.partitionBy("key", "size", "d2").orderBy(*order))
+    out = fine.withColumn("rank", row).join(cells, ["key", "size", "d2"])
+    return out.withColumn("position", F.col("rank") + F.col("before")).drop("d2", "rank", "before")
 
 
 def unit_offset(key: Column, seed: int) -> Column:
@@ -58,42 +68,56 @@ def unit_offset(key: Column, seed: int) -> Column:
 
 
 def mix_sources(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), max_repeats: float = 3, seed: int = 42
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[float, ...] = (5, 2, 1),
+    max_repeats: float = 3,
+    seed: int = 42,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row per row of docs: id, size, source_size, target of its source, copies, taken (words, repeats counted)."""
-    bits = F.bin("size")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size"))
-    rows = cut(rows).withColumns({
-        "key": F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))),
-        "band": F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 2, 2)),
-        "digest": F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))),
-    })
+    """One row per row of docs: id, size, source_size, target of its source, copies, taken (words, repeats counted).
+
+    row_col: a column of docs that tells rows apart where ids don't; it is then given back as well.
+    """
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+    row = [F.col(row_col).alias("row")] if row_col else []
+    rows = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *row))
+    key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
+    rows = rows.withColumns({"key": key, "digest": F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))})
     sizes = rows.groupBy("key", "source").agg(F.sum("size").alias("size"))
     targets = source_targets(sizes, weights, max_repeats).drop("source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = targets.withColumn("rate", rate).withColumn("u", unit_offset(F.col("key"), seed))
-    at = positions(rows.select("id", "key", "size", "band", "digest")).join(targets, "key")
+    at = positions(rows.drop("source"), targets)
     copies = F.floor(F.col("rate") * F.col("position") + F.col("u")) - F.floor(F.col("rate") * (F.col("position") - 1) + F.col("u"))
-    return at.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
-
+    out = [F.col("id").alias(id_col), "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken")]
+    return at.select(*out, *([F.col("row").alias(row_col)] if row_col else []))
 
-def emit_copies(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """docs with each row as often as mixed says; ids must be distinct in docs.
 
-    A copy keeps all columns. The join is on the id, so no source is one task.
-    """
-    copies, key = free_names(docs, "copies", "mixed_id")
-    m = mixed.select(F.col(id_col).alias(key), F.col("copies").alias(copies)).where(F.col(copies) > 0)
-    both = docs.join(m, F.col(id_col).eqNullSafe(F.col(key)))
+def emit_copies(docs: DataFrame, mixed: DataFrame, *, row_col: str) -> DataFrame:
+    """docs with each row as often as mixed says, matched by row_col, which tells all rows apart. A copy keeps all columns."""
+    copies, key = free_names(docs, "copies", "mixed_row")
+    m = mixed.select(F.col(row_col).alias(key), F.col("copies").alias(copies)).where(F.col(copies) > 0)
+    both = docs.join(m, F.col(row_col) == F.col(key))
     return both.withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
 
 
+def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """docs with each row as often as mix_sources takes it; null and repeated ids are no matter, as rows get a key of their own."""
+    row, = free_names(docs, "mix_row")
+    keyed = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    return emit_copies(keyed, mix_sources(keyed, id_col=id_col, row_col=row, **options), row_col=row).select(*docs.columns)
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
 ), r AS (
   SELECT *, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS key,
-    lpad(CAST(length(bin(size)) AS VARCHAR), 2, '0') || substr(bin(size), 2, 2) AS band, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM d
+    md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM d
 ), s AS (
   SELECT key, source, CAST(sum(size) AS BIGINT) AS size FROM r GROUP BY key, source
 ), w AS (
@@ -106,7 +130,7 @@ WITH d AS (
 ), t AS (
   SELECT key, f.size AS source_size, least(cap, l.level * w) AS target FROM f, l
 ), p AS (
-  SELECT doc_id, size, key, row_number() OVER (PARTITION BY key ORDER BY band, digest) AS k FROM r
+  SELECT doc_id, size, key, row_number() OVER (PARTITION BY key ORDER BY size, digest) AS k FROM r
 ), c AS (
   SELECT p.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
     CAST(CAST('0x' || substr(md5('42:' || p.key), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u
