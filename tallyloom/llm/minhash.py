@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import cut, free_names
+from .store import cut, free_names, hot_keys, salted_join
 
 STEP = np.uint64(0x9FB21C651E98DF25)
 
@@ -293,7 +293,9 @@ def near_duplicates(
     vertices = cut(texts.groupBy("text_md5").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")))
     banded = vertices.select("id", "n_shingles", F.explode("bands").alias("bucket"))
     centres = cut(banded.groupBy("bucket").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("mass")).where(F.col("n") > 1))
-    members = banded.join(centres, "bucket")
+    # a bucket may hold a third of all texts: its rows meet its centre in many parts
+    hot = hot_keys(centres, ["bucket"], vertices.count() * bands)
+    members = salted_join(banded, centres, ["bucket"], "inner", hot, F.col("id"))
     pairs = members.where(F.col("id") != F.col("centre")).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     pairs = cut(pairs)
     involved = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
@@ -321,7 +323,10 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each class: the one with the smallest id. Rows with a null id stay."""
-    key, = free_names(docs, "near_id")
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias(key)).distinct()
-    return docs.where(F.col(id_col).isNull()).union(docs.join(kept, docs[id_col] == F.col(key), "left_semi"))
+    """docs with one row of each class: the one with the smallest id, a null one last. Rows get a key of their own, so null and repeated ids are no matter."""
+    row, of, first = free_names(docs, "near_row", "near_class", "near_first")
+    keyed = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    classes = near_duplicates(keyed.select(row, text_col), id_col=row, text_col=text_col, **options).select(F.col(row).alias(first), F.col("class_id").alias(of))
+    ids = keyed.select(F.col(row), F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"))
+    best = classes.join(ids, F.col(first) == F.col(row)).groupBy(of).agg(F.min(F.struct("no_id", "id", row)).alias("best"))
+    return keyed.join(best.select(F.col(f"best.{row}").alias(row)), row, "left_semi").select(*docs.columns)

@@ -23,3 +23,21 @@ def test_stages(spark, frame, tmp_path):
     assert sum(r.n_tokens for r in seen[4].collect()) > 0
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted((r.doc_id, r.ids_sha256) for r in whole.collect()) == sorted((r.doc_id, r.ids_sha256) for r in seen[4].collect())
+
+
+def test_null_and_repeated_ids_and_clashing_columns(spark, frame, tmp_path):
+    rows = [row(None if i % 3 else 5, prose(i, 90) + "\nSubscribe to our letter\n" + prose(600 + i, 40), "en", "ab"[i % 2]) for i in range(60)]
+    rows += [rows[0]] * 4
+    docs = frame(rows)
+    for c in ("n_words", "kept", "n_dropped", "document", "near_row", "mix_row", "copies"):
+        docs = docs.withColumnRenamed("words", c) if c == "n_words" else docs.withColumn(c, docs["n_words"])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    seen = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    sizes = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, seen, str(tmp_path))
+        assert out.columns == docs.columns and out.where("n_words = 3 and kept = 3 and document = 3").count() == out.count()
+        seen = out
+        sizes.append(out.count())
+    assert sizes == [64, 64, 60, 60]
+    assert len(corpus_pipeline.run(spark, str(tmp_path)).collect()) == 60
