@@ -9,22 +9,28 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import bpe, lines, minhash, mixing
 from tallyloom.llm.queries import tokenizer_path
-from tallyloom.llm.store import shared_dir
+from tallyloom.llm.store import remove, shared_dir
 
 
-def with_n_chars(out: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of docs; n_chars as the text has now."""
-    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(*docs.columns)
+def packed(docs: DataFrame) -> DataFrame:
+    """text and source, and the other columns as one, so that none can clash with those that an operator adds."""
+    return docs.select("text", "source", F.struct(*(c for c in docs.columns if c not in ("text", "n_chars"))).alias("document"))
+
+
+def unpacked(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, with the text and its n_chars as they are now."""
+    now = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*(now[c].alias(c) if c in now else F.col("document")[c].alias(c) for c in docs.columns))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, their text less the lines above the limits; n_chars as the text has now."""
-    return with_n_chars(lines.quality_rules(docs).where("kept"), docs)
+    return unpacked(lines.quality_rules(packed(docs)).where("kept"), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their text less the frame lines of its site; n_chars as the text has now."""
-    return with_n_chars(lines.drop_site_lines(docs), docs)
+    return unpacked(lines.drop_site_lines(packed(docs)), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target takes it."""
-    return mixing.emit_copies(docs, mixing.mix_sources(docs)).select(*docs.columns)
+    return mixing.mix_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +55,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written to the shared folder and read again."""
+    """The stages over documents, each written to the shared folder and read again; a stage's input goes once its output is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                remove(spark, before)
+            before = path
     return docs
