@@ -37,8 +37,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def byte_values() -> np.ndarray:
-    return per_worker("byte_values", lambda: mix(np.arange(1, 257, dtype=np.uint64) * BASE) | np.uint64(1))
+def byte_values(seed: int = 0) -> np.ndarray:
+    return per_worker(f"byte_values {seed}", lambda: mix(np.arange(1 + 256 * seed, 257 + 256 * seed, dtype=np.uint64) * BASE) | np.uint64(1))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

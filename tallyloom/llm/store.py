@@ -52,12 +52,13 @@ def hot_keys(counts: DataFrame, keys: list[str], total: int, floor: int = 20_000
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str, hot: DataFrame, spread: Column) -> DataFrame:
-    """big join small on keys, the rows of a hot key in as many parts as hot says: big by spread, small once in each."""
+    """big join small on keys, the rows of a hot key in as many parts as hot says: big by spread, small once in each. hot: by keys or some of them."""
     salts, salt = free_names(big, "salts", "salt")
     marks = F.broadcast(hot.withColumnRenamed("salts", salts))
+    by = [c for c in hot.columns if c != "salts"]
     n = F.coalesce(salts, F.lit(1))
-    b = big.join(marks, keys, "left").withColumn(salt, F.pmod(F.xxhash64(spread), n).cast("int")).drop(salts)
-    s = small.join(marks, keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), n - 1))).drop(salts)
+    b = big.join(marks, by, "left").withColumn(salt, F.pmod(F.xxhash64(spread), n).cast("int")).drop(salts)
+    s = small.join(marks, by, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), n - 1))).drop(salts)
     return b.join(s.hint("merge"), [*keys, salt], how).drop(salt)
 
 

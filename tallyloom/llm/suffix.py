@@ -12,9 +12,13 @@ two suffixes are compared by their longest common extension, found by binary sea
 The common extensions of neighbours are verified byte by byte; where a hash has lied, the bucket is sorted by its
 bytes. Two strings with the same distance to their anchor are equal if nothing between them in either order has a
 shorter extension than that distance, so classes of equal strings follow from both orders at once.
-Buckets of more wordings than bucket_rows are not gathered: there every string counts by a 128-bit hash.
+Buckets of more wordings than bucket_rows are not gathered: there equal strings are found by hashes of 128 bits.
 
-Runs are told apart by 64-bit hashes of core and of whole (both must agree).
+Whatever was found equal by hashes alone, whole runs or the strings of those buckets, is then compared by its bytes
+with one occurrence of each wording; equal stretches of two texts are joined first, so that a byte travels once. If any
+differs, all is done anew with other hashes.
+
+Keys that hold a large share of all rows are joined in parts (store.salted_join).
 A null text counts as empty. Rows that repeat are occurrences each; rows with equal id and text get equal results.
 """
 
@@ -30,15 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import cut
+from .store import cut, hot_keys, salted_join
 
 GRAM = 32
 
 
-def second_values() -> np.ndarray:
-    return K.per_worker("second values", lambda: K.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1))
-
-
 def core_of(length: int, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distances lo to hi from start to anchor of each half."""
     width = length - GRAM + 1
@@ -46,7 +46,7 @@ def core_of(length: int, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(half == 0, 0, middle), np.where(half == 0, middle - 1, width - 1)
 
 
-def runs(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def runs(buf: np.ndarray, offsets: np.ndarray, length: int, seed: int = 0) -> tuple[np.ndarray, ...]:
     """text, first start, last start, anchor (positions in the text), hash of the core and hash of the whole, for every half run."""
     width = length - GRAM + 1
     sizes = np.diff(offsets)
@@ -54,7 +54,7 @@ def runs(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray,
     empty = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     if n < length or not (sizes >= length).any():
         return empty
-    c = K.prefix_hashes(buf)
+    c = K.prefix_hashes(buf, K.byte_values(seed))
     grams = K.span_hashes(c, np.arange(n - GRAM + 1), np.arange(GRAM, n + 1))
     bits = np.uint64(max(1, int(n).bit_length()))
     v = grams >> bits << bits | np.arange(len(grams), dtype=np.uint64)
@@ -233,37 +233,63 @@ def grouped_batches(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.
         yield rest
 
 
-def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, bucket_rows: int = 20_000) -> DataFrame:
-    """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of from, to in bytes)."""
+def joined(parts: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(shift, from, to): those of one shift that meet or overlap are made one."""
+    out: list[tuple[int, int, int]] = []
+    for shift, a, b in sorted(parts):
+        if out and out[-1][0] == shift and a <= out[-1][2]:
+            out[-1] = (shift, out[-1][1], max(b, out[-1][2]))
+        else:
+            out.append((shift, a, b))
+    return out
+
+
+def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, bucket_rows: int = 20_000, hash_bits: int = 64) -> DataFrame:
+    """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of from, to in bytes).
+
+    hash_bits: of the hashes that tell wordings apart in the first attempt; fewer than 64 only to test the verification.
+    """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("th", F.xxhash64("text"))
+    rows = rows.withColumn("ik", F.coalesce(F.col("id").cast("string"), F.lit(""))).withColumn("th", F.xxhash64("text"))
+    for seed in range(8):
+        out = attempt(rows, length, bucket_rows, seed, 64 if seed else hash_bits)
+        if not out.where(~F.col("agrees")).limit(1).count():
+            return out.drop("agrees").withColumnRenamed("id", id_col)
+    raise RuntimeError("strings with equal hashes differ, whatever the seed")
+
+
+def attempt(rows: DataFrame, length: int, bucket_rows: int, seed: int, hash_bits: int) -> DataFrame:
+    """removed_spans of rows (id, text, ik, th) with one set of hashes; agrees: whether all that was taken for equal with this text is."""
+    kind = rows.schema["id"].dataType.simpleString()
+    mask = np.uint64((1 << hash_bits) - 1)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = K.packed(batch.column(1))
             for i, j in K.groups(offsets):
-                text, a, b, anchor, core, whole = runs(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
+                text, a, b, anchor, core, whole = runs(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, seed)
                 pick = pa.array(text + i)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pick), batch.column(2).take(pick), pa.array(a, pa.int32()), pa.array(b - a, pa.int16()), pa.array(anchor - a, pa.int16()), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64))],
-                    ["id", "th", "a", "more", "anchor", "core", "whole"],
+                    [batch.column(0).take(pick), batch.column(2).take(pick), pa.array(a, pa.int32()), pa.array(b - a, pa.int16()), pa.array(anchor - a, pa.int16()), pa.array(core.view(np.int64)), pa.array((whole & mask).view(np.int64))],
+                    ["ik", "th", "a", "more", "anchor", "core", "whole"],
                 )
 
-    found = rows.mapInArrow(find, f"id {kind}, th bigint, a int, more smallint, anchor smallint, core bigint, whole bigint")
-    shared = found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("core")
-    live = cut(found.hint("merge").join(shared, "core", "left_semi"))
-    wordings = cut(live.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "th", "a", "more", "anchor")).alias("one")))
-    several = wordings.groupBy("core").agg(F.count(F.lit(1)).alias("wordings")).where(F.col("wordings") > 1)
-    asked = wordings.join(several.hint("merge"), "core")
-    asked = asked.groupBy("one.id", "one.th").agg(F.collect_list(F.struct("core", "whole", "one.a", "one.more", "one.anchor", "wordings")).alias("asked"))
+    found = rows.select("ik", "text", "th").mapInArrow(find, "ik string, th bigint, a int, more smallint, anchor smallint, core bigint, whole bigint")
+    shared = cut(found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    hot = hot_keys(shared, ["core"], total)
+    live = cut(salted_join(found, shared.select("core"), ["core"], "left_semi", hot, F.struct("ik", "a")))
+    wordings = cut(live.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ik", "th", "a", "more", "anchor")).alias("one")))
+    several = cut(wordings.groupBy("core").agg(F.count(F.lit(1)).alias("wordings")).where(F.col("wordings") > 1))
+    asked = salted_join(wordings, several, ["core"], "inner", hot_keys(several.withColumnRenamed("wordings", "n"), ["core"], total), F.col("whole"))
+    asked = asked.groupBy(F.col("one.ik").alias("ik"), F.col("one.th").alias("th")).agg(F.collect_list(F.struct("core", "whole", "one.a", "one.more", "one.anchor", "wordings")).alias("asked"))
 
     def carve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = K.packed(batch.column(0))
-            lists = batch.column(1)
+            lists = batch.column(3)
             parent = pc.list_parent_indices(lists).to_numpy()
             flat = lists.flatten()
             col = {n: flat.field(n) for n in ("core", "whole", "a", "more", "anchor", "wordings")}
@@ -271,10 +297,14 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             size = col["more"].to_numpy().astype(np.int64) + length
             for some in np.array_split(np.arange(len(start)), max(1, len(start) // 8000)):
                 data = [buf[s : s + z].tobytes() for s, z in zip(start[some], size[some], strict=True)]
-                yield pa.RecordBatch.from_arrays([*(col[n].take(pa.array(some)) for n in ("core", "whole", "more", "anchor", "wordings")), pa.array(data, pa.binary())], ["core", "whole", "more", "anchor", "wordings", "data"])
+                of = pa.array(parent[some])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(1).take(of), batch.column(2).take(of), *(col[n].take(pa.array(some)) for n in ("core", "whole", "a", "more", "anchor", "wordings")), pa.array(data, pa.binary())],
+                    ["ik", "th", "core", "whole", "a", "more", "anchor", "wordings", "data"],
+                )
 
-    texts = rows.hint("merge").join(asked, rows["id"].eqNullSafe(asked["id"]) & (rows["th"] == asked["th"])).select(rows["text"], "asked")
-    carved = texts.mapInArrow(carve, "core bigint, whole bigint, more smallint, anchor smallint, wordings bigint, data binary")
+    texts = rows.select("text", "ik", "th").hint("merge").join(asked, ["ik", "th"]).select("text", "ik", "th", "asked")
+    carved = texts.mapInArrow(carve, "ik string, th bigint, core bigint, whole bigint, a int, more smallint, anchor smallint, wordings bigint, data binary")
     carved = cut(carved.dropDuplicates(["core", "whole"]))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,31 +320,61 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             m, a, b = spans_of(member, start)
             yield pa.RecordBatch.from_arrays([pa.array(core[m]), pa.array(t.column("whole").to_numpy()[m]), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["core", "whole", "from", "to"])
 
+    few = carved.where(F.col("wordings") <= bucket_rows).select("core", "whole", "more", "anchor", "data").repartition("core").sortWithinPartitions("core")
+    edges = few.mapInArrow(compare, "core bigint, whole bigint, `from` int, `to` int")
+    claim_fields = "ik string, th bigint, rik string, rth bigint, shift int, `from` int, `to` int"
+    claims = rows.sparkSession.createDataFrame([], claim_fields)
+
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in range(0, batch.num_rows, 2000):
                 t = batch.slice(some, 2000)
-                data = t.column(2).to_pylist()
+                data = t.column(6).to_pylist()
                 buf = np.frombuffer(b"".join(data), np.uint8)
-                n = t.column(3).to_numpy().astype(np.int64) + 1
+                n = t.column(5).to_numpy().astype(np.int64) + 1
                 owner = np.repeat(np.arange(len(n)), n)
                 start = K.ramps(n)
                 at = (np.cumsum([len(d) for d in data]) - [len(d) for d in data])[owner] + start
-                h1, h2 = (K.span_hashes(K.prefix_hashes(buf, v), at, at + length) for v in (None, second_values()))
+                h1, h2 = (K.span_hashes(K.prefix_hashes(buf, K.byte_values(seed + k)), at, at + length) for k in (0, 100))
                 pick = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([t.column(0).take(pick), t.column(1).take(pick), pa.array(start, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["core", "whole", "from", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([*(t.column(k).take(pick) for k in range(5)), pa.array(start, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["ik", "th", "core", "whole", "a", "from", "h1", "h2"])
+
+    if several.where(F.col("wordings") > bucket_rows).limit(1).count():
+        many = carved.where(F.col("wordings") > bucket_rows).select("ik", "th", "core", "whole", "a", "more", "data")
+        many = cut(many.mapInArrow(strings, "ik string, th bigint, core bigint, whole bigint, a int, `from` int, h1 bigint, h2 bigint"))
+        key = ["core", "h1", "h2"]
+        twice = cut(many.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ik", "th", (F.col("a") + F.col("from")).alias("at"))).alias("rep")).where(F.col("n") > 1))
+        met = cut(salted_join(many, twice.drop("n"), key, "inner", hot_keys(twice, key, many.count()), F.struct("ik", "a")))
+        edges = edges.union(met.select("core", "whole", "from", F.col("from").alias("to")))
+        at = F.col("a") + F.col("from")
+        claims = met.select("ik", "th", F.col("rep.ik").alias("rik"), F.col("rep.th").alias("rth"), (F.col("rep.at") - at).alias("shift"), at.alias("from"), (at + length).alias("to"))
 
-    few = carved.where(F.col("wordings") <= bucket_rows).repartition("core").sortWithinPartitions("core")
-    edges = few.mapInArrow(compare, "core bigint, whole bigint, `from` int, `to` int")
-    many = carved.where(F.col("wordings") > bucket_rows).select("core", "whole", "data", "more").mapInArrow(strings, "core bigint, whole bigint, `from` int, h1 bigint, h2 bigint")
-    twice = many.groupBy("core", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
-    edges = edges.union(many.join(twice, ["core", "h1", "h2"]).select("core", "whole", "from", F.col("from").alias("to")))
     edges = edges.groupBy("core", "whole").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    verdict = wordings.select("core", "whole", "n").join(edges, ["core", "whole"], "left").where((F.col("n") > 1) | F.col("spans").isNotNull())
-    verdict = cut(verdict.select("core", "whole", F.when(F.col("n") == 1, F.col("spans")).alias("spans")))
-    hits = live.join(verdict.hint("merge"), ["core", "whole"])
-    spans = F.coalesce(F.transform("spans", lambda s: F.struct((F.col("a") + s["from"]).alias("from"), (F.col("a") + s["to"] + length).alias("to"))), F.array(F.struct(F.col("a").alias("from"), (F.col("a") + F.col("more") + length).alias("to"))))
-    by_text = cut(hits.groupBy("id", "th").agg(F.flatten(F.collect_list(spans)).alias("spans")))
+    verdict = wordings.select("core", "whole", "n", "one").join(edges, ["core", "whole"], "left").where((F.col("n") > 1) | F.col("spans").isNotNull())
+    verdict = cut(verdict.select("core", "whole", F.when(F.col("n") == 1, F.col("spans")).alias("spans"), F.when(F.col("n") > 1, F.struct("one.ik", "one.th", "one.a")).alias("rep")))
+    hits = cut(salted_join(live.drop("anchor"), verdict, ["core", "whole"], "inner", hot, F.struct("ik", "a")).drop("core", "whole"))
+    stop = F.col("a") + F.col("more") + length
+    spans = F.coalesce(F.transform("spans", lambda s: F.struct((F.col("a") + s["from"]).alias("from"), (F.col("a") + s["to"] + length).alias("to"))), F.array(F.struct(F.col("a").alias("from"), stop.alias("to"))))
+    by_text = hits.groupBy("ik", "th").agg(F.flatten(F.collect_list(spans)).alias("spans"))
+
+    claims = claims.union(hits.where("rep is not null").select("ik", "th", F.col("rep.ik").alias("rik"), F.col("rep.th").alias("rth"), (F.col("rep.a") - F.col("a")).alias("shift"), F.col("a").alias("from"), stop.alias("to")))
+    claims = claims.where((F.col("shift") != 0) | (F.col("ik") != F.col("rik")) | (F.col("th") != F.col("rth")))
+    claims = claims.groupBy("ik", "th", "rik", "rth").agg(F.collect_list(F.struct("shift", "from", "to")).alias("parts"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [joined([(p["shift"], p["from"], p["to"]) for p in parts]) for parts in batch.column(4).to_pylist()]
+            parts = pa.array([[{"shift": s, "from": a, "to": b} for s, a, b in x] for x in lists], batch.column(4).type)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], parts], batch.schema.names)
+
+    pairs = cut(claims.mapInArrow(merge, "ik string, th bigint, rik string, rth bigint, parts array<struct<shift:int,`from`:int,`to`:int>>"))
+    reps = cut(pairs.groupBy("rik", "rth").agg(F.count(F.lit(1)).alias("n")))
+    wanted = rows.select(F.col("ik").alias("rik"), F.col("th").alias("rth"), "text").hint("merge").join(reps.select("rik", "rth"), ["rik", "rth"], "left_semi").dropDuplicates(["rik", "rth"])
+    met = salted_join(pairs, wanted, ["rik", "rth"], "inner", hot_keys(reps, ["rik", "rth"], pairs.count()), F.struct("ik", "th"))
+    raw = F.col("text").cast("binary")
+    met = met.select("ik", "th", F.transform("parts", lambda p: F.struct(p["from"].alias("from"), F.substring(raw, p["from"] + p["shift"] + 1, p["to"] - p["from"]).alias("data"))).alias("parts"))
+    checks = met.groupBy("ik", "th").agg(F.flatten(F.collect_list("parts")).alias("checks"))
+    by_text = cut(by_text.join(checks, ["ik", "th"], "left"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,9 +400,9 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 out.append((len(text), len(text) - len(kept), len(a), hashlib.sha256(kept.tobytes()).hexdigest(), [{"from": int(x), "to": int(y)} for x, y in zip(a, b, strict=True)]))
             columns = list(zip(*out, strict=True)) if out else [()] * 5
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True)), batch.column(3)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "agrees"])
 
-    same = rows["id"].eqNullSafe(by_text["id"]) & (rows["th"] == by_text["th"])
-    both = rows.hint("merge").join(by_text, same, "left").select(rows["id"], rows["text"], "spans")
-    fields = f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<`from`:int,`to`:int>>"
-    return both.mapInArrow(remove, fields).withColumnRenamed("id", id_col)
+    same = F.coalesce(F.forall("checks", lambda c: F.substring(raw, c["from"] + 1, F.length(c["data"])) == c["data"]), F.lit(True))
+    both = rows.hint("merge").join(by_text, ["ik", "th"], "left").select("id", "text", "spans", same.alias("agrees"))
+    fields = f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<`from`:int,`to`:int>>, agrees boolean"
+    return cut(both.mapInArrow(remove, fields))

@@ -74,3 +74,18 @@ def test_sort_is_a_suffix_sort():
 def test_edges(frame, edge_rows):
     check(frame, edge_rows)
     assert suffix.removed_spans(frame([])).count() == 0
+
+
+def test_equal_hashes_are_compared_by_bytes(frame):
+    rows = mixture(5, 25, 80)
+    got = suffix.attempt(frame(rows).selectExpr("doc_id as id", "text", "cast(doc_id as string) as ik", "xxhash64(text) as th"), 80, 20_000, 0, 3)
+    assert got.where("not agrees").count()
+    check(frame, rows, length=80, hash_bits=3)
+
+
+def test_hot_keys_are_joined_in_parts(frame, monkeypatch):
+    from tallyloom.llm import store
+
+    monkeypatch.setattr(suffix, "hot_keys", lambda counts, keys, total: store.hot_keys(counts, keys, total, floor=3))
+    check(frame, mixture(6, 40, 80), length=80)
+    check(frame, mixture(7, 30, 80), length=80, bucket_rows=1)
