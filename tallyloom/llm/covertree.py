@@ -1,23 +1,29 @@
 """Exact top-k by inner product: two cover trees, one of queries and one of data, searched together.
 
-Data and queries are dealt into blocks, and each pair of blocks is one task: both trees are built there, node
-pairs are walked best bound first, and a pair is pruned if the largest product that its centres and covering
-radii allow is below the worst kth score of the query node's members. Products are whole numbers, exact in
-float64 (below 2**53). Ties go to the smaller id. The blocks' winners, k a query and block, are then merged.
+The top of the tree is a net of at most max_centres vectors, chosen from a bounded sample by farthest-first traversal;
+every vector belongs to its nearest centre, every cell has a covering radius, and cells of more than block_rows vectors
+are split at random. Each query first searches the block whose centre suits it best, which gives it a kth score. Then
+it visits the blocks whose centre and radius allow a product as large as that score, and no others. A block and a group
+of queries meet in one task: both trees are built there, node pairs are walked best bound first, and a pair is pruned if
+the largest product that its centres and covering radii allow is below the worst kth score of the query node's members.
+Products are whole numbers, exact in float64 (below 2**53). Ties go to the smaller id.
 
 A vector that is null, or holds a null or non-finite component, takes no part. Shorter vectors count as padded
-with zeros. Rows that repeat are candidates each; a query's own are all rows with its id. An empty table gives no rows.
+with zeros. Rows that repeat are candidates each; a query's own are all rows with its id. Query rows that share an id
+are queries each. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .store import cut
 
 
@@ -79,8 +85,14 @@ class CoverTree:
         return np.sqrt(np.maximum(self.square[points] + self.square[c] - 2 * (self.x[points] @ self.x[c]), 0))
 
 
-def dual_search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The k best (scores, ids) of each query, padded with -inf; and the number of products taken."""
+def slack(q_norm: np.ndarray | float, x_norm: np.ndarray | float) -> np.ndarray | float:
+    """What rounding may take from a bound."""
+    return 1 + 1e-6 * q_norm * x_norm
+
+
+def dual_search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """The k best (scores, ids) of each query, padded with -inf; and the number of products taken. Scores below a query's floor may be left out."""
+    floor = np.full(len(q), -np.inf) if floor is None else floor
     score = np.full((len(q), k), -np.inf)
     found = np.zeros((len(q), k), x_ids.dtype)
     if not len(q) or not len(x):
@@ -94,20 +106,23 @@ def dual_search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarr
         c = np.array(others)
         rb = np.array([b.radius[i] for i in others])
         mid = x[[b.centre[i] for i in others]] @ q[a.centre[n]]
-        return mid + norm_a[n] * rb + norm_b[c] * a.radius[n] + a.radius[n] * rb + 1
+        return mid + norm_a[n] * rb + norm_b[c] * a.radius[n] + a.radius[n] * rb + slack(norm_a[n] + a.radius[n], norm_b[c] + rb)
+
+    def worst(rows: np.ndarray) -> float:
+        return np.maximum(score[rows, k - 1], floor[rows]).min()
 
     queue = [(-bounds(0, [0])[0], 0, 0)]
     while queue:
         bound, n, m = heapq.heappop(queue)
         rows = a.points[n]
-        if -bound < score[rows, k - 1].min():
+        if -bound < worst(rows):
             continue
         if a.children[n] and (not b.children[m] or a.radius[n] >= b.radius[m]):
             for c in a.children[n]:
                 heapq.heappush(queue, (-bounds(c, [m])[0], c, m))
         elif b.children[m]:
             for c, v in zip(b.children[m], bounds(n, b.children[m]), strict=True):
-                if v >= score[rows, k - 1].min():
+                if v >= worst(rows):
                     heapq.heappush(queue, (-v, n, c))
         else:
             cols = b.points[m]
@@ -130,33 +145,116 @@ def whole_vector(v: Column, scale: int) -> Column:
     return F.when(v.isNotNull() & ~bad, F.transform(v, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("double")))
 
 
-def top_k(vectors: DataFrame, queries: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: int = 1024, block_rows: int = 8192, query_rows: int = 4096) -> DataFrame:
-    """query_id, rank, id, score: the k best candidates of each row for which queries holds."""
+def farthest_first(x: np.ndarray, n: int) -> np.ndarray:
+    """n or fewer distinct rows of x, each the farthest from those before it."""
+    if not len(x):
+        return x
+    chosen = [0]
+    far = ((x - x[0]) ** 2).sum(1)
+    while len(chosen) < n and far.max() > 0:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(1))
+    return x[chosen]
+
+
+def matrix(vs: pd.Series, width: int) -> np.ndarray:
+    return np.array([np.pad(v, (0, width - len(v))) for v in vs], np.float64).reshape(len(vs), width)
+
+
+def top_k(
+    vectors: DataFrame,
+    queries: Column,
+    *,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    k: int = 10,
+    scale: int = 1024,
+    block_rows: int = 16384,
+    query_rows: int = 16384,
+    max_centres: int = 1024,
+    sample_rows: int = 4096,
+) -> DataFrame:
+    """query_id, rank, id, score: the k best candidates of each row for which queries holds.
+
+    max_centres and sample_rows bound what chooses the cells; every vector is in one and every query is answered exactly.
+    """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), whole_vector(F.col(vector_col), scale).alias("v"), F.coalesce(queries, F.lit(False)).alias("is_query"))
-    rows = cut(rows.where(F.col("v").isNotNull() & F.col("id").isNotNull()))
-    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_query").alias("q")).first()
-    n_blocks, q_blocks = max(1, -(-counts.n // block_rows)), max(1, -(-counts.q // query_rows))
-    part = F.monotonically_increasing_id()
-    data = rows.withColumn("i", F.pmod(F.xxhash64(part), F.lit(n_blocks))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    asked = rows.where("is_query").dropDuplicates(["id"]).withColumn("j", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-
-    def matrix(vs: pd.Series) -> np.ndarray:
-        width = max((len(v) for v in vs), default=0)
-        return np.array([np.pad(v, (0, width - len(v))) for v in vs], np.float64).reshape(len(vs), width)
-
-    def run(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+    rows = cut(rows.where(F.col("v").isNotNull() & F.col("id").isNotNull()).withColumn("row", F.monotonically_increasing_id()))
+    n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    if not n:
+        return vectors.sparkSession.createDataFrame([], f"query_id long, rank int, {id_col} long, score long")
+    sample = rows.select("row", "v").orderBy(F.xxhash64("row"), "row").limit(sample_rows).toPandas()
+    centres = farthest_first(matrix(sample["v"], width), min(max_centres, max(1, -(-n // block_rows))))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = (centres * centres).sum(1)
+        for d in batches:
+            for i in range(0, len(d), 4096):
+                some = d.iloc[i : i + 4096]
+                x = matrix(some["v"], width)
+                far = np.maximum((x * x).sum(1)[:, None] + own - 2 * (x @ centres.T), 0)
+                cell = far.argmin(1)
+                yield some.assign(cell=cell.astype(np.int32), far=np.sqrt(far[np.arange(len(x)), cell]))
+
+    placed = cut(rows.mapInPandas(place, "id long, v array<double>, is_query boolean, row long, cell int, far double"))
+    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"), F.count_if("is_query").alias("q")).orderBy("cell").collect()  # max_centres rows at most
+    net = centres[[c.cell for c in cells]]
+    norms = np.sqrt((net * net).sum(1))
+    radius = np.array([c.radius for c in cells])
+    parts = np.array([max(1, -(-c.n // block_rows)) for c in cells], np.int64)
+    first = np.cumsum(parts) - parts  # the first block of each cell
+    index = {c.cell: i for i, c in enumerate(cells)}
+    q_parts = F.create_map(*[F.lit(x) for c in cells for x in (c.cell, max(1, -(-c.q // query_rows)))])
+    of = F.create_map(*[F.lit(x) for c in cells for x in (c.cell, int(first[index[c.cell]]))])
+    n_of = F.create_map(*[F.lit(x) for c in cells for x in (c.cell, int(parts[index[c.cell]]))])
+    data = placed.select("id", "v", (F.try_element_at(of, F.col("cell")) + F.pmod(F.xxhash64("row"), F.try_element_at(n_of, F.col("cell")))).cast("int").alias("block"))
+    asked = placed.where("is_query").withColumn("grp", F.concat_ws(":", "cell", F.pmod(F.xxhash64("row"), F.try_element_at(q_parts, F.col("cell")))))
+
+    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            best = (matrix(d["v"], width) @ net.T).argmax(1)
+            yield pd.DataFrame({"row": d["row"], "id": d["id"], "v": d["v"], "grp": d["grp"], "block": first[best].astype(np.int32), "floor": -np.inf})
+
+    fields = "row long, id long, v array<double>, grp string, block int, floor double"
+    found_fields = "row long, query_id long, id long, score long"
+
+    def search(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(d) or not len(q):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype("int64")
-        x, y = matrix(d["v"]), matrix(q["v"])
-        width = max(x.shape[1], y.shape[1])
-        x, y = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, y))
-        score, found, _ = dual_search(y, q["id"].to_numpy(np.int64), x, d["id"].to_numpy(np.int64), k)
+            return pd.DataFrame({c: [] for c in ("row", "query_id", "id", "score")}).astype("int64")
+        ids = q["id"].to_numpy(np.int64)
+        score, found, _ = dual_search(matrix(q["v"], width), ids, matrix(d["v"], width), d["id"].to_numpy(np.int64), k, q["floor"].to_numpy(np.float64))
         r, c = np.nonzero(np.isfinite(score))
-        return pd.DataFrame({"query_id": q["id"].to_numpy(np.int64)[r], "id": found[r, c], "score": score[r, c].astype(np.int64)})
+        return pd.DataFrame({"row": q["row"].to_numpy(np.int64)[r], "query_id": ids[r], "id": found[r, c], "score": score[r, c].astype(np.int64)})
+
+    def meet(visits: DataFrame) -> DataFrame:
+        """Data and queries of each (block, group) that is visited."""
+        pairs = visits.select(F.col("block").alias("block"), F.col("grp").alias("grp")).distinct()
+        n_groups = sum(max(1, -(-c.q // query_rows)) for c in cells)
+        if int(parts.sum()) * n_groups <= 1 << 20:
+            pairs = F.broadcast(pairs)
+        return data.join(pairs, "block").groupBy("block", "grp").cogroup(visits.groupBy("block", "grp")).applyInPandas(search, found_fields)
+
+    home = cut(asked.mapInPandas(homes, fields))
+    one = cut(meet(home))
+    have = one.groupBy("row").agg(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).otherwise(F.lit(float("-inf"))).alias("kth"))
+
+    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            for i in range(0, len(d), 256):
+                some = d.iloc[i : i + 256]
+                x = matrix(some["v"], width)
+                size = np.sqrt((x * x).sum(1))[:, None]
+                most = x @ net.T + size * radius + slack(size, norms + radius)
+                q, c = np.nonzero(most >= some["kth"].to_numpy()[:, None])
+                q, block = np.repeat(q, parts[c]), np.repeat(first[c], parts[c]) + K.ramps(parts[c])
+                go = block != some["block"].to_numpy()[q]
+                out = some.iloc[q[go]]
+                yield pd.DataFrame({"row": out["row"], "id": out["id"], "v": out["v"], "grp": out["grp"], "block": block[go].astype(np.int32), "floor": out["kth"]})
 
-    best = data.select("i", "j", "id", "v").groupBy("i", "j").cogroup(asked.select("i", "j", "id", "v").groupBy("i", "j")).applyInPandas(run, "query_id long, id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
-    ranked = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    kth = home.drop("floor").join(have, "row", "left").na.fill(float("-inf"), ["kth"])
+    rest = meet(cut(kth.mapInPandas(others, fields)))
+    w = Window.partitionBy("row").orderBy(F.col("score").desc(), F.col("id"))
+    ranked = one.union(rest).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
 
 
