@@ -1,7 +1,7 @@
 """Quality by attention-based multiple-instance learning.
 
-A text is a bag of passages of passage_words words. Each passage is encoded from its bytes and words
-(shares of byte classes, word shapes, repetition), a gated attention weighs the passages, and the weighted
+A text is a bag of passages of passage_words words. Each passage is encoded from its words, hashed with a sign into
+N_HASHED slots, and from shares of byte classes, word shapes and repetition; a gated attention weighs the passages, and the weighted
 sum is scored. Encoder, gates and classifier are learned together, from labels of whole documents alone, in
 numpy on a bounded sample (sample_rows labelled rows, those with the smallest md5 of their id).
 
@@ -32,7 +32,8 @@ def byte_classes() -> np.ndarray:
     return c
 
 
-N_FEATURES = N_CLASSES + 8
+N_HASHED = 64
+N_FEATURES = N_CLASSES + 8 + N_HASHED
 
 
 def passage_features(buf: np.ndarray, offsets: np.ndarray, words_each: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +67,9 @@ def passage_features(buf: np.ndarray, offsets: np.ndarray, words_each: int) -> t
     second = buf[np.minimum(starts + 1, ends - 1)]
     upper = lambda b: (b >= 0x41) & (b <= 0x5A)
     letter = lambda b: upper(b) | ((b >= 0x61) & (b <= 0x7A)) | (b >= 0x80)
+    sign = np.where(h >> np.uint64(63) == 0, 1.0, -1.0)
+    slot = passage * N_HASHED + (h % np.uint64(N_HASHED)).astype(np.int64)
+    hashed = np.bincount(slot, sign, n * N_HASHED).reshape(n, N_HASHED) / np.sqrt(words)[:, None]
     f = np.column_stack([
         counts / size[:, None],
         mean((ends - starts).astype(float)) / 10,
@@ -76,6 +80,7 @@ def passage_features(buf: np.ndarray, offsets: np.ndarray, words_each: int) -> t
         mean((finals == 0x2E).astype(float)),
         mean((~letter(begins)).astype(float)),
         np.log1p(words) / 5,
+        hashed,
     ])
     return f.astype(np.float32), of_text
 
@@ -102,6 +107,20 @@ class Attention:
         z = np.add.reduceat(h * weight[:, None], at)
         return {"x": x, "h": h, "t": t, "g": g, "weight": weight, "z": z, "size": size, "y": 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["c0"], -30, 30)))}
 
+    def gradients(self, x: np.ndarray, at: np.ndarray, label: np.ndarray, cost: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the sum of cost times log loss, by each parameter."""
+        p, f = self.p, self.forward(x, at)
+        d = (f["y"] - label) * cost
+        dz = np.repeat(d[:, None] * p["c"], f["size"], 0)
+        dh = dz * f["weight"][:, None]
+        dw = (dz * f["h"]).sum(1)
+        de = f["weight"] * (dw - np.repeat(np.add.reduceat(f["weight"] * dw, at), f["size"]))
+        tg = de[:, None] * p["a"]
+        dt, dg = tg * f["g"] * (1 - f["t"] ** 2), tg * f["t"] * f["g"] * (1 - f["g"])
+        dh += dt @ p["v"].T + dg @ p["u"].T
+        dx = dh * (1 - f["h"] ** 2)
+        return {"w": f["x"].T @ dx, "b": dx.sum(0), "v": f["h"].T @ dt, "u": f["h"].T @ dg, "a": (f["t"] * f["g"]).T @ de, "c": f["z"].T @ d, "c0": np.array([d.sum()])}
+
     def fit(self, x: np.ndarray, at: np.ndarray, label: np.ndarray, *, turns: int = 300, rate: float = 0.02, decay: float = 1e-4) -> None:
         self.mean, self.sd = x.mean(0), x.std(0) + 1e-3
         share = label.mean() if 0 < label.mean() < 1 else 0.5
@@ -110,18 +129,7 @@ class Attention:
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         p = self.p
         for turn in range(1, turns + 1):
-            f = self.forward(x, at)
-            d = (f["y"] - label) * cost
-            dz = np.repeat(d[:, None] * p["c"], f["size"], 0)
-            dh = dz * f["weight"][:, None]
-            dw = (dz * f["h"]).sum(1)
-            de = f["weight"] * (dw - np.repeat(np.add.reduceat(f["weight"] * dw, at), f["size"]))
-            tg = de[:, None] * p["a"]
-            dt, dg = tg * f["g"] * (1 - f["t"] ** 2), tg * f["t"] * f["g"] * (1 - f["g"])
-            dh += dt @ p["v"].T + dg @ p["u"].T
-            dx = dh * (1 - f["h"] ** 2)
-            grad = {"w": f["x"].T @ dx, "b": dx.sum(0), "v": f["h"].T @ dt, "u": f["h"].T @ dg, "a": (f["t"] * f["g"]).T @ de, "c": f["z"].T @ d, "c0": np.array([d.sum()])}
-            for k, v in grad.items():
+            for k, v in self.gradients(x, at, label, cost).items():
                 v = v + decay * p[k]
                 m[k] = 0.9 * m[k] + 0.1 * v
                 s[k] = 0.999 * s[k] + 0.001 * v * v
