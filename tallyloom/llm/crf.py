@@ -181,13 +181,13 @@ class LanguageCRF:
                 m2[n] = 0.99 * m2[n] + 0.01 * v * v
                 self.p[n] = (self.p[n] - rate * (m1[n] / (1 - 0.8**turn)) / (np.sqrt(m2[n] / (1 - 0.99**turn)) + 1e-7)).astype(np.float32)
 
-    def label(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Mean posterior of each label over each text's words with a letter, and the number of these words."""
+    def words(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, posterior of each label and whether it has a letter, of every word."""
         n, k = len(offsets) - 1, len(self.labels)
         buf = folded(raw)
         text, which, starts, sizes, keys = distinct_words(buf, offsets)
         if not len(text) or not k:
-            return np.zeros((n, k)), np.zeros(n, np.int64)
+            return np.zeros(0, np.int64), np.zeros((0, k)), np.zeros(0, bool)
         f = Features(buf, starts, sizes)
         emit = self.emissions(f, self.entries(keys))
         b = buf[np.repeat(starts, sizes) + K.ramps(sizes)]
@@ -196,9 +196,15 @@ class LanguageCRF:
         placed = np.empty(len(text), np.int64)
         placed[chain.place] = which
         post, _ = chain.posteriors(emit[placed], self.p["start"], self.p["move"])
-        post = post[chain.place] * letters[which][:, None]
-        count = np.bincount(text, letters[which], n)
-        share = np.stack([np.bincount(text, post[:, c], n) for c in range(k)], 1) / np.maximum(count, 1)[:, None]
+        return text, post[chain.place], letters[which]
+
+    def label(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean posterior of each label over each text's words with a letter, and the number of these words."""
+        n, k = len(offsets) - 1, len(self.labels)
+        text, post, letters = self.words(raw, offsets)
+        post = post * letters[:, None]
+        count = np.bincount(text, letters, n)
+        share = np.array([np.bincount(text, post[:, c], n) for c in range(k)]).reshape(k, n).T / np.maximum(count, 1)[:, None]
         return share, count.astype(np.int64)
 
 
@@ -235,3 +241,31 @@ def identify(docs: DataFrame, model: LanguageCRF, *, id_col: str = "doc_id", tex
 
     out = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, lang_pred string, score double, n_words bigint, shares map<string,double>")
     return out.withColumnRenamed("id", id_col)
+
+
+def label_words(docs: DataFrame, model: LanguageCRF, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, runs: the words of each text in stretches of one language, as array<struct<lang, from, to, score>>.
+
+    from and to count words from 0, to is not included; score is the mean posterior of the label. Words without a letter
+    go with the likelier label, too. A null text, or a text without words, has no run.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    run_type = pa.list_(pa.struct([("lang", pa.string()), ("from", pa.int32()), ("to", pa.int32()), ("score", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = K.packed(batch.column(1))
+            for i, j in K.groups(offsets):
+                text, post, _ = model.words(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                best = post.argmax(1) if len(post) else np.zeros(0, np.int64)
+                at = np.flatnonzero(np.append(True, (np.diff(best) != 0) | (np.diff(text) != 0))[: len(text)])
+                stop = np.append(at[1:], len(text))
+                begin = np.searchsorted(text, text[at])
+                mean = np.add.reduceat(post[np.arange(len(post)), best], at) / (stop - at) if len(at) else np.zeros(0)
+                out = [[] for _ in range(i, j)]
+                for t, c, a, b, m in zip(text[at], best[at], at - begin, stop - begin, mean, strict=True):
+                    out[t].append({"lang": model.labels[c], "from": int(a), "to": int(b), "score": float(m)})
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(out, run_type)], ["id", "runs"])
+
+    out = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, runs array<struct<lang:string,`from`:int,`to`:int,score:double>>")
+    return out.withColumnRenamed("id", id_col)
