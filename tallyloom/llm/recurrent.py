@@ -5,9 +5,11 @@ are the network's own, in classes of neighbours by frequency; every other word i
 it has its smoothed share of the rare words' counts. So the model gives every text a probability. A text's tokens
 are its words (A-Z in lower case) and one end.
 
-The network (one layer of gated recurrent units) is trained by truncated backpropagation through time in numpy on
-a bounded sample (sample_rows rows chosen by hash, sample_chars characters together). In scoring,
-texts run window after window with their state carried on, so a text is scored whole whatever its length.
+The network (one layer of gated recurrent units) is trained by truncated backpropagation through time in numpy. It
+starts on a bounded sample at the driver (sample_rows rows chosen by hash, sample_chars characters together), and then
+every task goes on from there over all its training texts, whole; the weights that the tasks end with are averaged by
+tokens, in a sum that Spark combines before the shuffle. So what the network learns from grows with the corpus. In
+scoring, texts run window after window with their state carried on, so a text is scored whole whatever its length.
 
 Counts reach the texts in two ways: the commonest head_words words are sent to every task, a bounded table;
 rarer words meet their counts in a join keyed by word, in which no word is common.
@@ -18,6 +20,7 @@ With no training text all counts are 0.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -144,6 +147,38 @@ class GatedLM:
                 dh[at] += d @ p["w"][some]
         return out, dh
 
+    def window(self, chain: Chain, ids: np.ndarray, t0: int, t1: int, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, int]:
+        """The gradient of the steps t0 to t1 for the state h before them, summed over tokens; the state after them; the number of tokens."""
+        n = self.h
+        kept, states = [], []
+        for t in range(t0, t1):
+            w = ids[chain.at[t] : chain.at[t + 1]]
+            h = h[: len(w)]
+            states.append(h)
+            kept.append((w, *self.step(w, h)))
+            h = kept[-1][-1]
+        grad = {k: np.zeros_like(v) for k, v in self.p.items()}
+        _, d_out = self.outputs(np.concatenate(states), ids[chain.at[t0] : chain.at[t1]], grad)
+        ends = np.cumsum([len(s) for s in states])
+        dh = np.zeros((0, n), np.float32)
+        sides = []
+        for i in range(len(states) - 1, -1, -1):
+            w, z, r, y, new, _ = kept[i]
+            d = np.zeros((len(w), n), h.dtype)
+            d[: len(dh)] = dh
+            d_new = d * (1 - z) * (1 - new * new)
+            d_z = d * (states[i] - new) * z * (1 - z)
+            d_r = d_new * y * r * (1 - r)
+            sides.append(np.concatenate([d_z, d_r, d_new], 1))
+            side = np.concatenate([d_z, d_r, d_new * r], 1)
+            grad["u"] += states[i].T @ side
+            dh = d * z + side @ self.p["u"].T + d_out[ends[i] - len(w) : ends[i]]
+        words = np.concatenate([k[0] for k in kept[::-1]])
+        by_word = np.argsort(words, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(words[by_word]) > 0))
+        grad["x"][words[by_word[first]]] = np.add.reduceat(np.concatenate(sides)[by_word], first)
+        return grad, h, int(ends[-1])
+
     def fit(self, words: np.ndarray, lengths: np.ndarray, *, window: int = 32, turns: int = 10, rate: float = 0.01) -> None:
         """Truncated backpropagation: gradients stop at a window's start, the state doesn't."""
         chain = Chain(lengths)
@@ -152,36 +187,11 @@ class GatedLM:
         m1 = {k: np.zeros_like(v) for k, v in self.p.items()}
         m2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         turn = 0
-        n = self.h
         for _ in range(turns):
-            h = np.zeros((chain.active[0] if len(chain.active) else 0, n), np.float32)
+            h = np.zeros((chain.active[0] if len(chain.active) else 0, self.h), np.float32)
             for t0 in range(0, len(chain.active), window):
-                steps = range(t0, min(t0 + window, len(chain.active)))
-                kept, states = [], []
-                for t in steps:
-                    w = ids[chain.at[t] : chain.at[t + 1]]
-                    h = h[: len(w)]
-                    states.append(h)
-                    kept.append((w, *self.step(w, h)))
-                    h = kept[-1][-1]
-                grad = {k: np.zeros_like(v) for k, v in self.p.items()}
-                _, d_out = self.outputs(np.concatenate(states), ids[chain.at[t0] : chain.at[steps[-1] + 1]], grad)
-                ends = np.cumsum([len(s) for s in states])
-                dh = np.zeros((0, n), np.float32)
-                for i in range(len(states) - 1, -1, -1):
-                    w, z, r, y, new, _ = kept[i]
-                    d = np.zeros((len(w), n), np.float32)
-                    d[: len(dh)] = dh
-                    d_new = d * (1 - z) * (1 - new * new)
-                    d_z = d * (states[i] - new) * z * (1 - z)
-                    d_r = d_new * y * r * (1 - r)
-                    side = np.concatenate([d_z, d_r, d_new], 1)
-                    np.add.at(grad["x"], w, side)
-                    side = np.concatenate([d_z, d_r, d_new * r], 1)
-                    grad["u"] += states[i].T @ side
-                    dh = d * z + side @ self.p["u"].T + d_out[ends[i] - len(w) : ends[i]]
+                grad, h, size = self.window(chain, ids, t0, min(t0 + window, len(chain.active)), h)
                 turn += 1
-                size = ends[-1]
                 for k, g in grad.items():
                     g = np.clip(g / size, -1, 1)
                     m1[k] = 0.9 * m1[k] + 0.1 * g
@@ -207,6 +217,42 @@ class GatedLM:
         return np.add.reduceat(logs[chain.place].astype(np.float64), np.cumsum(lengths) - lengths) if len(lengths) else np.zeros(0)
 
 
+def pieces_of(size: np.ndarray, piece: int) -> np.ndarray:
+    """Texts of size tokens cut into training sequences of piece tokens, the last of each text shorter."""
+    parts = -(-size // piece)
+    out = np.full(int(parts.sum()), piece)
+    out[np.cumsum(parts) - 1] = size - (parts - 1) * piece
+    return out
+
+
+def learn_everywhere(taught: DataFrame, text_col: str, scorer: Scorer, piece: int, rate: float) -> None:
+    """One pass over all training texts: each task goes on from the network as it is; the mean of their weights, by tokens, is the new one."""
+    names = sorted(scorer.net.p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = copy.deepcopy(scorer.net)
+        seen = 0
+        for batch in batches:
+            buf, offsets = K.packed(batch.column(0))
+            for i, j in K.groups(offsets):
+                h, size = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                net.fit(scorer.look_up(h)[2], pieces_of(size, piece), turns=1, rate=rate)
+                seen += len(h)
+        if seen:
+            flat = np.concatenate([net.p[k].ravel() for k in names]).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * seen), pa.array(np.full(len(flat), seen, np.int64))], ["i", "weighted", "n"])
+
+    done = taught.select(F.col(text_col).cast("string")).mapInArrow(run, "i int, weighted double, n bigint")
+    mean = done.groupBy("i").agg((F.sum("weighted") / F.sum("n")).alias("v")).orderBy("i").toPandas()["v"].to_numpy()
+    at = 0
+    for k in names:
+        shape = scorer.net.p[k].shape
+        size = int(np.prod(shape))
+        if len(mean):
+            scorer.net.p[k] = mean[at : at + size].reshape(shape).astype(np.float32)
+        at += size
+
+
 class Scorer:
     """The network with the head of the counts."""
 
@@ -241,8 +287,9 @@ def score_texts(
     sample_rows: int = 600,
     sample_chars: int = 2_000_000,
     piece: int = 512,
+    rate: float = 0.005,
 ) -> DataFrame:
-    """id, n_tokens, n_known, train_tokens, base_score, score of each row; training: the rows learned from."""
+    """id, n_tokens, n_known, train_tokens, base_score, score of each row; training: the rows learned from, all of them."""
     taught = docs.where(F.coalesce(training, F.lit(False)))
     counts = cut(count_tokens(taught, text_col))
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -263,11 +310,9 @@ def score_texts(
     if sample:
         h, size = tokens(*K.packed(pa.array(sample, pa.string())))
         ids = scorer.look_up(h)[2]
-        parts = -(-size // piece)
-        pieces = np.full(int(parts.sum()), piece)
-        pieces[np.cumsum(parts) - 1] = size - (parts - 1) * piece
         scorer.net.start_from(scorer.own_counts, n_rare)
-        scorer.net.fit(ids, pieces)
+        scorer.net.fit(ids, pieces_of(size, piece))
+        learn_everywhere(taught, text_col, scorer, piece, rate)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
