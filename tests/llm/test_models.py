@@ -42,7 +42,13 @@ def test_language(frame, edge_rows):
     edge = crf.identify(frame(edge_rows), model).collect()
     assert len(edge) == len(edge_rows) and all(0 <= r.score <= 1 for r in edge)
     assert {r.doc_id: r.lang_pred for r in edge if r.doc_id in (1, 2, 3, 5)} == dict.fromkeys((1, 2, 3, 5), "und")
+    runs = {r.doc_id: r.runs for r in crf.label_words(frame([mixed, *edge_rows]), model).collect()}
+    truth = ["fr"] * 90 + ["en"] * 30
+    said = [x.lang for x in runs[900] for _ in range(x["from"], x["to"])]
+    assert len(said) == 120 and sum(a == b for a, b in zip(said, truth)) >= 116
+    assert runs[1] == runs[2] == runs[3] == [] and sum(x["to"] - x["from"] for x in runs[4]) == 30_000
     nothing = crf.fit_languages(frame([]))
+    assert all(not r.runs for r in crf.label_words(frame(edge_rows), nothing).collect())
     assert {r.lang_pred for r in crf.identify(frame(edge_rows), nothing).collect()} == {"und"}
 
 
@@ -61,6 +67,39 @@ def test_quality(spark, frame, edge_rows):
     assert mil.score_quality(frame([]), mil.fit_quality(frame([]), labels.where("false"))).count() == 0
 
 
+def test_attention_by_hand():
+    rng = np.random.default_rng(6)
+    net = mil.Attention(4)
+    x, at, label, cost = rng.normal(size=(7, mil.N_FEATURES)), np.array([0, 3, 4]), np.array([1.0, 0, 1]), np.array([0.5, 0.2, 0.3])
+    p, y = net.p, []
+    for i, j in ((0, 3), (3, 4), (4, 7)):
+        h = [np.tanh(v @ p["w"] + p["b"]) for v in x[i:j]]
+        e = np.exp([sum(p["a"][k] * math.tanh(v @ p["v"][:, k]) / (1 + math.exp(-(v @ p["u"][:, k]))) for k in range(4)) for v in h])
+        z = sum(w * v for w, v in zip(e / e.sum(), h))
+        y.append(1 / (1 + math.exp(-(z @ p["c"] + p["c0"][0]))))
+    assert net.forward(x, at)["y"] == pytest.approx(np.array(y))
+    loss = lambda: float(-(cost * np.where(label == 1, np.log(f := net.forward(x, at)["y"]), np.log(1 - f))).sum())
+    grad = net.gradients(x, at, label, cost)
+    for k, v in p.items():
+        for i in rng.choice(v.size, min(v.size, 6), False):
+            before = v.flat[i]
+            v.flat[i] = before + 1e-6
+            up = loss()
+            v.flat[i] = before - 1e-6
+            down = loss()
+            v.flat[i] = before
+            assert grad[k].flat[i] == pytest.approx((up - down) / 2e-6, abs=1e-7)
+
+
+def test_passages_hold_their_words():
+    import pyarrow as pa
+
+    from tallyloom.llm import kernels as K
+
+    f, text = mil.passage_features(*K.packed(pa.array(["alpha beta gamma delta", "delta gamma beta alpha", "alpha beta gamma omega", None])), 64)
+    assert list(text) == [0, 1, 2] and (f[0, -mil.N_HASHED :] == f[1, -mil.N_HASHED :]).all() and (f[0, -mil.N_HASHED :] != f[2, -mil.N_HASHED :]).any()
+
+
 def tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) + ["\0"]
 
@@ -97,6 +136,61 @@ def test_backpropagation():
     assert net.score(words, lengths).sum() > 0.6 * before
 
 
+def test_recurrent_step_by_step_and_its_gradient():
+    rng = np.random.default_rng(8)
+    net = recurrent.GatedLM(3)
+    net.p = {k: v.astype(np.float64) + 0.1 for k, v in net.p.items()}
+    p, words, lengths = net.p, rng.integers(0, recurrent.VOCABULARY + 1, 23), np.array([9, 14])
+    words[3] = words[12] = recurrent.RARE
+    soft = lambda e: np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+
+    def by_hand():
+        out, at = [], 0
+        for size in lengths:
+            h, total = np.zeros(3), 0.0
+            for w in words[at : at + size]:
+                c = min(w // recurrent.CLASS_WORDS, recurrent.CLASSES)
+                total += math.log(soft(h @ p["c"] + p["cb"])[c])
+                if c < recurrent.CLASSES:
+                    some = slice(c * recurrent.CLASS_WORDS, (c + 1) * recurrent.CLASS_WORDS)
+                    total += math.log(soft(p["w"][some] @ h + p["wb"][some])[w % recurrent.CLASS_WORDS])
+                x, y = p["x"][w], h @ p["u"]
+                z, r = (1 / (1 + np.exp(-(x[i : i + 3] + y[i : i + 3]))) for i in (0, 3))
+                h = (1 - z) * np.tanh(x[6:] + r * y[6:]) + z * h
+            out.append(total)
+            at += size
+        return out
+
+    assert net.score(words, lengths, 4) == pytest.approx(by_hand(), rel=1e-5)
+    chain = crf.Chain(lengths)
+    ids = np.empty(len(words), np.int64)
+    ids[chain.place] = words
+    grad, _, n = net.window(chain, ids, 0, len(chain.active), np.zeros((2, 3)))
+    assert n == 23
+    for k, v in p.items():
+        live = np.flatnonzero(grad[k].ravel())
+        for i in rng.choice(live, min(len(live), 8), False):
+            before = v.flat[i]
+            v.flat[i] = before + 1e-5
+            up = sum(by_hand())
+            v.flat[i] = before - 1e-5
+            down = sum(by_hand())
+            v.flat[i] = before
+            assert grad[k].flat[i] == pytest.approx(-(up - down) / 2e-5, abs=1e-5)
+
+
+def test_training_goes_over_all_texts(frame):
+    rows = [row(i, prose(i, 80)) for i in range(60)]
+    small = [recurrent.score_texts(frame(rows).repartition(3), F.col("doc_id") < n, sample_rows=5).agg(F.sum("score")).first()[0] for n in (60,)]
+    one = recurrent.learn_everywhere
+    try:
+        recurrent.learn_everywhere = lambda *a: None
+        without = recurrent.score_texts(frame(rows).repartition(3), F.lit(True), sample_rows=5).agg(F.sum("score")).first()[0]
+    finally:
+        recurrent.learn_everywhere = one
+    assert small[0] > without
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(6, 8)) * 3
@@ -116,3 +210,24 @@ def test_top_k(spark):
         assert [(-r.score, r.vec_id) for r in sorted(out, key=lambda r: r.rank) if r.query_id == q] == best
     assert {r.query_id for r in out} == set(range(0, 60, 10))
     assert covertree.top_k(d.where("false"), F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["clustered", "random", "one common vector"])
+def test_top_k_by_blocks(spark, kind):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 6))
+    if kind == "clustered":
+        x = rng.normal(size=(7, 6))[rng.integers(0, 7, 400)] * 4 + 0.02 * x
+    if kind == "one common vector":
+        x[rng.random(400) < 0.4] = x[0]
+    ids = [i % 390 for i in range(400)]  # some ids twice
+    d = spark.createDataFrame([(i, [float(v) for v in e]) for i, e in zip(ids, x)], "vec_id bigint, embedding array<double>")
+    v = np.floor(1024 * x)
+    out = covertree.top_k(d, F.col("vec_id") % 10 == 0, block_rows=32, query_rows=7, sample_rows=100).collect()
+    got = Counter((r.query_id, r.rank, r.vec_id, r.score) for r in out)
+    want = Counter()
+    for q in range(400):
+        if ids[q] % 10 == 0:
+            best = sorted((-int(v[q] @ v[i]), ids[i]) for i in range(400) if ids[i] != ids[q])[:10]
+            want.update((ids[q], n + 1, i, -s) for n, (s, i) in enumerate(best))
+    assert got == want
