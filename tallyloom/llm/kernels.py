@@ -104,7 +104,7 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     after[offsets[1:][offsets[1:] > 0] - 1] = False
     starts = np.flatnonzero(word & ~before)
     ends = np.flatnonzero(word & ~after) + 1
-    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+    return starts, ends, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
 
 
 def ramps(counts: np.ndarray) -> np.ndarray:

@@ -161,18 +161,25 @@ class GatedLM:
         _, d_out = self.outputs(np.concatenate(states), ids[chain.at[t0] : chain.at[t1]], grad)
         ends = np.cumsum([len(s) for s in states])
         dh = np.zeros((0, n), np.float32)
-        sides = []
+        sides, for_u = [], []
         for i in range(len(states) - 1, -1, -1):
             w, z, r, y, new, _ = kept[i]
-            d = np.zeros((len(w), n), h.dtype)
-            d[: len(dh)] = dh
-            d_new = d * (1 - z) * (1 - new * new)
-            d_z = d * (states[i] - new) * z * (1 - z)
-            d_r = d_new * y * r * (1 - r)
-            sides.append(np.concatenate([d_z, d_r, d_new], 1))
-            side = np.concatenate([d_z, d_r, d_new * r], 1)
-            grad["u"] += states[i].T @ side
+            d = dh
+            if len(dh) < len(w):
+                d = np.zeros((len(w), n), h.dtype)
+                d[: len(dh)] = dh
+            keep = 1 - z
+            side = np.empty((len(w), 3 * n), h.dtype)
+            d_new = d * keep * (1 - new * new)
+            side[:, :n] = d * (states[i] - new) * z * keep
+            side[:, n : 2 * n] = d_new * y * r * (1 - r)
+            side[:, 2 * n :] = d_new
+            sides.append(side)
+            side = side.copy()
+            side[:, 2 * n :] *= r
+            for_u.append(side)
             dh = d * z + side @ self.p["u"].T + d_out[ends[i] - len(w) : ends[i]]
+        grad["u"] += np.concatenate(states[::-1]).T @ np.concatenate(for_u)
         words = np.concatenate([k[0] for k in kept[::-1]])
         by_word = np.argsort(words, kind="stable")
         first = np.flatnonzero(np.append(True, np.diff(words[by_word]) > 0))
