@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators.shared import shared_dir
+
 
 def bfs(edges: DataFrame, seeds: DataFrame, *, depth: int = 6, node: str = "node") -> DataFrame:
     """(node, depth, via): each node on first sight, via the smallest neighbour of the level before; seeds have none.
 
     edges: (from, to). Levels are checkpointed in spark.checkpoint.dir.
     """
-    sc = edges.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyloom-"))
+    shared_dir(edges.sparkSession)
     front = seeds.select(F.col(node).alias("node")).distinct().withColumn("depth", F.lit(0)).withColumn("via", F.lit(None).cast(edges.schema["from"].dataType))
     seen = front = front.checkpoint()
     for d in range(1, depth + 1):

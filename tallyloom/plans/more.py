@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -14,6 +13,8 @@ from tallyloom.operators import measures as M
 from tallyloom.sources import readers as S
 from tallyloom.sources import writers as W
 
+from tallyloom.operators.shared import fresh_path
+
 from .registry import Tables, query
 
 
@@ -68,9 +69,7 @@ def glm_cluster(t: Tables) -> DataFrame:
 def jsonl_scan(t: Tables) -> DataFrame:
     """Events written as JSON lines to the shared folder and read again."""
     spark = t.spark
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyloom-"))
-    path = f"{spark.sparkContext.getCheckpointDir()}/events.jsonl"
+    path = fresh_path(spark)
     W.write_jsonl(t.events.select("event_id", "user_id", "event_type"), path)
     return S.read_jsonl(spark, path, "event_id bigint, user_id bigint, event_type string")
 

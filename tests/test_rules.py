@@ -19,11 +19,23 @@ def test_classify(spark):
 
 
 def test_tense(spark):
+    more = [("X, which was founded in 1950, is a public school.", "present"), ("X is a defunct school.", "past"), ("X is a historic school.", ""), ("X is a historic school building in Ohio.", "past"), ("The X, at 7th and Elm, was built in 1929. It is on the National Register.", "past"), ("R. J. Neutra School is a school", "present"), ("Mt. Troy was the school of Mr. Y. It is a park now.", "past")]
+    d = spark.createDataFrame(more, "t string, want string")
+    assert d.where(R.tense(F.col("t")) != F.col("want")).count() == 0
     rows = ["X is a school.", "X was a school that is now a park.", "X is a school that was a mill.", "X is a former school.", "X is a historic place.", "St. X (was y) is a school.", "Nothing here.", None]
     d = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t string")
     assert [r.t for r in d.select("i", R.tense(F.col("t")).alias("t")).orderBy("i").collect()] == ["present", "past", "present", "past", "", "present", "", ""]
 
 
+def test_head_nouns(spark):
+    rows = [("X is a public charter school network in Ohio.", "school network"), ("X is a public high school in the Troy school district.", "school"), ("X is a Dallas ISD (DISD) magnet high school located in Troy.", "school"), ("X is a network of charter schools.", "network"), ("X is a part of the Troy School District.", ""), ("X was a school.", ""), (None, "")]
+    d = spark.createDataFrame(rows, "t string, want string")
+    assert d.where(R.head_noun(F.col("t")) != F.col("want")).count() == 0
+    assert [r[0] for r in d.select(R.names_network(F.col("t"))).collect()] == [True, False, False, True, False, False, False]
+    d = spark.createDataFrame([(["Schools in Ohio", "Defunct high schools in Ohio"],), (["Former girls' schools"],), (["Schools disestablished in 1971"],)], "c array<string>")
+    assert [r[0] for r in d.select(R.defunct_category(F.col("c"))).collect()] == ["Defunct high schools in Ohio", "", "Schools disestablished in 1971"]
+
+
 def test_revalidate_first_rule_and_twice_the_same(spark):
     rows = [
         rec(0),
@@ -40,14 +52,11 @@ def test_revalidate_first_rule_and_twice_the_same(spark):
     got = {r.i: (r.validation, r.validation_note, r.operating) for r in once.collect()}
     assert got[0] == ("school", "", "yes") and got[1][:2] == ("non_school", "kind_of") and got[2][:2] == ("out_of_scope", "abroad")
     assert got[3][:2] == ("out_of_scope", "higher") and got[4] == ("defunct", "closed", "no") and got[5][:2] == ("school", "rescued")
-    assert got[6][:2] == ("school", "described") and got[7][:2] == ("out_of_scope", "plural") and got[8][:2] == (None, "")
+    assert got[6] == ("school", "described", "yes") and got[7][:2] == ("out_of_scope", "plural") and got[8][:2] == (None, "")
     again = {r.i: (r.validation, r.validation_note, r.operating) for r in R.revalidate(once).collect()}
     assert again == got
     assert sum(r["count"] for r in R.changes(once, once, "i", "validation").collect()) == len(rows)
-
-
-def test_score_answer(spark):
-    rows = [("band", "450", "about 300", True), ("band", "450", "1,200", True), ("band", "450", "many", True), ("cat", "Public", " public", True), ("cat", "Public", "I don't know\npublic", True), ("cat", "Public", None, True), ("cat", "Public", "public", False)]
-    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, k string, t string, a string, ok boolean")
-    got = [r.s for r in d.select("i", R.score_answer(F.col("k"), F.col("t"), F.col("a"), applies=F.col("ok")).alias("s")).orderBy("i").collect()]
-    assert got == ["correct", "wrong", "unparsed", "correct", "abstain", "unparsed", "NA"]
+    more = [rec(0, state="", description="public school in Talladega, Alabama"), rec(1, title="Lenape High School", lead="Lenape High School is a public high school and school district.", description="school district in Sussex"), rec(2, lead="X was a school.")]
+    out = {r.i: r for r in R.revalidate(spark.createDataFrame(more, FIELDS)).collect()}
+    assert (out[0].state, out[0].validation_note) == ("Alabama", "state from description")
+    assert out[1].validation == "school" and out[2].operating == "no" and out[2].validation == "school"
