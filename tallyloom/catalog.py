@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from tallyloom.plans import more, registry, relational, texts  # noqa: F401
+from tallyloom.plans import civic, more, registry, relational, texts  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES

@@ -7,7 +7,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,22 @@ def bootstrap_mean(df: DataFrame, value: str, by: list[str], *, draws: int = 200
     return ends
 
 
+def interpolate(df: DataFrame, *, by: list[str], at: str, value: str, asked: str) -> DataFrame:
+    """df, the value of asked rows put between the nearest known ones before and after in at, in proportion; beyond the ends that of the end.
+
+    Known rows of a group with one at count as their largest value. Two window functions over each group, no join.
+    """
+    w = Window.partitionBy(*by).orderBy(at)
+    past, ahead = w.rangeBetween(Window.unboundedPreceding, Window.currentRow), w.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    known = F.when(~F.col(asked), F.struct(F.col(at).alias("at"), F.col(value).cast("double").alias("v")))
+    later = F.when(~F.col(asked), F.struct(F.col(at).alias("at"), (-F.col(value).cast("double")).alias("v")))
+    d = df.withColumns({"_a": F.max(known).over(past), "_b": F.min(later).over(ahead)})
+    x0, y0, x1, y1 = F.col("_a.at"), F.col("_a.v"), F.col("_b.at"), -F.col("_b.v")
+    between = y0 + (y1 - y0) * ((F.col(at) - x0) / F.nullif(x1 - x0, F.lit(0).cast(df.schema[at].dataType)))
+    put = F.when(F.col("_a").isNull(), y1).when(F.col("_b").isNull() | (x0 == x1), y0).otherwise(between)
+    return d.withColumn(value, F.when(F.col(asked), put).otherwise(F.col(value).cast("double"))).drop("_a", "_b")
+
+
 def matched_pairs(df: DataFrame, *, cell: list[str], treated: str, value: str, id_col: str, caliper: float, seed: int = 1) -> DataFrame:
     """(cell, a, b, gap): in each cell treated rows, in a random order, take the nearest unused control within caliper."""
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cell)

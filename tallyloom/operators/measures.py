@@ -30,6 +30,21 @@ def average_rank(order: str, *by: str) -> Column:
     return F.rank().over(w.orderBy(order)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, order)) - 1) / F.lit(2.0)
 
 
+def with_average_rank(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
+    """df with the ranks of value among its group, ties averaged: ranks are summed over counts of equal values, and rows meet theirs in a join.
+
+    The window holds one row for each distinct value of a group, not the group's rows.
+    """
+    v, start = F.col(value).alias("_v"), F.col("_s") - F.col("_n")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, v).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_s", F.sum("_n").over(Window.partitionBy(*by).orderBy("_v")))
+    ranks = counts.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], "_v", (start + (F.col("_n") + 1) / F.lit(2.0)).alias(name))
+    on = F.col(value) == F.col("_v")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_{i}"))
+    return df.join(ranks, on, "left").select(*df.columns, name)
+
+
 def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     """n, exact agreement, agreement within one, quadratic-weighted kappa of two integer ratings."""
     d = F.col(a).cast("double") - F.col(b).cast("double")

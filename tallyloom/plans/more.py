@@ -84,16 +84,16 @@ def json_extract(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.expr("try_parse_json(props) IS NOT NULL").alias("valid"))
 
 
-@query("""WITH s AS (SELECT user_id, event_id, CAST(epoch_us(ts) AS BIGINT) AS us, CAST(floor(value) AS BIGINT) AS v FROM events WHERE value IS NOT NULL)
-SELECT event_id, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
-first_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM s""")
+@query("""WITH k AS (SELECT user_id, event_id, epoch_us(ts) AS us, CAST(floor(value) AS BIGINT) AS v FROM events), x AS (SELECT *, event_id % 3 = 0 OR v IS NULL AS asked FROM k),
+b AS (SELECT *, max(CASE WHEN NOT asked THEN us END) OVER w AS u0, min(CASE WHEN NOT asked THEN us END) OVER f AS u1 FROM x WINDOW w AS (PARTITION BY user_id ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY user_id ORDER BY us RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+p AS (SELECT user_id, us, max(v) AS v FROM x WHERE NOT asked GROUP BY 1, 2)
+SELECT event_id, CAST(floor(CASE WHEN u0 IS NULL THEN q.v WHEN u1 IS NULL OR u1 = u0 THEN p.v ELSE p.v + (q.v - p.v) * (CAST(b.us - u0 AS DOUBLE) / CAST(u1 - u0 AS DOUBLE)) END * 1000 + 0.5) AS BIGINT) AS millis
+FROM b LEFT JOIN p ON p.user_id = b.user_id AND p.us = u0 LEFT JOIN p q ON q.user_id = b.user_id AND q.us = u1 WHERE asked""")
 def interp_asof(t: Tables) -> DataFrame:
-    """The neighbours in time between which a value is interpolated."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    s = t.events.where("value IS NOT NULL").select("user_id", "event_id", "ts", F.floor("value").alias("v"))
-    return s.select("event_id", F.lag("v").over(w).alias("before"), F.lead("v").over(w).alias("after"))
+    """The value of events without one, and of every third, interpolated in time between its user's other events; constant beyond the ends."""
+    v = F.floor("value")
+    d = t.events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), v.alias("v"), ((F.col("event_id") % 3 == 0) | v.isNull()).alias("asked"))
+    return E.interpolate(d, by=["user_id"], at="us", value="v", asked="asked").where("asked").select("event_id", F.floor(F.col("v") * 1000 + 0.5).alias("millis"))
 
 
 @query("""SELECT o_orderpriority, count(*) AS n, CAST(count_if(o_totalprice > 150000) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS share FROM orders GROUP BY 1""")

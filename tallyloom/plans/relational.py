@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import measures as M
 from tallyloom.operators import resolve as R
+from tallyloom.sources import writers as W
 
 from .registry import Tables, query
 
@@ -125,8 +126,11 @@ def drop_all_duplicates(t: Tables) -> DataFrame:
 
 @query("SELECT p_partkey, count(*) OVER (PARTITION BY p_name) AS n_same, count(*) OVER (PARTITION BY p_brand) AS n_brand FROM part")
 def group_size_broadcast(t: Tables) -> DataFrame:
-    n = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c))
-    return t.part.select("p_partkey", n("p_name").alias("n_same"), n("p_brand").alias("n_brand"))
+    n = lambda c, name: t.part.groupBy(F.col(c).alias(f"of_{c}")).agg(F.count(F.lit(1)).alias(name))
+    d = t.part.select("p_partkey", "p_name", "p_brand")
+    for c, name in (("p_name", "n_same"), ("p_brand", "n_brand")):
+        d = d.join(n(c, name), F.col(c).eqNullSafe(F.col(f"of_{c}")))
+    return d.select("p_partkey", "n_same", "n_brand")
 
 
 @query("""WITH e AS (SELECT quantile_cont(p_retailprice, 0.25) AS a, quantile_cont(p_retailprice, 0.5) AS b, quantile_cont(p_retailprice, 0.75) AS c FROM part)
@@ -218,10 +222,9 @@ def nearby_topk(t: Tables) -> DataFrame:
     return both.select("c_custkey", "other", place.cast("int").alias("place")).where("place <= 12")
 
 
-@query("SELECT o_orderkey, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 450 AS chunk FROM orders")
+@query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 450 AS chunk FROM orders")
 def chunk_index(t: Tables) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("o_orderstatus").orderBy("o_orderkey")) - 1
-    return t.orders.select("o_orderkey", F.floor(n / 450).cast("long").alias("chunk"))
+    return W.numbered(t.orders.select("o_orderkey"), "o_orderkey").select("o_orderkey", F.floor(F.col("index") / 450).cast("long").alias("chunk"))
 
 
 @query("""WITH r AS (SELECT c_custkey, c_mktsegment, c_nationkey, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY md5(CAST(c_custkey AS VARCHAR))) AS k FROM customer),

@@ -22,17 +22,23 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def chunked(df: DataFrame, key: str, chunks: int, block: int = 4096) -> DataFrame:
-    """df with chunk: contiguous parts of equal size in key's order, without one task over all rows.
+def numbered(df: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    """df with index (from 0 in key's order) and total, without one task over all rows.
 
     Rows are numbered within range partitions, and the partitions' sizes are summed up: a row a partition.
     """
-    part = df.repartitionByRange(max(1, chunks), key).withColumn("_p", F.spark_partition_id())
+    part = (df.repartitionByRange(parts, key) if parts else df.repartitionByRange(key)).withColumn("_p", F.spark_partition_id())
     sizes = part.groupBy("_p").count()
-    before = sizes.select(F.col("_p"), (F.sum("count").over(Window.orderBy("_p")) - F.col("count")).alias("_b"), F.sum("count").over(Window.partitionBy(F.lit(0))).alias("_n"))
-    numbered = part.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(key))).join(F.broadcast(before), "_p")
-    n = F.greatest(F.lit(1), F.least(F.lit(chunks), F.col("_n")))
-    return numbered.withColumn("chunk", F.floor((F.col("_i") + F.col("_b") - 1) / F.ceil(F.col("_n") / n)).cast("int")).drop("_p", "_b", "_n", "_i")
+    before = sizes.select(F.col("_p"), (F.sum("count").over(Window.orderBy("_p")) - F.col("count")).alias("_b"), F.sum("count").over(Window.partitionBy(F.lit(0))).alias("total"))
+    row = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1
+    return part.withColumn("_i", row).join(F.broadcast(before), "_p").withColumn("index", F.col("_i") + F.col("_b")).drop("_p", "_b", "_i")
+
+
+def chunked(df: DataFrame, key: str, chunks: int) -> DataFrame:
+    """df with chunk: contiguous parts of equal size in key's order."""
+    d = numbered(df, key, max(1, chunks))
+    n = F.greatest(F.lit(1), F.least(F.lit(chunks), F.col("total")))
+    return d.withColumn("chunk", F.floor(F.col("index") / F.ceil(F.col("total") / n)).cast("int")).drop("index", "total")
 
 
 def write_chunks(df: DataFrame, path: str, key: str, chunks: int) -> None:
