@@ -268,7 +268,7 @@ def attempt(rows: DataFrame, length: int, bucket_rows: int, seed: int, hash_bits
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = K.packed(batch.column(1))
-            for i, j in K.groups(offsets):
+            for i, j in K.groups(offsets, 1 << 20):  # some 120 bytes are held for each byte of a text
                 text, a, b, anchor, core, whole = runs(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, seed)
                 pick = pa.array(text + i)
                 yield pa.RecordBatch.from_arrays(
