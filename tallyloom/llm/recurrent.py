@@ -82,7 +82,24 @@ def count_tokens(docs: DataFrame, text_col: str, flush: int = 1_000_000) -> Data
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def soft(e: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp of e less each row's largest, the rows' sums, and the log of a row's sum with what was taken off; in place. most: a bound of e."""
+    if most < 80:  # no exp can overflow
+        q = np.exp(e, out=e)
+        total = q @ np.ones(q.shape[1], q.dtype)
+        return q, total, np.log(total)
+    top = e.max(1)
+    e -= top[:, None]
+    q = np.exp(e, out=e)
+    total = q @ np.ones(q.shape[1], q.dtype)
+    return q, total, np.log(total) + top
 
 
 class GatedLM:
@@ -106,44 +123,54 @@ class GatedLM:
         x, y = self.p["x"][word], h @ self.p["u"]
         g = sigmoid(x[:, : 2 * n] + y[:, : 2 * n])
         z, r = g[:, :n], g[:, n:]
-        new = np.tanh(x[:, 2 * n :] + r * y[:, 2 * n :])
-        return z, r, y[:, 2 * n :], new, new + z * (h - new)
+        new = r * y[:, 2 * n :]
+        new += x[:, 2 * n :]
+        np.tanh(new, out=new)
+        out = h - new
+        out *= z
+        out += new
+        return z, r, y[:, 2 * n :], new, out
 
     def outputs(self, h: np.ndarray, word: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probability of each word (for a rare one: of the class), and the gradient for h if grad is given."""
         p = self.p
         row = np.arange(len(word))
         cls = np.minimum(word // CLASS_WORDS, CLASSES)
-        e = h @ p["c"] + p["cb"]
-        e -= e.max(1, keepdims=True)
-        q = np.exp(e)
-        total = q.sum(1, keepdims=True)
-        out = e[row, cls] - np.log(total[:, 0])
+        most = lambda w, b: float(np.abs(w).sum(0 if len(w) == self.h else 1).max() + np.abs(b).max())  # noqa: E731  states lie between -1 and 1
+        e = h @ p["c"]
+        e += p["cb"]
+        out = e[row, cls]
+        q, total, log = soft(e, most(p["c"], p["cb"]))
+        out -= log
         dh = None
         if grad is not None:
-            d = q / total
+            d = q
+            d /= total[:, None]
             d[row, cls] -= 1
             grad["c"] += h.T @ d
             grad["cb"] += d.sum(0)
             dh = d @ p["c"].T
         order = np.argsort(cls, kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        limit = most(p["w"], p["wb"])
         for k in range(CLASSES):
             at = order[bounds[k] : bounds[k + 1]]
             if not len(at):
                 continue
             some = slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
-            e = h[at] @ p["w"][some].T + p["wb"][some]
-            e -= e.max(1, keepdims=True)
-            q = np.exp(e)
-            total = q.sum(1)
-            mine = word[at] - k * CLASS_WORDS
-            out[at] += e[np.arange(len(at)), mine] - np.log(total)
+            x = h[at]
+            e = x @ p["w"][some].T
+            e += p["wb"][some]
+            mine = (np.arange(len(at)), word[at] - k * CLASS_WORDS)
+            said = e[mine]
+            q, total, log = soft(e, limit)
+            out[at] += said - log
             if grad is not None:
-                d = q / total[:, None]
-                d[np.arange(len(at)), mine] -= 1
-                grad["w"][some] += d.T @ h[at]
-                grad["wb"][some] += d.sum(0)
+                d = q
+                d /= total[:, None]
+                d[mine] -= 1
+                grad["w"][some] += d.T @ x
+                grad["wb"][some] += np.ones(len(d), d.dtype) @ d
                 dh[at] += d @ p["w"][some]
         return out, dh
 
@@ -161,24 +188,32 @@ class GatedLM:
         _, d_out = self.outputs(np.concatenate(states), ids[chain.at[t0] : chain.at[t1]], grad)
         ends = np.cumsum([len(s) for s in states])
         dh = np.zeros((0, n), np.float32)
-        sides, for_u = [], []
+        sides, for_u, back = [], [], np.ascontiguousarray(self.p["u"].T)
         for i in range(len(states) - 1, -1, -1):
             w, z, r, y, new, _ = kept[i]
             d = dh
             if len(dh) < len(w):
                 d = np.zeros((len(w), n), h.dtype)
                 d[: len(dh)] = dh
-            keep = 1 - z
-            side = np.empty((len(w), 3 * n), h.dtype)
-            d_new = d * keep * (1 - new * new)
-            side[:, :n] = d * (states[i] - new) * z * keep
-            side[:, n : 2 * n] = d_new * y * r * (1 - r)
-            side[:, 2 * n :] = d_new
+            kept_part = d - d * z
+            d_new = new * new
+            np.subtract(1, d_new, out=d_new)
+            d_new *= kept_part
+            d_z = states[i] - new
+            d_z *= kept_part
+            d_z *= z
+            d_r = 1 - r
+            d_r *= r
+            d_r *= y
+            d_r *= d_new
+            side = np.concatenate([d_z, d_r, d_new], 1)
             sides.append(side)
             side = side.copy()
             side[:, 2 * n :] *= r
             for_u.append(side)
-            dh = d * z + side @ self.p["u"].T + d_out[ends[i] - len(w) : ends[i]]
+            dh = side @ back
+            dh += d * z
+            dh += d_out[ends[i] - len(w) : ends[i]]
         grad["u"] += np.concatenate(states[::-1]).T @ np.concatenate(for_u)
         words = np.concatenate([k[0] for k in kept[::-1]])
         by_word = np.argsort(words, kind="stable")
