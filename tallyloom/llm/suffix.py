@@ -255,13 +255,13 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     rows = rows.withColumn("ik", F.coalesce(F.col("id").cast("string"), F.lit(""))).withColumn("th", F.xxhash64("text"))
     for seed in range(8):
         out = attempt(rows, length, bucket_rows, seed, 64 if seed else hash_bits)
-        if not out.where(~F.col("agrees")).limit(1).count():
-            return out.drop("agrees").withColumnRenamed("id", id_col)
+        if out is not None:
+            return out.withColumnRenamed("id", id_col)
     raise RuntimeError("strings with equal hashes differ, whatever the seed")
 
 
-def attempt(rows: DataFrame, length: int, bucket_rows: int, seed: int, hash_bits: int) -> DataFrame:
-    """removed_spans of rows (id, text, ik, th) with one set of hashes; agrees: whether all that was taken for equal with this text is."""
+def attempt(rows: DataFrame, length: int, bucket_rows: int, seed: int, hash_bits: int) -> DataFrame | None:
+    """removed_spans of rows (id, text, ik, th) with one set of hashes; None if something that it took for equal is not."""
     kind = rows.schema["id"].dataType.simpleString()
     mask = np.uint64((1 << hash_bits) - 1)
 
@@ -373,8 +373,10 @@ def attempt(rows: DataFrame, length: int, bucket_rows: int, seed: int, hash_bits
     met = salted_join(pairs, wanted, ["rik", "rth"], "inner", hot_keys(reps, ["rik", "rth"], pairs.count()), F.struct("ik", "th"))
     raw = F.col("text").cast("binary")
     met = met.select("ik", "th", F.transform("parts", lambda p: F.struct(p["from"].alias("from"), F.substring(raw, p["from"] + p["shift"] + 1, p["to"] - p["from"]).alias("data"))).alias("parts"))
-    checks = met.groupBy("ik", "th").agg(F.flatten(F.collect_list("parts")).alias("checks"))
-    by_text = cut(by_text.join(checks, ["ik", "th"], "left"))
+    same = F.forall("parts", lambda p: F.substring(raw, p["from"] + 1, F.length(p["data"])) == p["data"])
+    if cut(met.join(rows.select("ik", "th", "text").hint("merge"), ["ik", "th"]).where(~same).select("ik", "th")).limit(1).count():
+        return None
+    by_text = cut(by_text)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -400,9 +402,8 @@ def attempt(rows: DataFrame, length: int, bucket_rows: int, seed: int, hash_bits
                 out.append((len(text), len(text) - len(kept), len(a), hashlib.sha256(kept.tobytes()).hexdigest(), [{"from": int(x), "to": int(y)} for x, y in zip(a, b, strict=True)]))
             columns = list(zip(*out, strict=True)) if out else [()] * 5
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True)), batch.column(3)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "agrees"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    same = F.coalesce(F.forall("checks", lambda c: F.substring(raw, c["from"] + 1, F.length(c["data"])) == c["data"]), F.lit(True))
-    both = rows.hint("merge").join(by_text, ["ik", "th"], "left").select("id", "text", "spans", same.alias("agrees"))
-    fields = f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<`from`:int,`to`:int>>, agrees boolean"
-    return cut(both.mapInArrow(remove, fields))
+    both = rows.hint("merge").join(by_text, ["ik", "th"], "left").select("id", "text", "spans")
+    fields = f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<`from`:int,`to`:int>>"
+    return both.mapInArrow(remove, fields)
