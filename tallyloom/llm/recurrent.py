@@ -60,22 +60,22 @@ def count_tokens(docs: DataFrame, text_col: str, flush: int = 1_000_000) -> Data
     """(word, c): the 64-bit hash of each token and its count; counted in the task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
 
         def batch_of() -> pa.RecordBatch:
+            words, back = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([c for _, c in parts]), len(words)).astype(np.int64)
+            parts.clear()
             return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["word", "c"])
 
         for batch in batches:
             buf, offsets = K.packed(batch.column(0))
             for i, j in K.groups(offsets):
                 h, _ = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                w, c = np.unique(h, return_counts=True)
-                words, back = np.unique(np.concatenate([words, w]), return_inverse=True)
-                counts = np.bincount(back, np.concatenate([counts, c]), len(words)).astype(np.int64)
-                if len(words) > flush:
+                parts.append(np.unique(h, return_counts=True))
+                if sum(len(w) for w, _ in parts) > flush:
                     yield batch_of()
-                    words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        if len(words):
+        if parts:
             yield batch_of()
 
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word bigint, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
@@ -276,9 +276,9 @@ def learn_everywhere(taught: DataFrame, text_col: str, scorer: Scorer, piece: in
         seen = 0
         for batch in batches:
             buf, offsets = K.packed(batch.column(0))
-            for i, j in K.groups(offsets):
+            for i, j in K.groups(offsets, 2 * K.CHUNK_BYTES):
                 h, size = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                net.fit(scorer.look_up(h)[2], pieces_of(size, piece), turns=1, rate=rate)
+                net.fit(scorer.vocabulary_ids(h), pieces_of(size, piece), turns=1, rate=rate)
                 seen += len(h)
         if seen:
             flat = np.concatenate([net.p[k].ravel() for k in names]).astype(np.float64)
@@ -308,8 +308,17 @@ class Scorer:
         by_word = np.argsort(words)
         self.words, self.counts, self.ids = words[by_word], counts[by_word], ids[by_word].astype(np.int32)
         self.own_counts = counts[vocabulary]
+        mine = self.ids != RARE
+        self.own, self.own_ids = self.words[mine], self.ids[mine].astype(np.int64)
         self.net = GatedLM()
 
+    def vocabulary_ids(self, h: np.ndarray) -> np.ndarray:
+        """The tokens' ids in the vocabulary; its few words are looked up by themselves."""
+        if not len(self.own):
+            return np.full(len(h), RARE)
+        i = np.minimum(np.searchsorted(self.own, h), len(self.own) - 1)
+        return np.where(self.own[i] == h, self.own_ids[i], RARE)
+
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Whether each token is in the head, its count and its id in the vocabulary."""
         if not len(self.words):
@@ -359,7 +368,7 @@ def score_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = K.packed(batch.column(1))
-            for i, j in K.groups(offsets):
+            for i, j in K.groups(offsets, 2 * K.CHUNK_BYTES):
                 h, size = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 text = np.repeat(np.arange(j - i), size)
                 has, c, ids = scorer.look_up(h)
