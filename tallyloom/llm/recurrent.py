@@ -120,7 +120,7 @@ class GatedLM:
 
     def step(self, word: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         n = self.h
-        x, y = self.p["x"][word], h @ self.p["u"]
+        x, y = self.p["x"].take(word, 0), h @ self.p["u"]
         g = sigmoid(x[:, : 2 * n] + y[:, : 2 * n])
         z, r = g[:, :n], g[:, n:]
         new = r * y[:, 2 * n :]
@@ -158,7 +158,7 @@ class GatedLM:
             if not len(at):
                 continue
             some = slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
-            x = h[at]
+            x = h.take(at, 0)
             e = x @ p["w"][some].T
             e += p["wb"][some]
             mine = (np.arange(len(at)), word[at] - k * CLASS_WORDS)
@@ -218,7 +218,7 @@ class GatedLM:
         words = np.concatenate([k[0] for k in kept[::-1]])
         by_word = np.argsort(words, kind="stable")
         first = np.flatnonzero(np.append(True, np.diff(words[by_word]) > 0))
-        grad["x"][words[by_word[first]]] = np.add.reduceat(np.concatenate(sides)[by_word], first)
+        grad["x"][words[by_word[first]]] = np.add.reduceat(np.concatenate(sides).take(by_word, 0), first)
         return grad, h, int(ends[-1])
 
     def fit(self, words: np.ndarray, lengths: np.ndarray, *, window: int = 32, turns: int = 10, rate: float = 0.01) -> None:
