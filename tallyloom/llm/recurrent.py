@@ -368,7 +368,7 @@ def score_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = K.packed(batch.column(1))
-            for i, j in K.groups(offsets, 2 * K.CHUNK_BYTES):
+            for i, j in K.groups(offsets, 4 * K.CHUNK_BYTES):
                 h, size = tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 text = np.repeat(np.arange(j - i), size)
                 has, c, ids = scorer.look_up(h)
