@@ -10,25 +10,43 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import cut
 
-def bootstrap_mean(df: DataFrame, value: str, by: list[str], *, draws: int = 2000, seed: int = 1) -> DataFrame:
+
+#: Of a Poisson(1) number: the chance of 0, of at most 1, ...
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
+
+
+def poisson_weights(keys: np.ndarray, draw: int, seed: int) -> np.ndarray:
+    """A Poisson(1) number for each 64-bit key, by a mixing function of key, draw and seed: however rows are dealt, a row's is the same."""
+    z = keys + np.uint64((draw + 1) * 0x9E3779B97F4A7C15 + seed * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+    return np.searchsorted(POISSON, u, side="right").astype(float)
+
+
+def bootstrap_mean(df: DataFrame, value: str, by: list[str], *, key: list[str] | None = None, draws: int = 2000, seed: int = 1) -> DataFrame:
     """mean, low and high (95 %) per group. Each value counts a Poisson(1) number of times in each draw, so rows stay where they are.
 
-    A group's draws are sums, which combine before the shuffle; no group is gathered.
+    The numbers come from a hash of the row's key (all columns if none is named), so the interval doesn't depend on how rows
+    are dealt; rows with one key are drawn together. A group's draws are sums, which combine before the shuffle; no group is gathered.
     """
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
 
     def run(batches):  # noqa: ANN001, ANN202
-        for i, b in enumerate(batches):
+        for b in batches:
             out = []
-            for key, g in b.groupby(by, dropna=False):
-                v = g["_v"].to_numpy(float)
-                rng = np.random.default_rng([seed, int(g["_h"].iloc[0]) & 0x7FFFFFFF, i])
-                w = rng.poisson(1.0, (draws, len(v)))
-                out.append((*key, len(v), float(v.sum()), w.sum(1).astype(float).tolist(), (w @ v).tolist()))
+            for name, g in b.groupby(by, dropna=False):
+                v, keys = g["_v"].to_numpy(float), g["_h"].to_numpy(np.int64).view(np.uint64)
+                w, ws = np.empty(draws), np.empty(draws)
+                for d in range(draws):
+                    n = poisson_weights(keys, d, seed)
+                    w[d], ws[d] = n.sum(), n @ v
+                out.append((*name, len(v), float(v.sum()), w.tolist(), ws.tolist()))
             yield pd.DataFrame(out, columns=[*by, "n", "s", "w", "ws"])
 
-    parts = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), F.xxhash64(F.col(value)).alias("_h")).mapInPandas(run, f"{kinds}, n bigint, s double, w array<double>, ws array<double>")
+    parts = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), F.xxhash64(*(key or df.columns)).alias("_h")).mapInPandas(run, f"{kinds}, n bigint, s double, w array<double>, ws array<double>")
     long = parts.select(*by, "n", "s", F.posexplode(F.arrays_zip("w", "ws")).alias("draw", "x"))
     per = long.groupBy(*by, "draw").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), (F.sum("x.ws") / F.nullif(F.sum("x.w"), F.lit(0.0))).alias("m"))
     ends = per.groupBy(*by).agg(F.max("n").alias("n"), (F.max("s") / F.max("n")).alias("mean"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
@@ -102,6 +120,49 @@ def clustered_fit(x: np.ndarray, y: np.ndarray, cluster: np.ndarray | None = Non
     return {"coef": b, "se": np.sqrt(np.diag(cov)), "log_likelihood": like}
 
 
+def clustered_logit(df: DataFrame, *, y: str, x: list[str], cluster: str, turns: int = 50, ridge: float = 1e-6) -> dict[str, np.ndarray | float]:
+    """clustered_fit of y (0 or 1) on the columns x, over counts of equal rows; only sums over rows and over clusters reach the driver.
+
+    Rows with a null among these columns are left out.
+    """
+    k = len(x)
+    used = df.select(F.col(y).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(x)], F.col(cluster).alias("cluster")).na.drop()
+    cells = cut(used.groupBy(*used.columns).agg(F.count(F.lit(1)).alias("n")))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    b = np.zeros(k)
+
+    def fitted():  # noqa: ANN202
+        e = sum((F.col(f"x{j}") * float(b[j]) for j in range(k)), F.lit(0.0))
+        d = cells.withColumn("p", 1 / (1 + F.exp(-F.greatest(F.least(e, F.lit(30.0)), F.lit(-30.0)))))
+        return d.withColumn("r", F.col("n") * (F.col("y") - F.col("p")))
+
+    def sums(d: DataFrame):  # noqa: ANN202
+        w = F.col("n") * F.col("p") * (1 - F.col("p"))
+        like = F.sum(F.col("n") * F.log(F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p"))))
+        row = d.agg(*[F.sum(w * F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs], *[F.sum(F.col("r") * F.col(f"x{j}")) for j in range(k)], like).first()
+        return square(row[: len(pairs)]) + ridge * np.eye(k), np.array(row[len(pairs) : -1], float), row[-1]
+
+    def square(values: tuple) -> np.ndarray:
+        m = np.zeros((k, k))
+        for (i, j), v in zip(pairs, values, strict=True):
+            m[i, j] = m[j, i] = v or 0.0
+        return m
+
+    for _ in range(turns):
+        curve, slope, _ = sums(fitted())
+        step = np.linalg.solve(curve, np.nan_to_num(slope))
+        b = b + step
+        if np.abs(step).max() < 1e-10:
+            break
+    d = fitted()
+    curve, _, like = sums(d)
+    scores = d.groupBy("cluster").agg(*[F.sum(F.col("r") * F.col(f"x{j}")).alias(f"s{j}") for j in range(k)])
+    row = scores.agg(F.count(F.lit(1)), *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")) for i, j in pairs]).first()
+    bread = np.linalg.inv(curve)
+    cov = row[0] / max(1, row[0] - 1) * bread @ square(row[1:]) @ bread
+    return {"coef": b, "se": np.sqrt(np.diag(cov)), "log_likelihood": like or 0.0}
+
+
 def chi2_tail(x: float, df: int) -> float:
     """P(chi-squared with df degrees > x), by the series of the incomplete gamma function."""
     if x <= 0:

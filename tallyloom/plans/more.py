@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,12 +38,12 @@ def bfs_levels(t: Tables) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY event_type")
 def bootstrap_sizes(t: Tables) -> DataFrame:
-    return E.bootstrap_mean(t.events, "value", ["event_type"], draws=200).select("event_type", "n")
+    return E.bootstrap_mean(t.events, "value", ["event_type"], key=["event_id"], draws=200).select("event_type", "n")
 
 
 @query()
 def bootstrap_gap(t: Tables) -> DataFrame:
-    return E.bootstrap_mean(t.events, "value", ["event_type"], draws=500)
+    return E.bootstrap_mean(t.events, "value", ["event_type"], key=["event_id"], draws=500)
 
 
 @query()
@@ -56,12 +54,9 @@ def matched_pairs(t: Tables) -> DataFrame:
 
 @query()
 def glm_cluster(t: Tables) -> DataFrame:
-    """Quality on length and language by logistic regression with errors by source, over counts of equal rows."""
-    d = t.documents.join(t.labels, "doc_id").select("quality", F.floor(F.log("n_chars")).alias("size"), (F.col("lang") == "en").cast("int").alias("en"), "source")
-    rows = d.groupBy("quality", "size", "en", "source").count().collect()  # cells, not documents
-    each = [(r.quality, r.size, r.en, r.source) for r in rows for _ in range(r["count"])]
-    y, size, en, source = (np.array(c) for c in zip(*each, strict=True))
-    fit = E.clustered_fit(np.column_stack([np.ones(len(y)), size.astype(float), en.astype(float)]), y.astype(float), source)
+    """Quality on length and language by logistic regression with errors by source."""
+    d = t.documents.join(t.labels, "doc_id").select("quality", F.lit(1).alias("one"), F.floor(F.log("n_chars")).alias("size"), (F.col("lang") == "en").cast("int").alias("en"), "source")
+    fit = E.clustered_logit(d, y="quality", x=["one", "size", "en"], cluster="source")
     return t.spark.createDataFrame([(n, float(b), float(s)) for n, b, s in zip(("one", "log_size", "english"), fit["coef"], fit["se"], strict=True)], "term string, coef double, se double")
 
 
