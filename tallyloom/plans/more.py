@@ -24,7 +24,7 @@ def html_tables(t: Tables) -> DataFrame:
 
 
 EDGES = """SELECT 'r' || r_regionkey AS a, 'n' || n_nationkey AS b FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier
-UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer WHERE c_acctbal > 0"""
+UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer"""
 
 
 @query(f"""WITH RECURSIVE e AS ({EDGES}), w(node, depth, via) AS (SELECT DISTINCT a, 0, CAST(NULL AS VARCHAR) FROM e WHERE a IN ('r0', 'r1') UNION SELECT e.b, w.depth + 1, e.a FROM w JOIN e ON e.a = w.node WHERE w.depth < 6)
@@ -32,7 +32,7 @@ SELECT node, CAST(min(depth) AS INTEGER) AS depth, min(via) AS via FROM w GROUP
 def bfs_levels(t: Tables) -> DataFrame:
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     edges = t.nation.select(name("r", "n_regionkey").alias("from"), name("n", "n_nationkey").alias("to"))
-    edges = edges.union(t.supplier.select(name("n", "s_nationkey"), name("s", "s_suppkey"))).union(t.customer.where("c_acctbal > 0").select(name("n", "c_nationkey"), name("c", "c_custkey")))
+    edges = edges.union(t.supplier.select(name("n", "s_nationkey"), name("s", "s_suppkey"))).union(t.customer.select(name("n", "c_nationkey"), name("c", "c_custkey")))
     return G.bfs(edges, edges.where(F.col("from").isin("r0", "r1")).select(F.col("from").alias("node")))
 
 
