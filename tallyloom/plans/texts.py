@@ -12,20 +12,13 @@ from tallyloom.operators import measures as M
 
 from .registry import Tables, query
 
-HEAD = "string_split(text, chr(10))[1]"
-
-
-def _head(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.get(F.split("text", "\n"), 0).alias("head"))
-
-
 NORM = rf"trim(regexp_replace(regexp_replace(replace(regexp_replace(lower(coalesce({{c}}, '')), '\([^)]*\)', ' ', 'g'), '&', ' and '), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
 SPELLED = "array_to_string(list_transform(string_split({n}, ' '), lambda w: CASE w WHEN 'st' THEN 'saint' WHEN 'mt' THEN 'mount' WHEN 'jr' THEN 'junior' WHEN 'sr' THEN 'senior' WHEN 'ft' THEN 'fort' ELSE w END), ' ')"
 
 
-@query(f"SELECT doc_id, {SPELLED.format(n=NORM.format(c=HEAD))} AS name FROM documents")
+@query(f"SELECT doc_id, {SPELLED.format(n=NORM.format(c='text'))} AS name FROM documents")
 def norm_name(t: Tables) -> DataFrame:
-    return _head(t).select("doc_id", X.norm_name(F.col("head")).alias("name"))
+    return t.documents.select("doc_id", X.norm_name(F.col("text")).alias("name"))
 
 
 @query(f"""SELECT p_partkey, array_to_string(list_filter(string_split({SPELLED.format(n=NORM.format(c='p_name'))}, ' '), lambda w: w <> '' AND w NOT IN ('the', 'of', 'red', 'blue')), ' ') AS core,
@@ -35,9 +28,9 @@ def core_tokens(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.array_join(core, " ").alias("core"), F.size(X.significant_tokens(core)).alias("n_significant"))
 
 
-@query(f"SELECT doc_id, trim(regexp_extract(coalesce('X (' || {HEAD} || ') y', ''), '\\(([^)]*)\\)', 1)) AS inside FROM documents")
+@query(f"SELECT doc_id, trim(regexp_extract(coalesce('X (' || text || ') y', ''), '\\(([^)]*)\\)', 1)) AS inside FROM documents")
 def title_paren(t: Tables) -> DataFrame:
-    return _head(t).select("doc_id", X.parenthesised(F.concat(F.lit("X ("), F.col("head"), F.lit(") y"))).alias("inside"))
+    return t.documents.select("doc_id", X.parenthesised(F.concat(F.lit("X ("), F.col("text"), F.lit(") y"))).alias("inside"))
 
 
 @query("""SELECT c_custkey, array_to_string(list_transform(string_split(upper(c_name) || ' HS', ' '), lambda w: CASE WHEN w IN ('II', 'III', 'IV', 'HS', 'MS', 'ES', 'STEM', 'US', 'USA', 'NW', 'NE', 'SW', 'SE') THEN w
