@@ -90,12 +90,12 @@ def groups(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = min(j, n)
 
 
-def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and text index of the words [^\\x20\\x09-\\x0D]+; a text's end ends a word."""
+def word_spans(buf: np.ndarray, offsets: np.ndarray, apart: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and text index of the words [^\\x20\\x09-\\x0D]+, or of what bytes with apart keep apart; a text's end ends a word."""
     n = len(buf)
     if not n:
         return (np.zeros(0, np.int64),) * 3
-    word = ~WHITE[buf]
+    word = ~apart[buf]
     before = np.zeros(n, bool)
     before[1:] = word[:-1]
     before[offsets[:-1][offsets[:-1] < n]] = False

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, crf, lines, mil, minhash, mixing, recurrent, suffix
+from . import blockmax, bpe, covertree, crf, fim, hilbert, lines, mil, minhash, mixing, recurrent, suffix
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -81,6 +81,20 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op12_blockmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blockmax.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    whole = [F.sha2(c, 256).alias(name) for name, c in (("output_sha256", F.col("output")), ("restored_sha256", fim.restored(F.col("output"), F.col("form"))))]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *whole)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_bpe": op2_bpe,
@@ -92,10 +106,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm": op8_lm,
     "op9_mixing": op9_mixing,
     "op10_minhash": op10_minhash,
+    "op11_hilbert": op11_hilbert,
+    "op12_blockmax": op12_blockmax,
+    "op13_fim": op13_fim,
 }
 ORACLES = {
     "op4_quality_rules": lines.oracle_rules(),
     "op5_topk": covertree.ORACLE,
     "op6_line_dedup": lines.oracle_drop(),
     "op9_mixing": mixing.ORACLE,
+    "op12_blockmax": blockmax.ORACLE,
+    "op13_fim": fim.ORACLE,
 }
