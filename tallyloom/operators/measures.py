@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import free_names, running_totals
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b where b isn't 0, in double; else null."""
@@ -18,10 +20,39 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return (mid - half) / d, (mid + half) / d
 
 
+def quantiles(df: DataFrame, value: str, at: list[float], by: list[str] | None = None, name: str = "quantiles") -> DataFrame:
+    """by and name: the exact quantiles of each group, interpolated; nulls are left out, a group without values isn't there.
+
+    Equal values are counted, the counts summed up in order by ranges, and each quantile's two neighbours are picked by their
+    places: no buffer holds a group's values.
+    """
+    by = by or []
+    v, n, first, total = free_names(by, "v", "n", "first", "total")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias(v)).agg(F.count(F.lit(1)).alias(n))
+    placed = running_totals(counts, by, [v], n, first)
+    keys = free_names([*by, v, n, first, total], *by)
+    totals = counts.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]).agg(F.sum(n).alias(total))
+    same = F.lit(True)
+    for c, k in zip(by, keys, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    placed = placed.join(totals, same) if by else placed.crossJoin(F.broadcast(totals))  # one row
+    picks = []
+    for p in at:
+        place = F.lit(p) * (F.col(total) - 1)
+        low, high = F.floor(place), F.ceil(place)
+        value_at = lambda i: F.max(F.when(F.col(first) <= i, F.col(v)))
+        picks += [value_at(low), value_at(high), F.max(place - low)]
+    got = placed.groupBy(*by).agg(*[c.alias(f"q{i}") for i, c in enumerate(picks)], F.count(F.lit(1)).alias("rows"))
+    between = [F.when(F.col(f"q{3 * i + 2}") == 0, F.col(f"q{3 * i}")).otherwise((1 - F.col(f"q{3 * i + 2}")) * F.col(f"q{3 * i}") + F.col(f"q{3 * i + 2}") * F.col(f"q{3 * i + 1}")) for i in range(len(at))]
+    return got.where(F.col("rows") > 0).select(*by, F.array(*between).alias(name))
+
+
 def quantile_bins(df: DataFrame, value: str, n: int, name: str = "bin") -> DataFrame:
-    """Right-closed bins between exact quantiles; equal values share a bin, the lowest edge is in bin 1."""
-    edges = df.agg(F.percentile(F.col(value), F.array(*[F.lit(i / n) for i in range(1, n)])).alias("_e"))
-    return df.crossJoin(F.broadcast(edges)).withColumn(name, (F.size(F.filter("_e", lambda e: F.col(value) > e)) + 1).cast("int")).drop("_e")
+    """Right-closed bins between exact quantiles; equal values share a bin, the lowest edge is in bin 1. Without any value no row has a bin."""
+    (e,) = free_names(df.columns, "edges")
+    edges = quantiles(df, value, [i / n for i in range(1, n)], name=e)  # one row
+    above = F.when(F.col(value).isNotNull(), (F.size(F.filter(e, lambda x: F.col(value) > x)) + 1).cast("int"))
+    return df.join(F.broadcast(edges), F.lit(True), "left").withColumn(name, above).drop(e)
 
 
 def average_rank(order: str, *by: str) -> Column:
@@ -33,15 +64,16 @@ def average_rank(order: str, *by: str) -> Column:
 def with_average_rank(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
     """df with the ranks of value among its group, ties averaged: ranks are summed over counts of equal values, and rows meet theirs in a join.
 
-    The window holds one row for each distinct value of a group, not the group's rows.
+    Neither a group's rows nor its distinct values are one task.
     """
-    v, start = F.col(value).alias("_v"), F.col("_s") - F.col("_n")
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, v).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_s", F.sum("_n").over(Window.partitionBy(*by).orderBy("_v")))
-    ranks = counts.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], "_v", (start + (F.col("_n") + 1) / F.lit(2.0)).alias(name))
-    on = F.col(value) == F.col("_v")
-    for i, c in enumerate(by):
-        on = on & F.col(c).eqNullSafe(F.col(f"_{i}"))
+    v, n, first = free_names([*df.columns, name], "v", "n", "first")
+    keys = free_names([*df.columns, name, v, n, first], *by)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias(v)).agg(F.count(F.lit(1)).alias(n))
+    counts = running_totals(counts, by, [v], n, first)
+    ranks = counts.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], v, (F.col(first) + (F.col(n) + 1) / F.lit(2.0)).alias(name))
+    on = F.col(value) == F.col(v)
+    for c, k in zip(by, keys, strict=True):
+        on = on & F.col(c).eqNullSafe(F.col(k))
     return df.join(ranks, on, "left").select(*df.columns, name)
 
 

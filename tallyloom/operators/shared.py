@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,3 +29,35 @@ def cut(df: DataFrame) -> DataFrame:
     path = fresh_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """names, with underscores before those that are among taken, whatever their case."""
+    used = {c.lower() for c in taken}
+    out = []
+    for n in names:
+        while n.lower() in used:
+            n = f"_{n}"
+        used.add(n.lower())
+        out.append(n)
+    return out
+
+
+def running_totals(df: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """df with name: the sum of value over the rows of the group (by) that come before in order, which no two rows of a group share.
+
+    Rows are dealt by ranges of group and order and summed within them; before that comes what the group has in earlier
+    ranges. So no group is one task, however large.
+    """
+    part, own, before = free_names([*df.columns, name], "part", "own", "before")
+    keys = free_names([*df.columns, name, part, own, before], *by)
+    ranged = cut(df.repartitionByRange(*by, *order).withColumn(part, F.spark_partition_id()))
+    w = Window.partitionBy(part, *by)
+    inside = F.sum(value).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(value)
+    totals = ranged.groupBy(part, *by).agg(F.sum(value).alias(own))
+    earlier = F.sum(own).over(Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select(F.col(part).alias(f"{part}_"), *[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.coalesce(earlier, F.lit(0)).alias(before))
+    same = F.col(part) == F.col(f"{part}_")
+    for c, k in zip(by, keys, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    return ranged.withColumn(name, inside).join(totals, same).withColumn(name, F.col(name) + F.col(before)).select(*df.columns, name)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators import estimate as E
 from tallyloom.operators import graph as G
 from tallyloom.operators import measures as M
+from tallyloom.operators import sampling as S2
 from tallyloom.sources import readers as S
 from tallyloom.sources import writers as W
 
@@ -49,7 +50,7 @@ def bootstrap_gap(t: Tables) -> DataFrame:
 @query()
 def matched_pairs(t: Tables) -> DataFrame:
     d = t.documents.join(t.labels, "doc_id").select("lang", "toxic", F.log("n_chars").alias("size"), "doc_id")
-    return E.matched_pairs(d, cell=["lang"], treated="toxic", value="size", id_col="doc_id", caliper=0.35)
+    return S2.matched_pairs(d, cell=["lang"], treated="toxic", value="size", id_col="doc_id", caliper=0.35).drop("order")
 
 
 @query()

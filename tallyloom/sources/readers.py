@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-import csv
-import io
 import json
 import time
-import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tallyloom.sources.archives import read_zip_members  # noqa: F401
 
-def read_csv(spark: SparkSession, path: str, *, ids: list[str] | None = None, id_col: str | None = None) -> DataFrame:
-    """All columns as text, header in the first line; ids: only these rows."""
-    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
-    return df if ids is None else df.where(F.col(id_col).isin(ids))
+
+def read_csv(spark: SparkSession, path: str, *, ids: DataFrame | list[str] | None = None, id_col: str | None = None, multi_line: bool = True) -> DataFrame:
+    """All columns as text, header in the first line; ids: only these rows, by a semi-join with a frame that has id_col, or a short list.
+
+    multi_line: fields may hold line ends, so that a file is one task; without it files are split.
+    """
+    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"')
+    if ids is None:
+        return df
+    return df.where(F.col(id_col).isin(ids)) if isinstance(ids, list) else df.join(ids.select(id_col).distinct(), id_col, "left_semi")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -36,31 +39,6 @@ def read_release(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return read_jsonl(spark, path, schema) if path.endswith(".jsonl") else spark.read.parquet(path)
 
 
-def read_zip_members(spark: SparkSession, path: str, suffix: str, columns: list[str], *, delimiter: str = ",", header: bool = True) -> DataFrame:
-    """The first member ending in suffix of each archive, as text columns; a header of our own where the file has none."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    name = next((n for n in z.namelist() if n.lower().endswith(suffix.lower())), None)
-                    if name is None:
-                        continue
-                    with z.open(name) as raw:
-                        reader = csv.DictReader(io.TextIOWrapper(raw, "utf-8", errors="replace", newline=""), fieldnames=None if header else columns, delimiter=delimiter)
-                        rows = []
-                        for r in reader:
-                            rows.append([r.get(c) for c in columns])
-                            if len(rows) == 10_000:
-                                yield pd.DataFrame(rows, columns=columns)
-                                rows = []
-                        if rows:
-                            yield pd.DataFrame(rows, columns=columns)
-
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
-
-
 class Rows(HTMLParser):
     """The cells of every table row."""
 

@@ -92,14 +92,11 @@ def test_estimates(spark):
     d = spark.createDataFrame([("g", float(v)) for v in rng.normal(5, 2, 400)], "g string, v double")
     r = E.bootstrap_mean(d, "v", ["g"], draws=400).first()
     assert r.low < r["mean"] < r.high and r.high - r.low == pytest.approx(4 * 2 / 20, rel=0.4)
-    pairs = E.matched_pairs(spark.createDataFrame([(1, "c", 1, 1.0), (2, "c", 1, 5.0), (3, "c", 0, 1.1), (4, "c", 0, 9.0)], "id int, c string, t int, v double"), cell=["c"], treated="t", value="v", id_col="id", caliper=0.35).collect()
-    assert [(p.a, p.b) for p in pairs] == [(1, 3)]
     x = np.column_stack([np.ones(2000), rng.normal(size=2000)])
     y = (rng.random(2000) < 1 / (1 + np.exp(-(0.5 + x[:, 1])))).astype(float)
     fit = E.clustered_fit(x, y, np.arange(2000) % 50)
     assert np.abs(fit["coef"] - [0.5, 1]).max() < 0.2 and (fit["se"] < 0.1).all()
     assert E.chi2_tail(3.841, 1) == pytest.approx(0.05, abs=1e-3)
-    assert E.mann_whitney(np.arange(20.0), np.arange(20.0) + 15) < 0.001 < E.wilcoxon(np.array([1.0, -1, 2, -2, 3]))
     assert 0.1 < E.detectable_effect(200, 0.5) < 0.2
 
 
