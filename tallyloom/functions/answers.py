@@ -16,8 +16,10 @@ EXPAND = {
     "co": "county", "dist": "district", "corp": "corporation", "twp": "township", "cons": "consolidated", "cisd": "consolidated independent school district",
     "isd": "independent school district", "mt": "mount", "st": "saint", "ft": "fort",
 }
-STOP = tuple("""corporation board system department education parish independent comm school schools district public county isd usd unified city of the
-community consolidated csd area united joint dist sd co""".split())
+STOP = (
+    "corporation", "board", "system", "department", "education", "parish", "independent", "comm", "school", "schools", "district", "public", "county",
+    "isd", "usd", "unified", "city", "of", "the", "community", "consolidated", "csd", "area", "united", "joint", "dist", "sd", "co",
+)
 BIAS = ("familiarity", "academic", "safety", "resources", "teachers", "recommend")
 ITEMS = {"sector": "a1", "district": "a2", "level": "a3", "religion": "a4", "grades": "a5", "enroll": "a6", "charter": "a7"}
 

@@ -9,67 +9,24 @@ from pyspark.sql import functions as F
 
 from . import text as X
 
-#: Code, FIPS number and name of each state, the district and five territories.
-STATES = """
-AL 01 Alabama
-AK 02 Alaska
-AZ 04 Arizona
-AR 05 Arkansas
-CA 06 California
-CO 08 Colorado
-CT 09 Connecticut
-DE 10 Delaware
-DC 11 District of Columbia
-FL 12 Florida
-GA 13 Georgia
-HI 15 Hawaii
-ID 16 Idaho
-IL 17 Illinois
-IN 18 Indiana
-IA 19 Iowa
-KS 20 Kansas
-KY 21 Kentucky
-LA 22 Louisiana
-ME 23 Maine
-MD 24 Maryland
-MA 25 Massachusetts
-MI 26 Michigan
-MN 27 Minnesota
-MS 28 Mississippi
-MO 29 Missouri
-MT 30 Montana
-NE 31 Nebraska
-NV 32 Nevada
-NH 33 New Hampshire
-NJ 34 New Jersey
-NM 35 New Mexico
-NY 36 New York
-NC 37 North Carolina
-ND 38 North Dakota
-OH 39 Ohio
-OK 40 Oklahoma
-OR 41 Oregon
-PA 42 Pennsylvania
-RI 44 Rhode Island
-SC 45 South Carolina
-SD 46 South Dakota
-TN 47 Tennessee
-TX 48 Texas
-UT 49 Utah
-VT 50 Vermont
-VA 51 Virginia
-WA 53 Washington
-WV 54 West Virginia
-WI 55 Wisconsin
-WY 56 Wyoming
-AS 60 American Samoa
-GU 66 Guam
-MP 69 Northern Mariana Islands
-PR 72 Puerto Rico
-VI 78 United States Virgin Islands
-"""
-NAMES = {line.split(" ", 2)[0]: line.split(" ", 2)[2] for line in STATES.split("\n") if line}
-FIPS = {line.split(" ", 2)[0]: line.split(" ", 2)[1] for line in STATES.split("\n") if line}
+#: Names and FIPS numbers of the states, the district and five territories.
+NAMES = {
+    "AL": "Alabama", "AK": "Alaska", "AZ": "Arizona", "AR": "Arkansas", "CA": "California", "CO": "Colorado", "CT": "Connecticut", "DE": "Delaware",
+    "DC": "District of Columbia", "FL": "Florida", "GA": "Georgia", "HI": "Hawaii", "ID": "Idaho", "IL": "Illinois", "IN": "Indiana", "IA": "Iowa",
+    "KS": "Kansas", "KY": "Kentucky", "LA": "Louisiana", "ME": "Maine", "MD": "Maryland", "MA": "Massachusetts", "MI": "Michigan", "MN": "Minnesota",
+    "MS": "Mississippi", "MO": "Missouri", "MT": "Montana", "NE": "Nebraska", "NV": "Nevada", "NH": "New Hampshire", "NJ": "New Jersey",
+    "NM": "New Mexico", "NY": "New York", "NC": "North Carolina", "ND": "North Dakota", "OH": "Ohio", "OK": "Oklahoma", "OR": "Oregon",
+    "PA": "Pennsylvania", "RI": "Rhode Island", "SC": "South Carolina", "SD": "South Dakota", "TN": "Tennessee", "TX": "Texas", "UT": "Utah",
+    "VT": "Vermont", "VA": "Virginia", "WA": "Washington", "WV": "West Virginia", "WI": "Wisconsin", "WY": "Wyoming", "AS": "American Samoa",
+    "GU": "Guam", "MP": "Northern Mariana Islands", "PR": "Puerto Rico", "VI": "United States Virgin Islands",
+}
+FIPS = {
+    "AL": "01", "AK": "02", "AZ": "04", "AR": "05", "CA": "06", "CO": "08", "CT": "09", "DE": "10", "DC": "11", "FL": "12", "GA": "13", "HI": "15",
+    "ID": "16", "IL": "17", "IN": "18", "IA": "19", "KS": "20", "KY": "21", "LA": "22", "ME": "23", "MD": "24", "MA": "25", "MI": "26", "MN": "27",
+    "MS": "28", "MO": "29", "MT": "30", "NE": "31", "NV": "32", "NH": "33", "NJ": "34", "NM": "35", "NY": "36", "NC": "37", "ND": "38", "OH": "39",
+    "OK": "40", "OR": "41", "PA": "42", "RI": "44", "SC": "45", "SD": "46", "TN": "47", "TX": "48", "UT": "49", "VT": "50", "VA": "51", "WA": "53",
+    "WV": "54", "WI": "55", "WY": "56", "AS": "60", "GU": "66", "MP": "69", "PR": "72", "VI": "78",
+}
 #: Other spellings of names, for whole fields and within texts, and the names that take "the" in prose.
 OTHER_NAMES = {"virgin islands": "VI", "u.s. virgin islands": "VI", "us virgin islands": "VI", "washington, d.c.": "DC", "washington d.c.": "DC"}
 OTHER_TEXT_NAMES = {"U.S. Virgin Islands": "VI", "Washington, D.C.": "DC", "Washington D.C.": "DC"}
@@ -77,29 +34,35 @@ PROSE_NAMES = {"DC": "the District of Columbia", "MP": "the Northern Mariana Isl
 TERRITORIES = ("AS", "GU", "MP", "PR", "VI")
 
 #: Words of names that tell no school from another.
-GENERIC = tuple("""school schools high elementary middle primary secondary intermediate junior senior the of a and at for prep preparatory academy
-institute center centre es ms hs elem sch district campus program education charter community public virtual online magnet regional county city
-unified union free mesivta mesifta yeshiva yeshivat bais beis beth""".split())
+GENERIC = (
+    "school", "schools", "high", "elementary", "middle", "primary", "secondary", "intermediate", "junior", "senior", "the", "of", "a", "and", "at",
+    "for", "prep", "preparatory", "academy", "institute", "center", "centre", "es", "ms", "hs", "elem", "sch", "district", "campus", "program",
+    "education", "charter", "community", "public", "virtual", "online", "magnet", "regional", "county", "city", "unified", "union", "free", "mesivta",
+    "mesifta", "yeshiva", "yeshivat", "bais", "beis", "beth",
+)
 #: Type words by family, and level words by level.
 TYPE_FAMILIES = {
-    "online": "virtual online cyber",
-    "charter": "charter chtr",
-    "academy": "academy academies acad",
-    "program": "program programs",
-    "center": "center centre ctr",
-    "montessori": "montessori",
-    "magnet": "magnet",
-    "career": "career technical technology tech vocational polytech polytechnic",
-    "alternative": "alternative alt",
-    "prep": "preparatory prep",
-    "institute": "institute",
-    "conservatory": "conservatory",
+    "online": ("virtual", "online", "cyber"),
+    "charter": ("charter", "chtr"),
+    "academy": ("academy", "academies", "acad"),
+    "program": ("program", "programs"),
+    "center": ("center", "centre", "ctr"),
+    "montessori": ("montessori",),
+    "magnet": ("magnet",),
+    "career": ("career", "technical", "technology", "tech", "vocational", "polytech", "polytechnic"),
+    "alternative": ("alternative", "alt"),
+    "prep": ("preparatory", "prep"),
+    "institute": ("institute",),
+    "conservatory": ("conservatory",),
 }
-LEVEL_WORDS = {"high": "high senior secondary hs", "middle": "middle junior ms", "elementary": "elementary primary elem es"}
+LEVEL_WORDS = {"high": ("high", "senior", "secondary", "hs"), "middle": ("middle", "junior", "ms"), "elementary": ("elementary", "primary", "elem", "es")}
 #: Disambiguators that name no place, cities that bind to none, and words of city names that don't count.
 NO_PLACES = ("school", "high school", "academy", "private school", "public school")
 FREE_CITIES = ("new york", "manhattan", "brooklyn", "queens", "bronx", "the bronx", "staten island")
-CITY_FILLER = tuple("city township town village borough north south east west new saint fort port mount lake upper lower the of".split())
+CITY_FILLER = (
+    "city", "township", "town", "village", "borough", "north", "south", "east", "west", "new", "saint", "fort", "port", "mount", "lake", "upper",
+    "lower", "the", "of",
+)
 
 
 def lookup(table: dict[str, str], c: Column) -> Column:
@@ -107,8 +70,8 @@ def lookup(table: dict[str, str], c: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for x in chain(*table.items())]), c)
 
 
-def by_word(families: dict[str, str]) -> dict[str, str]:
-    return {w: k for k, ws in families.items() for w in ws.split()}
+def by_word(families: dict[str, tuple[str, ...]]) -> dict[str, str]:
+    return {w: k for k, ws in families.items() for w in ws}
 
 
 def blank(c: Column) -> Column:
@@ -250,19 +213,21 @@ def is_list(title: Column) -> Column:
 
 
 #: Stems of branches that aren't followed.
-BRANCH_STOPS = """universit, community college, junior college, technical college, law school, medical school, nursing school, business school,
-graduate school, art school, divinity, seminar, alumni, faculty, people educated, people associated, educators, teachers, headmasters, heads of,
-principals, school shootings, shootings, attacks on, school fires, school board, lists of, national register, historic places, sport, athletic,
-football, basketball, baseball, mascot, stadium, gymnasium, yearbook, student newspaper, school buildings, buildings and structures, campuses,
-architecture, establishments in, disestablishments in, introductions, in fiction, fictional, popular culture, film, radio station,
-television station, novel, song, video game, discograph, template, stubs, wikipedia, wikiproject, tracking categories"""
+BRANCH_STOPS = (
+    "universit", "community college", "junior college", "technical college", "law school", "medical school", "nursing school", "business school",
+    "graduate school", "art school", "divinity", "seminar", "alumni", "faculty", "people educated", "people associated", "educators", "teachers",
+    "headmasters", "heads of", "principals", "school shootings", "shootings", "attacks on", "school fires", "school board", "lists of",
+    "national register", "historic places", "sport", "athletic", "football", "basketball", "baseball", "mascot", "stadium", "gymnasium", "yearbook",
+    "student newspaper", "school buildings", "buildings and structures", "campuses", "architecture", "establishments in", "disestablishments in",
+    "introductions", "in fiction", "fictional", "popular culture", "film", "radio station", "television station", "novel", "song", "video game",
+    "discograph", "template", "stubs", "wikipedia", "wikiproject", "tracking categories",
+)
 
 
 def descends(category: Column, defunct: bool = False) -> Column:
     """Whether a branch of categories is followed: it is of schools, no college but a preparatory one, not defunct, and has no stop at a word's start."""
     name = F.lower(F.regexp_replace(category, "^Category:", ""))
-    stops = "|".join(" ".join(x.split()) for x in BRANCH_STOPS.split(","))
-    ok = name.rlike("school|academ|yeshiv") & ~(F.contains(name, F.lit("college")) & ~F.contains(name, F.lit("prep"))) & ~name.rlike(rf"\b({stops})")
+    ok = name.rlike("school|academ|yeshiv") & ~(F.contains(name, F.lit("college")) & ~F.contains(name, F.lit("prep"))) & ~name.rlike(rf"\b({'|'.join(BRANCH_STOPS)})")
     return F.coalesce(ok if defunct else ok & ~name.rlike(r"\bdefunct"), F.lit(False))
 
 

@@ -102,7 +102,8 @@ FIELDS = ["id", "name", "state", "sector", "text", "from_article", "title", "qid
 def release_gate(rows: DataFrame, spans: DataFrame, *, expect: int = 0, baseline: DataFrame | None = None, max_delta: float = 0.05, card: str | None = None) -> DataFrame:
     """(check, ok, n_bad, examples): the checks that a release passes, with five examples at most of what fails.
 
-    spans: (id, span_levels). Row checks are one pass; keys, titles and states are counted by themselves.
+    spans: (id, span_levels), the first of an id by order counts. Row checks are one pass; keys, titles and states are counted
+    by themselves. A null state is one of its own, on both sides.
     """
     key = F.coalesce(F.col("id").cast("string"), F.lit(""))
     mine = F.col("from_article") == 1
@@ -118,14 +119,14 @@ def release_gate(rows: DataFrame, spans: DataFrame, *, expect: int = 0, baseline
         "level_fits": ~mine | level,
     }
     marks = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.struct(F.lit(n).alias("check"), key.alias("example"))) for n, ok in good.items()]))
-    bad = rows.join(spans.select("id", "span_levels"), "id", "left").select(F.explode(marks).alias("b")).select("b.*")
+    bad = rows.join(spans.groupBy("id").agg(F.min("span_levels").alias("span_levels")), "id", "left").select(F.explode(marks).alias("b")).select("b.*")
     keys = rows.groupBy(key.alias("example")).count().where("count > 1").select(F.lit("key_unique").alias("check"), "example")
     titles = rows.where(mine).groupBy("title").count().where("count > 1").select(F.lit("one_article_per_school").alias("check"), F.concat("title", F.lit(" x"), "count").alias("example"))
     bad = bad.unionByName(keys).unionByName(titles)
     names = [*good, "key_unique", "one_article_per_school"]
     if baseline is not None:
-        old, new = baseline.groupBy("state").agg(F.count(F.lit(1)).alias("old")), rows.groupBy("state").agg(F.count(F.lit(1)).alias("new"))
-        both = old.join(new, "state", "full").na.fill(0, ["old", "new"])
+        of = lambda d, name: d.groupBy(F.coalesce("state", F.lit("none")).alias("state")).agg(F.count(F.lit(1)).alias(name))
+        both = of(baseline, "old").join(of(rows, "new"), "state", "full").na.fill(0, ["old", "new"])
         moved = (F.abs((F.col("new") - F.col("old")) / F.greatest("old", F.lit(1))) > max_delta) & (F.greatest("old", "new") >= 20)
         bad = bad.unionByName(both.where(moved).select(F.lit("state_counts").alias("check"), F.concat("state", F.lit(" "), "old", F.lit(" -> "), "new").alias("example")))
         names.append("state_counts")

@@ -81,11 +81,11 @@ def by_name(articles: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def by_similar_name(articles: DataFrame, records: DataFrame, threshold: float) -> DataFrame:
-    """The best core of the state that shares a long word; SURE_SCORE is enough, threshold if the city agrees.
+    """The best core of the state, if that is known, that shares a long word; SURE_SCORE is enough, threshold if the city agrees.
 
     A pair is met at the smallest word that it shares, so none comes twice; pairs whose lengths rule the threshold out are not compared.
     """
-    a = articles.where(F.length(F.replace("w_core", F.lit(" "), F.lit(""))) >= 4).withColumn("_t", F.explode("w_tokens"))
+    a = articles.where("w_state <> ''").where(F.length(F.replace("w_core", F.lit(" "), F.lit(""))) >= 4).withColumn("_t", F.explode("w_tokens"))
     r = records.where("core <> ''").withColumn("_t", F.explode("tokens"))
     d = a.join(r, (F.col("w_state") == F.col("state")) & (a["_t"] == r["_t"]))
     d = d.where(a["_t"] == F.array_min(F.array_intersect("w_tokens", "tokens"))).drop("_t")

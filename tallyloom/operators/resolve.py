@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import free_names
+
 
 def pick_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key, the first by order: first wins (ascending ordinal) or last wins (descending)."""
+    (n,) = free_names(df.columns, "n")
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return df.withColumn(n, F.row_number().over(w)).where(F.col(n) == 1).drop(n)
 
 
 def first_wins_upgraded(df: DataFrame, keys: list[str], order: list[str], field: str, weak: tuple[str, ...]) -> DataFrame:
@@ -30,13 +33,15 @@ def first_wins_upgraded(df: DataFrame, keys: list[str], order: list[str], field:
 
 def claim_resolution(df: DataFrame, target: str, order: list[Column]) -> DataFrame:
     """The winning claim of each target, and n_losers; losers are not tried elsewhere."""
+    (n,) = free_names(df.columns, "n")
     w = Window.partitionBy(target)
-    return df.withColumns({"_n": F.row_number().over(w.orderBy(*order)), "n_losers": F.count(F.lit(1)).over(w) - 1}).where("_n = 1").drop("_n")
+    return df.withColumns({n: F.row_number().over(w.orderBy(*order)), "n_losers": F.count(F.lit(1)).over(w) - 1}).where(F.col(n) == 1).drop(n)
 
 
 def drop_all_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key no other row has."""
-    return df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("_n = 1").drop("_n")
+    (n,) = free_names(df.columns, "n")
+    return df.withColumn(n, F.count(F.lit(1)).over(Window.partitionBy(*keys))).where(F.col(n) == 1).drop(n)
 
 
 def remaining(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

@@ -64,8 +64,7 @@ NETWORK_HEADS = r"^(schools?\s+(network|district|system|corporation)|charter\s+(
 SCHOOL_HEADS = ("school", "schools", "academy", "institute", "institution", "college", "yeshiva", "center", "centre", "complex", "campus", "program", "programme")
 K12_TYPES = r"\b(high|middle|elementary|primary|secondary|junior high|senior high|charter|public|private|boarding|magnet|preparatory|parochial|catholic|montessori|k-12|early college high|comprehensive)\s+school\b"
 SCHOOL_WORDS = r"\b(school|academy|yeshiva|montessori|lyceum|gymnasium)\b"
-HIGHER = r"\b(university|college|seminary|theological|institute of technology)\b"
-NOT_HIGHER = r"prep|k-12|k–12|high school"
+HIGHER = r"(?!.*(prep|k-12|k–12|high school))\b(university|college|seminary|theological|institute of technology)\b"
 NETWORK = r"^(?:\S+\s+){0,3}?(network|district|school system|organization|organisation|board of education|group of schools)\b(?!\s+(?:school|high|academy))"
 ONE_SCHOOL = r"\b(school|academy|institute)\b(?!s)"
 BUILDINGS = r"school building|one-room school|rosenwald school|schoolhouse|former school|building|historic|national register|place"
@@ -146,7 +145,7 @@ def revalidate(df: DataFrame) -> DataFrame:
     closed = (text("dissolved") != "") | building_only(types) | has(c("description"), r"\b(former|defunct|closed)\b") | (text("defunct_category") != "") | (c(v) == "defunct")
     before = c("operating") if "operating" in df.columns else F.lit(None).cast("string")
     operating = F.when(c(v) == "redirect", before).when(c(t) == "past", "no").when(c(t) == "present", "yes").when(closed, "no").otherwise("yes")
-    higher = lambda x: has(x, HIGHER) & ~has(x, NOT_HIGHER)
+    joined = F.array_join(types, "|")
     is_school, listed = c(v) == "school", c(v).isin("school", "unverified")
     network = has(c("description"), NETWORK)
     sure = c(k) & has(c("title"), ONE_SCHOOL)
@@ -155,13 +154,13 @@ def revalidate(df: DataFrame) -> DataFrame:
     rules = [
         ("kind_of", listed & has(plain_lead(c("lead")), LEAD_CONCEPT), "non_school"),
         ("abroad", listed & (text("country") != "") & ~F.lower(text("country")).isin(*HOME) & (c(s) == ""), "out_of_scope"),
-        ("higher", is_school & ~c(k) & (higher(c("description")) | F.exists(types, higher)) & ~has(description, SCHOOL_WORDS), "out_of_scope"),
+        ("higher", is_school & ~c(k) & (has(c("description"), HIGHER) | has(joined, HIGHER)) & ~has(description, SCHOOL_WORDS), "out_of_scope"),
         ("plural", is_school & plural & ~c(h).isin(*SCHOOL_HEADS), "out_of_scope"),
         ("network_lead", is_school & c(h).rlike(NETWORK_HEADS) & ~sure, "out_of_scope"),
         ("network", is_school & network & ~sure & ~((c(t) == "present") & (c(h) != "")), "out_of_scope"),
         ("closed", is_school & (text("defunct_category") != "") & (c(t) != "present"), "defunct"),
         ("rescued", c(v).isin("out_of_scope", "non_school", "defunct") & sure & (c(t) == "present") & ~network, "school"),
-        ("described", (c(v) == "unverified") & (text("wikidata_qid") != "") & has(c("description"), SCHOOL_WORDS) & ~network & ~higher(c("description")), "school"),
+        ("described", (c(v) == "unverified") & (text("wikidata_qid") != "") & has(c("description"), SCHOOL_WORDS) & ~network & ~has(c("description"), HIGHER), "school"),
     ]
     tag, note = F, F
     for name, holds, new in rules:

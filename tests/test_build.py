@@ -34,3 +34,12 @@ def test_gate(spark):
     report = {r.check: r for r in B.release_gate(rows, spans, expect=8, baseline=rows, card="---\n8 rows").collect()}
     assert {k for k, r in report.items() if not r.ok} == {"no_markup", "level_fits"}
     assert report["level_fits"].examples == ["1"] and report["no_markup"].n_bad == 1
+
+
+def test_gate_counts_null_states_and_rows_once(spark):
+    rows = B.release_rows(spark.createDataFrame([(i, "n", None if i < 30 else "AL", "public", "") for i in range(60)], "id int, name string, state string, sector string, text string"), spark.createDataFrame([], "id int, page int, title string, qid string"), spark.createDataFrame([], "page int, title string, text string, revision int"), 20)
+    spans = spark.createDataFrame([(1, ["high"]), (1, ["middle"]), (1, None)], "id int, span_levels array<string>")
+    report = {r.check: r for r in B.release_gate(rows, spans, baseline=rows).collect()}
+    assert report["state_counts"].ok and report["text_present"].n_bad == 60
+    report = {r.check: r for r in B.release_gate(rows, spans, baseline=rows.where("id % 2 = 0 or state is not null")).collect()}
+    assert report["state_counts"].examples == ["none 15 -> 30"]

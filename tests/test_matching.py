@@ -74,3 +74,28 @@ def test_states_levels_and_titles(spark):
     rows = [("Category:High schools in Ohio", True), ("Category:Art schools in Ohio", False), ("Category:Heart schools", True), ("Category:College preparatory schools", True), ("Category:Collegiate colleges school", False), ("Category:Defunct schools", False), ("Category:Films about school", False), ("Category:Bridges", False)]
     d = spark.createDataFrame(rows, "t string, want boolean")
     assert d.where(H.descends(F.col("t")) != F.col("want")).count() == 0
+
+
+def test_articles_of_no_known_state_are_not_linked_by_name(spark):
+    r = spark.createDataFrame([("1", "Chandler Park Academy", "", "", "", "09", "12", None, None, 0)], R).withColumn("span_levels", H.span_levels(H.public_grade(F.col("lo")), H.public_grade(F.col("hi"))))
+    a = spark.createDataFrame([(0, "Chandler Park Academy", "Narnia", "", "", None, None), (1, "Chandler Park Academy", None, "", "1", None, None)], A)
+    assert [(x.article_id, x.method) for x in M.match(M.prepare_articles(a), M.prepare_records(r)).collect()] == [(1, "id")]
+
+
+def test_claims_and_reasons(spark):
+    d = spark.createDataFrame([(1, "r", "geo", 99.0, 5), (2, "r", "fuzzy", 97.0, 1), (3, "r", "fuzzy", 97.0, 9), (4, "s", "id", 100.0, None), (5, "s", "id", 100.0, 3), (6, "s", "id", 100.0, 3)], "article_id int, record_id string, method string, score double, views int")
+    assert {(x.record_id, x.article_id, x.n_losers) for x in M.resolve_claims(d, F.col("views")).collect()} == {("r", 3, 2), ("s", 5, 2)}
+    why = spark.createDataFrame([("no", "Ohio"), ("yes", "Narnia"), ("yes", "OH"), (None, None)], "o string, s string")
+    assert [x[0] for x in why.select(M.unmatched_reason(F.col("o"), F.col("s"))).collect()] == ["not_operating", "no_state", "no_record_or_variant_name", "no_state"]
+
+
+def test_eligible_rows_and_levels_of_texts(spark):
+    fields = "sector string, level string, locale string, enrollment int, city string, state string, type string, status string, hi int, lunch double, listed int, method string"
+    good = ("public", "high", "city", 5, "troy", "OH", "Regular", "Open", 12, 0.5, 1, "id")
+    put = lambda **k: tuple(k.get(n, v) for n, v in zip([f.split()[0] for f in fields.split(", ")], good))
+    rows = [(good, True), (put(level=None), False), (put(city=""), False), (put(city=None), False), (put(state="PR"), False), (put(state=None), False), (put(type=None), False), (put(status="New"), False), (put(sector="private", type=None, status=None, lunch=None), True), (put(lunch=None), False), (put(method="geo"), False), (put(method=None), False), (put(listed=None, method=None), True), (put(sector=None, type="x"), True), (put(hi=None), False), (put(hi=11), False)]
+    d = spark.createDataFrame([(*r, w) for r, w in rows], fields + ", want boolean")
+    ok = H.eligible({c: F.col(c) for c in d.columns}, types=("Regular",), statuses=("Open",), methods=("id",), need_high=True)
+    assert d.where(~(ok == F.col("want"))).count() == 0 and d.where(ok.isNull()).count() == 0
+    t = spark.createDataFrame([("A Senior High in Ohio", "high"), ("junior high", "middle"), ("grammar school", "elementary"), ("a K–12 school", "combined"), ("a school", ""), (None, ""), ("middle school and high school", "high")], "t string, want string")
+    assert t.where(H.text_level(F.col("t")) != F.col("want")).count() == 0

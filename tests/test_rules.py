@@ -60,3 +60,18 @@ def test_revalidate_first_rule_and_twice_the_same(spark):
     out = {r.i: r for r in R.revalidate(spark.createDataFrame(more, FIELDS)).collect()}
     assert (out[0].state, out[0].validation_note) == ("Alabama", "state from description")
     assert out[1].validation == "school" and out[2].operating == "no" and out[2].validation == "school"
+
+
+def test_higher_education_is_judged_at_the_word(spark):
+    """What stands before a word of higher education doesn't count, what follows it does; the types are one text."""
+    rows = [
+        rec(0, description="preparatory college in Ohio", lead="", instance_of=["place"]),
+        rec(1, crawl_validation="unverified", description="K-12 school and college", lead="", instance_of=["place"]),
+        rec(2, description="", lead="", instance_of=["university", "prep institution"]),
+        rec(3, description="college of a high school", lead="", instance_of=["place"]),
+        rec(4, description="", lead="", instance_of=["prep institution", "university"]),
+        rec(5, description="college prep school", lead="", instance_of=["place"]),
+    ]
+    got = {r.i: (r.validation, r.validation_note) for r in R.revalidate(spark.createDataFrame(rows, FIELDS)).collect()}
+    assert got[0] == ("out_of_scope", "higher") and got[1] == ("unverified", "") and got[2][0] == "school"
+    assert got[3][0] == "school" and got[4] == ("out_of_scope", "higher") and got[5][0] == "school"
