@@ -358,12 +358,11 @@ def score_texts(
 
     texts = taught.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sample = [r.text for r in bounded_sample(texts, "id", sample_rows, sample_chars).collect()]
-    if sample:
+    scorer.net.start_from(scorer.own_counts, n_rare)
+    if sample:  # texts longer than sample_chars are learned from in the pass over all of them alone
         h, size = tokens(*K.packed(pa.array(sample, pa.string())))
-        ids = scorer.look_up(h)[2]
-        scorer.net.start_from(scorer.own_counts, n_rare)
-        scorer.net.fit(ids, pieces_of(size, piece))
-        learn_everywhere(taught, text_col, scorer, piece, rate)
+        scorer.net.fit(scorer.look_up(h)[2], pieces_of(size, piece))
+    learn_everywhere(taught, text_col, scorer, piece, rate)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
