@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -141,11 +141,20 @@ def bags(buf: np.ndarray, offsets: np.ndarray, words_each: int) -> Iterator[tupl
         yield i, j, *passage_features(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words_each)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 3000, passage_words: int = 64) -> Attention:
-    """A model from at most sample_rows labelled rows. Only their passages' features come to the driver."""
+def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 3000, sample_chars: int = 40_000_000, passage_words: int = 64) -> Attention:
+    """A model from at most sample_rows labelled rows of together at most sample_chars characters, by md5 of their ids.
+
+    Only their passages' features come to the driver, some number for each passage_words words. A text that is longer than all the
+    room there is, is passed over, here alone; an id with several labels has the smallest.
+    """
     picked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     picked = picked.orderBy(F.md5(F.col("id").cast("string")), "id").limit(sample_rows)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id").select("id", "text", "label")
+    size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    room = rows.select("id", size.alias("size")).where(F.col("size") <= sample_chars).groupBy("id").agg(F.sum("size").alias("size"))  # sample_rows rows at most
+    total = F.sum("size").over(Window.orderBy(F.md5(F.col("id").cast("string")), "id").rowsBetween(Window.unboundedPreceding, 0))
+    fitting = room.withColumn("total", total).where(F.col("total") <= sample_chars).select("id")
+    rows = rows.where(size <= sample_chars).join(F.broadcast(fitting), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
