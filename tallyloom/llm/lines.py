@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut, free_names
+from .store import cut, free_names, hot_keys, salted_join
 
 GAP = r"[\x20\x09-\x0D]+"
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -44,7 +44,7 @@ def line_frequencies(docs: DataFrame, *, text_col: str, host_col: str) -> DataFr
 
 
 def frequent_lines(counts: DataFrame, min_docs: int, max_ratio: float, max_docs: int | None = None) -> DataFrame:
-    """One row per host: frequent, the array of lines in more than max_ratio of its pages and in min_docs at least, or in over max_docs.
+    """(host, line, n_docs) of the lines in more than max_ratio of their host's pages and in min_docs at least, or in over max_docs.
 
     A host with p lines a page has at most p / max_ratio of the first kind, and pages * p / max_docs of the second.
     """
@@ -53,20 +53,37 @@ def frequent_lines(counts: DataFrame, min_docs: int, max_ratio: float, max_docs:
     above = F.col("n_docs") > F.col("host_docs") * F.lit(max_ratio)
     if max_docs is not None:
         above = above | (F.col("n_docs") > max_docs)
-    often = often.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).where(above)
-    return cut(often.groupBy("host").agg(F.collect_list("line").alias("frequent")))
+    return cut(often.join(hosts, F.col("host").eqNullSafe(F.col("of_host"))).where(above).select("host", "line", "n_docs"))
 
 
-def with_frequent(docs: DataFrame, frequent: DataFrame, *, host_col: str, name: str) -> DataFrame:
-    """docs with their host's frequent lines (null if none). Spark broadcasts the table only below its size limit, and else splits large hosts."""
-    host, = free_names(docs, "frequent_host")
-    f = frequent.select(F.col("host").alias(host), F.col("frequent").alias(name))
-    return docs.join(f, docs[host_col].cast("string").eqNullSafe(f[host]), "left").drop(host)
+def with_own_frequent(docs: DataFrame, frequent: DataFrame, *, text_col: str, host_col: str, name: str, listed: int = 1000) -> DataFrame:
+    """docs with name: the hashes of the document's lines that its host has too often, null or empty if there is none.
 
-
-def own_frequent(lines: Column, frequent: Column) -> Column:
-    """The hashes of a document's lines that its host has too often: one hash set a document, and a short list to look up in."""
-    return F.array_intersect(F.transform(F.filter(lines, lambda l: l.rlike(HAS_WORD)), line_hash), frequent)
+    A host of at most listed such lines sends them all to its documents as a list. Those of a larger host meet its pages line by
+    line, common lines in salted parts, and are gathered by page; a page is a text, so its copies share what was found. Pages whose
+    64-bit hashes agree by chance share theirs too, which changes nothing: all are frequent lines of the host.
+    """
+    host, page, found, at, of_page = free_names(docs, "frequent_host", "frequent_page", "frequent_found", "frequent_at", "of_page")
+    sizes = frequent.groupBy(F.col("host").alias("of_host")).agg(F.count(F.lit(1)).alias("size"))
+    marked = frequent.join(sizes, F.col("host").eqNullSafe(F.col("of_host")))
+    lists = marked.where(F.col("size") <= listed).groupBy(F.col("host").alias(host)).agg(F.collect_list("line").alias(found))
+    out = docs.join(lists, docs[host_col].cast("string").eqNullSafe(lists[host]), "left")
+    lines = F.filter(text_lines(F.col(text_col).cast("string")), lambda l: l.rlike(HAS_WORD))
+    own = F.array_intersect(F.transform(lines, line_hash), F.col(found))  # one hash set a document, and a short list to look up in
+    large = cut(marked.where(F.col("size") > listed).select("host", "line", "n_docs"))
+    if large.isEmpty():
+        return out.withColumn(name, own).drop(host, found)
+    text, blank = F.col(text_col).cast("string"), F.lit("\0")  # no host is called so
+    of_host = F.coalesce(F.col(host_col).cast("string"), blank)
+    large = large.withColumn("host", F.coalesce("host", blank))
+    hashes = F.array_distinct(F.transform(lines, line_hash))
+    pages = docs.select(of_host.alias("host"), F.xxhash64(text).alias("page"), hashes.alias("hashes")).join(large.select("host").distinct(), "host", "left_semi")
+    pages = pages.select("host", "page", F.explode("hashes").alias("line")).distinct()
+    hot = hot_keys(large.withColumnRenamed("n_docs", "n"), ["host", "line"], large.agg(F.sum("n_docs")).first()[0])
+    met = salted_join(pages, large.select("host", "line"), ["host", "line"], "inner", hot, F.col("page"))
+    met = met.groupBy(F.col("host").alias(at), F.col("page").alias(page)).agg(F.collect_list("line").alias(of_page))  # no more than the page has
+    out = out.join(met, (of_host == F.col(at)) & (F.xxhash64(text) == F.col(page)), "left")
+    return out.withColumn(name, F.coalesce(of_page, own)).drop(host, found, at, page, of_page)
 
 
 def is_frequent(line: Column, own: Column) -> Column:
@@ -74,7 +91,7 @@ def is_frequent(line: Column, own: Column) -> Column:
 
 
 def drop_site_lines(
-    docs: DataFrame, *, text_col: str = "text", host_col: str = "source", min_docs: int = 10, max_ratio: float = 0.04, stats: bool = False
+    docs: DataFrame, *, text_col: str = "text", host_col: str = "source", min_docs: int = 10, max_ratio: float = 0.04, stats: bool = False, listed: int = 1000
 ) -> DataFrame:
     """docs with text_col less the lines that stand in over max_ratio of their host's pages (and in min_docs pages).
 
@@ -83,9 +100,8 @@ def drop_site_lines(
     """
     counts = line_frequencies(docs, text_col=text_col, host_col=host_col)
     frequent = frequent_lines(counts, min_docs, max_ratio)
-    name, lines, own, kept = free_names(docs, "frequent", "lines", "own_frequent", "kept_lines")
-    both = with_frequent(docs, frequent, host_col=host_col, name=name).withColumn(lines, text_lines(F.col(text_col)))
-    both = both.withColumn(own, own_frequent(F.col(lines), F.col(name)))
+    lines, own, kept = free_names(docs, "lines", "own_frequent", "kept_lines")
+    both = with_own_frequent(docs, frequent, text_col=text_col, host_col=host_col, name=own, listed=listed).withColumn(lines, text_lines(F.col(text_col)))
     untouched = F.coalesce(F.size(own), F.lit(0)) == 0
     both = both.withColumn(kept, F.when(F.col(own).isNull() | untouched, F.col(lines)).otherwise(F.filter(lines, lambda l: ~is_frequent(l, F.col(own)))))
     text = F.when(F.size(kept) == F.size(lines), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
@@ -106,6 +122,7 @@ def quality_rules(
     min_words: int = 50,
     max_repeat_percent: int = 50,
     min_left_percent: int = 20,
+    listed: int = 1000,
 ) -> DataFrame:
     """docs, text_col less its frequent lines, with the columns of COUNTS, base_failed and kept, in place of any that docs has.
 
@@ -115,9 +132,9 @@ def quality_rules(
     Three-word windows are sorted by hashes, less the bits of a position; neighbours that agree are compared by their words,
     and a text in which hashes of different words agree is counted anew by the words themselves.
     """
-    f, own, words, lines, hashes, n, bits, keys, twins = free_names(docs, "frequent", "own_frequent", "words", "lines_", "hashes", "n_triples", "bits", "keys", "twins")
+    own, words, lines, hashes, n, bits, keys, twins = free_names(docs, "own_frequent", "words", "lines_", "hashes", "n_triples", "bits", "keys", "twins")
     frequent = frequent_lines(line_frequencies(docs, text_col=text_col, host_col=host_col), min_docs, max_ratio, max_docs)
-    d = with_frequent(docs, frequent, host_col=host_col, name=f)
+    d = with_own_frequent(docs, frequent, text_col=text_col, host_col=host_col, name=own, listed=listed)
     text = F.coalesce(F.col(text_col), F.lit(""))
     spaced = text
     for c in "\t\n\x0b\x0c\r":
@@ -127,7 +144,7 @@ def quality_rules(
         lines: F.filter(text_lines(F.col(text_col)), lambda l: l.rlike(HAS_WORD)),
     })
     size = F.size(words)
-    d = d.withColumns({hashes: F.transform(words, lambda w: F.xxhash64(w)), bits: F.length(F.bin(size)).cast("int"), n: F.greatest(size - 2, F.lit(0)), own: own_frequent(F.col(lines), F.col(f))})
+    d = d.withColumns({hashes: F.transform(words, lambda w: F.xxhash64(w)), bits: F.length(F.bin(size)).cast("int"), n: F.greatest(size - 2, F.lit(0))})
     pair = F.zip_with(F.slice(hashes, 1, F.col(n)), F.slice(hashes, 2, F.col(n)), lambda x, y: F.xxhash64(x, y))
     d = d.withColumn(keys, F.zip_with(pair, F.slice(hashes, 3, F.col(n)), lambda x, y: F.call_function("shiftleft", F.xxhash64(x, y), F.col(bits))))
     d = d.withColumn(keys, F.sort_array(F.transform(keys, lambda k, i: k.bitwiseOR(i.cast("long")))))

@@ -107,3 +107,14 @@ def test_edges(frame, edge_rows):
     out = lines.drop_site_lines(frame(edge_rows)).collect()
     assert sorted(str(r.text) for r in out) == sorted(str(r[1]) for r in edge_rows)
     assert lines.drop_site_lines(frame([])).count() == 0
+
+
+def test_long_lists_of_frequent_lines_give_the_same(frame):
+    rows = site(60, "\n".join(f"Frame line number {k} of this site" for k in range(8))) + [row(100 + i, prose(5000 + i, 70), "en", None) for i in range(30)]
+    rows += [row(200 + i, prose(7000 + i, 60) + "\nshared with no host", "en", None) for i in range(30)] + [row(300, None), row(301, ""), row(None, rows[3][1])]
+    rows += [rows[5]] * 3 + [row(400 + i, rows[7][1]) for i in range(20)]
+    for f in (lambda n: lines.quality_rules(frame(rows), listed=n), lambda n: lines.drop_site_lines(frame(rows), stats=True, listed=n)):
+        lists, exploded, mixed = (sorted(map(str, f(n).collect())) for n in (1000, 0, 5))
+        assert lists == exploded == mixed
+    out = {r.doc_id: r for r in lines.drop_site_lines(frame(rows), stats=True, listed=0).collect()}
+    assert out[0].n_dropped == 8 and out[405].n_dropped == 8 and out[205].n_dropped == 1 and out[105].n_dropped == 0
