@@ -204,35 +204,33 @@ def top_k(
     parts = np.array([max(1, -(-c.n // block_rows)) for c in cells], np.int64)
     first = np.cumsum(parts) - parts  # the first block of each cell
     index = {c.cell: i for i, c in enumerate(cells)}
-    q_parts = F.create_map(*[F.lit(x) for c in cells for x in (c.cell, max(1, -(-c.q // query_rows)))])
     of = F.create_map(*[F.lit(x) for c in cells for x in (c.cell, int(first[index[c.cell]]))])
     n_of = F.create_map(*[F.lit(x) for c in cells for x in (c.cell, int(parts[index[c.cell]]))])
     data = placed.select("id", "v", (F.try_element_at(of, F.col("cell")) + F.pmod(F.xxhash64("row"), F.try_element_at(n_of, F.col("cell")))).cast("int").alias("block"))
-    asked = placed.where("is_query").withColumn("grp", F.concat_ws(":", "cell", F.pmod(F.xxhash64("row"), F.try_element_at(q_parts, F.col("cell")))))
+    asked = placed.where("is_query")
 
     def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
             best = (matrix(d["v"], width) @ net.T).argmax(1)
-            yield pd.DataFrame({"row": d["row"], "id": d["id"], "v": d["v"], "grp": d["grp"], "block": first[best].astype(np.int32), "floor": -np.inf})
+            yield pd.DataFrame({"row": d["row"], "id": d["id"], "v": d["v"], "block": first[best].astype(np.int32), "floor": -np.inf})
 
-    fields = "row long, id long, v array<double>, grp string, block int, floor double"
+    fields = "row long, id long, v array<double>, block int, floor double"
     found_fields = "row long, query_id long, id long, score long"
 
     def search(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(d) or not len(q):
             return pd.DataFrame({c: [] for c in ("row", "query_id", "id", "score")}).astype("int64")
         ids = q["id"].to_numpy(np.int64)
-        score, found, _ = dual_search(matrix(q["v"], width), ids, matrix(d["v"], width), d["id"].to_numpy(np.int64), k, q["floor"].to_numpy(np.float64))
+        score, found, _ = dual_search(matrix(q["q"], width), ids, matrix(d["v"], width), d["id"].to_numpy(np.int64), k, q["floor"].to_numpy(np.float64))
         r, c = np.nonzero(np.isfinite(score))
         return pd.DataFrame({"row": q["row"].to_numpy(np.int64)[r], "query_id": ids[r], "id": found[r, c], "score": score[r, c].astype(np.int64)})
 
     def meet(visits: DataFrame) -> DataFrame:
-        """Data and queries of each (block, group) that is visited."""
-        pairs = visits.select(F.col("block").alias("block"), F.col("grp").alias("grp")).distinct()
-        n_groups = sum(max(1, -(-c.q // query_rows)) for c in cells)
-        if int(parts.sum()) * n_groups <= 1 << 20:
-            pairs = F.broadcast(pairs)
-        return data.join(pairs, "block").groupBy("block", "grp").cogroup(visits.groupBy("block", "grp")).applyInPandas(search, found_fields)
+        """Each block that is visited meets its queries, query_rows of them at a time: it is sent as often as that takes, whatever cells they come from."""
+        groups = visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("groups"))
+        own = visits.select("row", "id", F.col("v").alias("q"), "block", "floor").join(groups, "block").withColumn("grp", F.pmod(F.xxhash64("row"), F.col("groups")).cast("int"))
+        pairs = groups.select("block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("grp"))
+        return data.join(pairs, "block").groupBy("block", "grp").cogroup(own.groupBy("block", "grp")).applyInPandas(search, found_fields)
 
     home = cut(asked.mapInPandas(homes, fields))
     one = cut(meet(home))
@@ -249,7 +247,7 @@ def top_k(
                 q, block = np.repeat(q, parts[c]), np.repeat(first[c], parts[c]) + K.ramps(parts[c])
                 go = block != some["block"].to_numpy()[q]
                 out = some.iloc[q[go]]
-                yield pd.DataFrame({"row": out["row"], "id": out["id"], "v": out["v"], "grp": out["grp"], "block": block[go].astype(np.int32), "floor": out["kth"]})
+                yield pd.DataFrame({"row": out["row"], "id": out["id"], "v": out["v"], "block": block[go].astype(np.int32), "floor": out["kth"]})
 
     kth = home.drop("floor").join(have, "row", "left").na.fill(float("-inf"), ["kth"])
     rest = meet(cut(kth.mapInPandas(others, fields)))
