@@ -44,10 +44,15 @@ class Vocabulary:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        before = spec.get("pre_tokenizer") or {}
+        if spec["model"].get("type") != "BPE" or spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            raise ValueError(f"{path}: only byte-level BPE with its usual pattern, without a normalizer or a space in front, is read")
         alphabet = byte_alphabet()
         vocab = spec["model"]["vocab"]
         self.special = [(x["content"].encode(), x["id"]) for x in spec.get("added_tokens", [])]
         size = 1 + max([*vocab.values(), *(i for _, i in self.special)])
+        if size > 1 << 17:
+            raise ValueError(f"{path}: ids go up to {size - 1}; pairs are packed by 17 bits each")
         self.bytes = [b""] * size
         for token, i in vocab.items():
             self.bytes[i] = bytes(alphabet[c] for c in token)

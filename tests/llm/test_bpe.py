@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import pytest
@@ -37,3 +38,11 @@ def test_table(frame, edge_rows, library):
     assert sorted((str(r.doc_id), r.ids_sha256, r.decoded_sha256) for r in out) == want
     assert all(r.n_tokens == len(r.ids) for r in out)
     assert bpe.bpe_encode(frame([]), PATH).count() == 0
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    for name, change in (("pattern", {"pre_tokenizer": {"type": "Whitespace"}}), ("space", {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}}), ("norm", {"normalizer": {"type": "NFC"}}), ("ids", {"added_tokens": [{"id": 1 << 17, "content": "<x>"}]})):
+        (tmp_path / name).write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match=name if name == "ids" else "byte-level"):
+            bpe.Vocabulary(str(tmp_path / name))

@@ -191,6 +191,17 @@ def test_training_goes_over_all_texts(frame):
     assert small[0] > without
 
 
+def test_texts_above_the_limits_are_learned_from(spark, frame):
+    rows = [row(i, prose(i % 3, 80)) for i in range(40)]
+    scored = lambda **k: recurrent.score_texts(frame(rows), F.col("doc_id") < 30, **k).agg(F.sum("score"), F.sum("base_score")).first()
+    usual, base = scored()
+    long, same = scored(sample_chars=10)  # every text is longer than what the start may take
+    assert base == pytest.approx(same) and usual > base and long > 1.1 * base  # one short pass alone comes near the counts
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    small = mil.fit_quality(frame(rows), labels, sample_chars=2000)
+    assert small.mean is not None and mil.score_quality(frame(rows), mil.fit_quality(frame(rows), labels, sample_chars=10)).count() == 40
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(6, 8)) * 3
