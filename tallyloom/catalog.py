@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from tallyloom.plans import civic, evidence, more, registry, relational, study, texts  # noqa: F401
+from tallyloom.plans import civic, evidence, more, publishing, registry, relational, study, texts  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES

@@ -159,3 +159,20 @@ def clauses(*parts: Column) -> Column:
 
 def thousands(c: Column) -> Column:
     return F.format_number(c, 0)
+
+
+def continuation(words: Column, target: Column) -> tuple[Column, Column]:
+    """Of target's runs of 4 and of 2 words, repeats counted, the share that words has; null where target is too short."""
+
+    def recall(n: int) -> Column:
+        runs = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+        have, want = runs(words), runs(target)
+        return F.when(F.size(want) > 0, F.size(F.filter(want, lambda g: F.array_contains(have, g))) / F.size(want))
+
+    return recall(4), recall(2)
+
+
+def continued(generated: Column, target: Column) -> tuple[Column, Column]:
+    """Words of a continuation, ten more than the target's at most, and of the target."""
+    t = word_list(target)
+    return F.slice(word_list(generated), 1, F.size(t) + 10), t

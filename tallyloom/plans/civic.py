@@ -106,17 +106,41 @@ def release_gate(t: Tables) -> DataFrame:
 
 # -- rules
 
-LABELS = [["high school"], ["school district"], ["university", "high school"], ["school shooting"], ["college preparatory school"], [], ["bridge"], ["Law School"]]
-TAGS = ["school", "out_of_scope", "school", "non_school", "school", "unverified", "non_school", "out_of_scope"]
+KIND_SQL = "regexp_matches(x, '(?i)school|academ|gymnasium|yeshiv|lyceum|montessori|seminar|kindergarten|preparat|educational institution')"
+HIGHER_SQL = r"(NOT regexp_matches(x, '(?i)preparat') AND regexp_matches(x, '(?i)\bcollege\b|\buniversity\b|law school|medical school|graduate school|business school|nursing school|art school|dental school|veterinary school|divinity school|community college|junior college'))"
+EVENT_SQL = "regexp_matches(x, '(?i)shooting|massacre|bombing|attack|murder|killing|stabbing|disaster|riot|hostage|kidnap|hoax')"
+DISTRICT_SQL = "regexp_matches(x, '(?i)school district')"
+ENDS, MORE = [" High School", " bridge", " School District", " University", " law School", " preparatory college", ""], [" massacre", " art school", " house", " Seminar", " Collegeview"]
 
 
-@query(f"""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'unverified' WHEN {sql_pick('p_partkey', TAGS)} = 'school' AND p_size % 3 = 1 THEN 'defunct' ELSE {sql_pick('p_partkey', TAGS)} END AS tag FROM part""")
+@query(rf"""WITH d AS (SELECT p_partkey, CASE WHEN p_size % 9 = 0 THEN [] ELSE [p_name || {sql_pick('p_partkey', ENDS)}, p_type || {sql_pick('p_size', MORE)}] END AS labels, p_size % 3 AS q FROM part),
+t AS (SELECT *, len(list_filter(labels, lambda x: {KIND_SQL} AND NOT {DISTRICT_SQL} AND NOT {HIGHER_SQL} AND NOT {EVENT_SQL})) > 0 AS genuine, len(list_filter(labels, lambda x: {DISTRICT_SQL} OR {HIGHER_SQL})) > 0 AS out FROM d)
+SELECT p_partkey, CASE WHEN q = 0 OR len(labels) = 0 THEN 'unverified' WHEN genuine AND q = 1 THEN 'defunct' WHEN genuine THEN 'school' WHEN out THEN 'out_of_scope' ELSE 'non_school' END AS tag FROM t""")
 def classify_labels(t: Tables) -> DataFrame:
-    labels = F.get(F.array(*[F.array(*[F.lit(x) for x in v]).cast("array<string>") for v in LABELS]), (F.col("p_partkey") % len(LABELS)).cast("int"))
-    qid, gone = F.when(F.col("p_size") % 3 > 0, "Q1").otherwise(""), F.when(F.col("p_size") % 3 == 1, "1999")
+    """Labels made of names, types and words; the SQL states the rule."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    labels = F.when(s % 9 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat("p_name", pick(k, ENDS)), F.concat("p_type", pick(s, MORE))))
+    qid, gone = F.when(s % 3 > 0, "Q1").otherwise(""), F.when(s % 3 == 1, "1999")
     return t.part.select("p_partkey", R.classify(qid, labels, gone).alias("tag"))
 
 
+PLAIN_SQL = r"""regexp_replace(regexp_replace(regexp_replace(lead, '(?i)\b(St|Sts|Ste|Mt|Dr|Jr|Sr|No|Ft|Rev|Msgr|Sen|Gen|Pres|Ave|Blvd|Rd|Hwy|Co|Inc|Corp|Bros)\.', '\1', 'g'), '\b([A-Z])\.', '\1', 'g'), '\s*\([^)]*\)', '', 'g')"""
+VERBS = [" is a ", " was a ", " is the former ", " was built as a ", ", St. X (once), is a ", " is a historic ", " and a ", " were the "]
+AFTER = [" that was a mill. It is large.", " in Ohio", " building. It was closed! It is on the National Register.", "? He is a dean."]
+
+
+@query(rf"""WITH d AS (SELECT doc_id, coalesce(regexp_extract(text, '^[^\n.!?]*', 0), '') || {sql_pick('doc_id', VERBS)} || coalesce(source, 'x') || {sql_pick('doc_id', AFTER)} AS lead FROM documents), p AS (SELECT doc_id, {PLAIN_SQL} AS whole FROM d),
+f AS (SELECT doc_id, whole, CASE WHEN regexp_matches(whole, '(?s)^.*?[.!?]\s') THEN rtrim(regexp_extract(whole, '(?s)^(.*?[.!?])\s', 1)) ELSE whole END AS first FROM p),
+v AS (SELECT *, CASE WHEN regexp_matches(first, '(?i)^([^.]{{0,200}}?)\b(is|are)\s+(an?|the)\b') THEN length(regexp_extract(first, '(?i)^([^.]{{0,200}}?)\b(is|are)\s+(an?|the)\b', 1)) END AS now, CASE WHEN regexp_matches(first, '(?i)^([^.]{{0,200}}?)\b(was|were)\s+(an?|the)\b') THEN length(regexp_extract(first, '(?i)^([^.]{{0,200}}?)\b(was|were)\s+(an?|the)\b', 1)) END AS was FROM f)
+SELECT doc_id, CASE WHEN regexp_matches(first, '(?i)\b(is|are)\s+(an?|the)\s+(former|defunct|closed|historic\b[^.]{{0,60}}?\b(building|schoolhouse|site|structure|district))\b') THEN 'past' WHEN regexp_matches(first, '(?i)\b(was|were)\s+(built|constructed|erected|designed)\b') AND regexp_matches(whole, '(?i)National Register|historic') THEN 'past'
+WHEN was IS NOT NULL AND (now IS NULL OR was < now) THEN 'past' WHEN regexp_matches(first, '(?i)\b(is|are)\s+(an?|the)\s+historic\b') THEN '' WHEN now IS NOT NULL THEN 'present' ELSE '' END AS tense FROM v""")
+def lead_tenses(t: Tables) -> DataFrame:
+    """Opening sentences that start as the documents do; the SQL states the rule."""
+    k = F.col("doc_id")
+    lead = F.concat(F.regexp_extract(F.coalesce("text", F.lit("")), r"^[^\n.!?]*", 0), pick(k, VERBS), F.coalesce("source", F.lit("x")), pick(k, AFTER))
+    return t.documents.select("doc_id", R.tense(lead).alias("tense"))
+
+
 #: lead, description, type, tag before -> tense, head noun, tag after, operating; each stated by hand.
 LEADS = [
     ("Troy School is a public high school in Ohio.", "", "high school", "school", "present", "school", "school", "yes"),
@@ -139,14 +163,25 @@ def revalidate_leads(t: Tables) -> DataFrame:
     return R.revalidate(d).select("o_orderkey", R.tense(F.col("lead")).alias("tense"), R.head_noun(F.col("lead")).alias("head"), "validation", "operating")
 
 
-TITLES = [("Template:Troy", 1), ("Troy (1999 film)", 1), ("Grace Church", 1), ("Grace Church School", 0), ("Troy School", 0), ("List of schools in Ohio", 0), ("Troy (disambiguation)", 1), ("Cemetery Hill Academy", 0)]
-BRANCHES = [("Category:High schools in Ohio", 1), ("Category:Art schools in Ohio", 0), ("Category:College preparatory schools", 1), ("Category:Defunct schools", 0), ("Category:School films", 0), ("Category:Bridges in Ohio", 0), ("Category:Yeshivas in Ohio", 1)]
+STARTS, TAILS = ["Template:", "", "", "List of ", "Category:", "", "Portal: "], [" Church", " (1999 film)", " School", " Cemetery Academy", "", " (disambiguation)", " chapel", " (band)"]
+TITLE_SQL = f"{sql_pick('doc_id', STARTS)} || coalesce(substr(regexp_extract(text, '^[^\\n]*', 0), 1, 40), '') || {sql_pick('doc_id', TAILS)}"
+BRANCH = ["Category:High schools ", "Category:Academies: ", "Category:Yeshivas ", "Category:College schools ", "Category:College preparatory schools ", "Category:Defunct schools ", "Category:Bridges "]
+BRANCH_TAILS = ["in Ohio", "alumni", "with songs", "of art school", "(heads office)", "by stadium", "resort", "filmed in Ohio", "lost"]
+STOPS_SQL = "|".join(H.BRANCH_STOPS)
 
 
-@query(f"""SELECT c_custkey, {sql_pick('c_custkey', [str(x[1]) for x in TITLES])} = '1' AS dropped, {sql_pick('c_custkey', [x[0] for x in TITLES])} LIKE 'List of %' AS listed, {sql_pick('c_custkey', [str(x[1]) for x in BRANCHES])} = '1' AS followed FROM customer""")
+@query(rf"""WITH d AS (SELECT doc_id, {TITLE_SQL} AS title, coalesce(source, '') || CASE WHEN doc_id % 11 = 0 THEN ' Accredited schools' ELSE '' END AS category, {sql_pick('doc_id', BRANCH)} || coalesce(lang, '') || ' ' || {sql_pick('doc_id', BRANCH_TAILS)} AS branch FROM documents),
+b AS (SELECT *, lower(regexp_replace(branch, '^Category:', '')) AS n FROM d)
+SELECT doc_id, regexp_matches(title, '^(Template|Portal|Wikipedia|Draft|Module|Help|Category|File|User|MediaWiki|Talk):') OR regexp_matches(title, '(?i)\(([0-9]{{4}} )?film\)|\(TV series\)|\(song\)|\(album\)|\(band\)|\(novel\)|\(disambiguation\)') OR (regexp_matches(title, '(?i)\b(church|cemetery|chapel|congregation)\b') AND NOT regexp_matches(title, '(?i)school|academ|yeshiv|institute|seminary|montessori'))
+OR regexp_matches(category, '(?i)accredit|commission on|association of') AS dropped, regexp_matches(title, '^(List of |Lists of |Index of |Outline of |Timeline of )') AS listed,
+regexp_matches(n, 'school|academ|yeshiv') AND NOT (contains(n, 'college') AND NOT contains(n, 'prep')) AND NOT regexp_matches(n, '\b({STOPS_SQL})') AND NOT regexp_matches(n, '\bdefunct') AS followed FROM b""")
 def title_rules(t: Tables) -> DataFrame:
-    title = pick(F.col("c_custkey"), [x[0] for x in TITLES])
-    return t.customer.select("c_custkey", H.title_dropped(title, F.lit("")).alias("dropped"), H.is_list(title).alias("listed"), H.descends(pick(F.col("c_custkey"), [x[0] for x in BRANCHES])).alias("followed"))
+    """Titles that start as the documents do, categories of their sources and languages; the SQL states the rules."""
+    k = F.col("doc_id")
+    title = F.concat(pick(k, STARTS), F.substring(F.regexp_extract(F.coalesce("text", F.lit("")), r"^[^\n]*", 0), 1, 40), pick(k, TAILS))
+    category = F.concat(F.coalesce("source", F.lit("")), F.when(k % 11 == 0, " Accredited schools").otherwise(""))
+    branch = F.concat(pick(k, BRANCH), F.coalesce("lang", F.lit("")), F.lit(" "), pick(k, BRANCH_TAILS))
+    return t.documents.select("doc_id", H.title_dropped(title, category).alias("dropped"), H.is_list(title).alias("listed"), H.descends(branch).alias("followed"))
 
 
 GRADES = ["PK", "KG", "01", "05", "06", "08", "09", "12", "UG", None]
@@ -162,24 +197,39 @@ def grade_levels(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.array_join(H.span_levels(lo, hi), "|").alias("levels"), H.evaluation_level(lo, hi)[0].alias("level"))
 
 
-PLACES_IN = [("a school in Charleston, West Virginia", "West Virginia"), ("in Arkansas", "Arkansas"), ("Washington, D.C. school", "District of Columbia"), ("nowhere", ""), (None, ""), ("New Mexico or Mexico", "New Mexico")]
-SPELLINGS = [("ca", "CA"), ("West Virginia", "WV"), (" washington d.c. ", "DC"), ("us virgin islands", "VI"), ("Narnia", ""), (None, "")]
+NAMED = {n: k for k, n in H.NAMES.items()} | H.OTHER_TEXT_NAMES
+LONGEST = ", ".join("'" + n.replace("'", "''") + "'" for n in sorted(NAMED, key=lambda n: (-len(n), n)))
+CODES_OF = "MAP {" + ", ".join(f"'{n.lower()}': '{k}'" for n, k in ({n: k for k, n in H.NAMES.items()} | H.OTHER_NAMES | {k: k for k in H.NAMES}).items()) + "}"
+FULL = "MAP {" + ", ".join(f"'{n}': '{H.NAMES[k]}'" for n, k in NAMED.items()) + "}"
+SPELT = sorted(NAMED)
 
 
-@query(f"SELECT c_custkey, {sql_pick('c_custkey', [x[1] for x in SPELLINGS])} AS code, {sql_pick('c_custkey', [x[1] for x in PLACES_IN])} AS name FROM customer")
+@query(f"""WITH d AS (SELECT doc_id, 'In ' || {sql_pick('doc_id', SPELT)} || coalesce(source, '') || ' and ' || {sql_pick('n_chars', SPELT)} || coalesce(lang, '') AS told, CASE doc_id % 3 WHEN 0 THEN ' ' || upper({sql_pick('n_chars', SPELT)}) ELSE {sql_pick('n_chars', [*H.NAMES, 'XX'])} END AS code FROM documents),
+c AS (SELECT doc_id, trim(code) AS code, list_filter([{LONGEST}], lambda n: contains(told, n))[1] AS found FROM d)
+SELECT doc_id, coalesce({CODES_OF}[lower(code)], '') AS code, coalesce({FULL}[found], '') AS name FROM c""")
 def state_names(t: Tables) -> DataFrame:
-    k = F.col("c_custkey")
-    return t.customer.select("c_custkey", H.state_code(pick(k, [x[0] for x in SPELLINGS])).alias("code"), H.state_in_text(pick(k, [x[0] for x in PLACES_IN])).alias("name"))
+    """Two names in prose, the longest counts; names and codes by themselves. The SQL looks them up in a table."""
+    k, n = F.col("doc_id"), F.col("n_chars")
+    told = F.concat(F.lit("In "), pick(k, SPELT), F.coalesce("source", F.lit("")), F.lit(" and "), pick(n, SPELT), F.coalesce("lang", F.lit("")))
+    code = F.when(k % 3 == 0, F.concat(F.lit(" "), F.upper(pick(n, SPELT)))).otherwise(pick(n, [*H.NAMES, "XX"]))
+    return t.documents.select("doc_id", H.state_code(code).alias("code"), H.state_in_text(told).alias("name"))
 
 
-CITIES = [("st. george", "st george", 1), ("new york city", "new york", 1), ("queens", "astoria", 1), ("bloomfield township", "bloomfield hills", 1), ("port lavaca", "la joya", 0), ("north bend", "north hills", 0), ("", "anywhere", 1)]
-NAME_PAIRS = [("blue valley academy", "blue valley virtual program", 0), ("pace prep", "pace preparatory", 1), ("pace", "pace academy", 1), ("career center", "career and technology high school", 1), ("troy magnet", "troy charter", 0)]
+CITY_WORDS, TYPE_WORDS = ["", "new ", "st. ", "port ", "lake "], [" academy", " virtual program", " prep", " career center", "", " magnet", " charter academy"]
+FILLER_SQL = ", ".join(f"'{w}'" for w in H.CITY_FILLER)
+FAMILY_SQL = "MAP {" + ", ".join(f"'{w}': '{k}'" for w, k in H.by_word(H.TYPE_FAMILIES).items()) + "}"
+FAMILIES_X, FAMILIES_Y = (f"list_distinct(list_filter(list_transform(string_split({c}, ' '), lambda w: {FAMILY_SQL}[w]), lambda f: f IS NOT NULL))" for c in "xy")
 
 
-@query(f"SELECT c_custkey, {sql_pick('c_custkey', [str(x[2]) for x in CITIES])} = '1' AS city, {sql_pick('c_custkey', [str(x[2]) for x in NAME_PAIRS])} = '1' AS types FROM customer")
+@query(f"""WITH d AS (SELECT p_partkey, {sql_pick('p_partkey', CITY_WORDS)} || CASE WHEN p_size % 10 = 0 THEN '' ELSE string_split(p_name, ' ')[1] END || ' city' AS a, {sql_pick('p_size', CITY_WORDS)} || CASE WHEN p_size % 7 = 0 THEN 'bronx' ELSE string_split(p_name, ' ')[1 + p_partkey % 2] END AS b, p_name || {sql_pick('p_partkey', TYPE_WORDS)} AS x, p_name || {sql_pick('p_size', TYPE_WORDS)} AS y FROM part),
+n AS (SELECT *, list_filter(string_split(replace(a, 'st. ', 'saint '), ' '), lambda w: w <> '') AS wa, list_filter(string_split(replace(b, 'st. ', 'saint '), ' '), lambda w: w <> '') AS wb FROM d)
+SELECT p_partkey, wa = wb OR list_has_any(list_filter(wa, lambda w: w NOT IN ({FILLER_SQL})), list_filter(wb, lambda w: w NOT IN ({FILLER_SQL}))) AS city, len({FAMILIES_X}) = 0 OR len({FAMILIES_Y}) = 0 OR list_has_any({FAMILIES_X}, {FAMILIES_Y}) AS types FROM n""")
 def compatible_names(t: Tables) -> DataFrame:
-    of = lambda rows, i: pick(F.col("c_custkey"), [x[i] for x in rows])
-    return t.customer.select("c_custkey", H.city_compatible(of(CITIES, 0), of(CITIES, 1)).alias("city"), H.types_compatible(of(NAME_PAIRS, 0), of(NAME_PAIRS, 1)).alias("types"))
+    """Cities and names made of the parts' words; the SQL states the rules."""
+    k, s, w = F.col("p_partkey"), F.col("p_size"), F.split("p_name", " ")
+    a = F.concat(pick(k, CITY_WORDS), F.when(s % 10 == 0, "").otherwise(w[0]), F.lit(" city"))
+    b = F.concat(pick(s, CITY_WORDS), F.when(s % 7 == 0, "bronx").otherwise(F.get(w, (k % 2).cast("int"))))
+    return t.part.select("p_partkey", H.city_compatible(a, b).alias("city"), H.types_compatible(F.concat("p_name", pick(k, TYPE_WORDS)), F.concat("p_name", pick(s, TYPE_WORDS))).alias("types"))
 
 
 # -- answers
@@ -202,8 +252,8 @@ def score_answers(t: Tables) -> DataFrame:
 
 # -- the waterfall: parts are records, and the articles are parts whose names were changed
 
-@query()
-def match_waterfall(t: Tables) -> DataFrame:
+def match_sides(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Articles and records, prepared."""
     state = pick(F.col("p_size"), [*H.NAMES][:50])
     k, name = F.col("p_partkey"), F.col("p_name")
     point = [(k * 7919 % 6000) / 100.0 - 30, (k * 104729 % 30000) / 100.0 - 150]
@@ -212,4 +262,9 @@ def match_waterfall(t: Tables) -> DataFrame:
     first, rest = F.split(name, " ")[0], F.regexp_replace(name, "^[^ ]+ ", "")
     title = F.when(k % 5 == 1, F.concat(name, F.lit(" School"))).when(k % 5 == 2, F.concat(rest, F.lit(" "), first, F.lit(" Academy"))).when(k % 5 == 3, F.concat(rest, F.lit(" Hall School"))).otherwise(F.concat(name, F.lit(" High School")))
     articles = t.part.select(k.cast("int").alias("article_id"), title.alias("title"), state.alias("state"), F.lit("").alias("level"), F.when(k % 5 == 0, k.cast("string")).alias("given_id"), F.when(k % 5 == 3, point[0] + 0.002).alias("lat"), F.when(k % 5 == 3, point[1]).alias("lon"))
-    return M.match(M.prepare_articles(articles), M.prepare_records(records))
+    return M.prepare_articles(articles), M.prepare_records(records)
+
+
+@query()
+def match_waterfall(t: Tables) -> DataFrame:
+    return M.match(*match_sides(t))

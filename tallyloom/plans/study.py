@@ -74,17 +74,21 @@ def page_paragraphs(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", P.schema_type(level).alias("schema_type"), P.describe(d, F.lit("2024")).alias("paragraph"))
 
 
-#: address, whether it is one; markdown, its plain text. Each stated by hand.
-ADDRESSES = [("school.org/about", 1), ("https://a.example.org", 1), ("no address", 0), ("http://x", 0), (" a-b.org ", 1), (None, 0), ("", 0)]
-MARKDOWN = [("See [the site](https://a.org/x) *now*", "See the site now"), ("Your website's page", "the school website's page"), ("**bold**", "bold"), (" x ", "x")]
+URL_SQL = "regexp_matches(trim({c}), '(?i)^(https?://)?([0-9A-Za-z_-]+\\.)+[a-z]{{2,}}(/\\S*)?$')"
+SOURCE_SQL = "CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN ' ' || regexp_replace(url, '^[a-z]+://', '') || ' ' WHEN 2 THEN replace(url, '.', ' ') ELSE 'http://x' || page_id END"
+MARKED = "'*See* [the ' || page_id || '](' || url || ') and Your website''s **' || page_id || '** '"
 
 
-@query(f"""SELECT c_custkey, {sql_pick('c_custkey', [str(x[1]) for x in ADDRESSES])} = '1' AS url, {sql_pick('c_custkey', [x[1] for x in MARKDOWN])} AS plain,
-CASE WHEN c_custkey % 7 IN (5, 6) THEN c_custkey % 2 = 0 ELSE {sql_pick('c_custkey', [str(x[1]) for x in ADDRESSES])} = '1' END AS submits,
-concat_ws('; ', CASE WHEN c_nationkey % 2 <> c_custkey % 2 THEN 'charter: ' || c_nationkey % 2 || ' vs ' || c_custkey % 2 END, CASE WHEN c_custkey % 3 = 0 THEN 'status: None vs Active' END) AS differences FROM customer""")
+@query(rf"""WITH d AS (SELECT page_id, url, {SOURCE_SQL} AS a, CASE WHEN page_id % 3 = 0 THEN [url, 'none'] WHEN page_id % 3 = 1 THEN [url] ELSE [] END AS flags FROM pages)
+SELECT page_id, {URL_SQL.format(c='a')} AS url, 'See the ' || page_id || ' and the school website''s ' || page_id AS plain, regexp_matches(replace(url, '://', '@'), '\S+@\S+\.\S+') AS mail,
+(NOT (len(flags) = 0 AND page_id % 5 = 0)) AND (page_id % 5 = 0 OR {URL_SQL.format(c='a')}) AND len(list_filter(flags, lambda f: NOT {URL_SQL.format(c='f')})) = 0 AS submits,
+concat_ws('; ', CASE WHEN page_id % 2 <> length(url) % 2 THEN 'charter: ' || page_id % 2 || ' vs ' || length(url) % 2 END, CASE WHEN page_id % 3 = 0 THEN 'status: None vs Active' END) AS differences FROM d""")
 def page_checks(t: Tables) -> DataFrame:
-    k = F.col("c_custkey")
-    address = pick(k, [x[0] for x in ADDRESSES])
-    flags = F.when(k % 2 == 0, F.array(F.lit("https://a.org"))).otherwise(F.array().cast("array<string>"))
-    checks = P.differences([("charter", F.col("c_nationkey") % 2, k % 2), ("status", F.when(k % 3 > 0, "Active"), F.lit("Active"))])
-    return t.customer.select("c_custkey", P.is_url(address).alias("url"), P.plain(pick(k, [x[0] for x in MARKDOWN])).alias("plain"), P.can_submit(F.array(address), flags).alias("submits"), F.array_join(checks, "; ").alias("differences"))
+    """Addresses of pages, whole, without their scheme, and broken; the SQL states the rules."""
+    k, u = F.col("page_id"), F.col("url")
+    a = F.when(k % 4 == 0, u).when(k % 4 == 1, F.concat(F.lit(" "), F.regexp_replace(u, "^[a-z]+://", ""), F.lit(" "))).when(k % 4 == 2, F.replace(u, F.lit("."), F.lit(" "))).otherwise(F.concat(F.lit("http://x"), k))
+    flags = F.when(k % 3 == 0, F.array(u, F.lit("none"))).when(k % 3 == 1, F.array(u)).otherwise(F.array().cast("array<string>"))
+    sources = F.array(F.when(k % 5 == 0, F.lit(None).cast("string")).otherwise(a))
+    text = F.concat(F.lit("*See* [the "), k, F.lit("]("), u, F.lit(") and Your website's **"), k, F.lit("** "))
+    checks = P.differences([("charter", k % 2, F.length(u) % 2), ("status", F.when(k % 3 > 0, "Active"), F.lit("Active"))])
+    return t.pages.select("page_id", P.is_url(a).alias("url"), P.plain(text).alias("plain"), P.is_mail(F.replace(u, F.lit("://"), F.lit("@"))).alias("mail"), P.can_submit(sources, flags).alias("submits"), F.array_join(checks, "; ").alias("differences"))

@@ -9,6 +9,7 @@ from tallyloom.functions import similarity as S
 from tallyloom.functions import text as X
 from tallyloom.operators import linkage as L
 from tallyloom.operators import measures as M
+from tallyloom.operators import phrases as PH
 
 from .registry import Tables, query
 
@@ -70,16 +71,14 @@ def ids_and_phones(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", X.zero_pad(raw).alias("id"), X.phone((F.lit(5550000000) + F.col("c_custkey")).cast("string")).alias("phone"))
 
 
-PHRASES = "SELECT DISTINCT regexp_extract(lower(text), '^[a-z]+ [a-z]+', 0) AS phrase FROM benchmark WHERE item_id % 50 = 0"
+PHRASES = "SELECT DISTINCT regexp_extract(lower(text), '^[a-z]+ [a-z]+', 0) AS phrase FROM benchmark"
 
 
 @query(f"""WITH p AS ({PHRASES}) SELECT phrase, CAST(sum((length(text) - length(replace(text, phrase, ''))) // length(phrase)) AS BIGINT) AS n FROM documents, p WHERE phrase <> '' AND contains(text, phrase) GROUP BY phrase""")
 def phrase_count(t: Tables) -> DataFrame:
-    """The opening words of every fiftieth benchmark item (a short list, sent to every task) counted in all documents."""
-    p = t.benchmark.where("item_id % 50 = 0").select(F.regexp_extract(F.lower("text"), "^[a-z]+ [a-z]+", 0).alias("phrase")).distinct().where("phrase <> ''")
-    phrases = p.agg(F.collect_set("phrase").alias("phrases"))
-    d = t.documents.crossJoin(F.broadcast(phrases)).select("text", F.explode(F.filter("phrases", lambda x: F.contains("text", x))).alias("phrase"))
-    return d.groupBy("phrase").agg(F.sum(X.phrase_count(F.col("text"), F.col("phrase"))).alias("n"))
+    """The opening words of every benchmark item counted in all documents."""
+    p = t.benchmark.select(F.regexp_extract(F.lower("text"), "^[a-z]+ [a-z]+", 0).alias("phrase"))
+    return PH.count_phrases(t.documents, p)
 
 
 GRAMS = "SELECT DISTINCT {id}, array_to_string(w[i:i+3], ' ') AS g FROM (SELECT {id}, w, unnest(range(1, greatest(len(w) - 2, 1))) AS i FROM (SELECT {id}, regexp_extract_all(lower(text), '[a-z0-9'']+') AS w FROM {t}))"
@@ -97,6 +96,15 @@ def ngram_recall(t: Tables) -> DataFrame:
     return hits.join(b.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")), "item_id").where("2 * hits >= n").select("doc_id", "item_id", "hits", M.ratio(F.col("hits"), F.col("n")).alias("recall"))
 
 
+@query()
+def passage_runs(t: Tables) -> DataFrame:
+    """The longest run of words that a document shares with a benchmark item, for the pairs that share half of the item's 4-grams."""
+    pairs = ngram_recall(t).select("doc_id", "item_id", "recall")
+    pairs = pairs.join(t.benchmark.select("item_id", F.col("text").alias("item")), "item_id").join(t.documents.select("doc_id", "text"), "doc_id")
+    joined = lambda c: F.array_join(X.word_list(F.col(c)), " ")
+    return pairs.select("doc_id", "item_id", "recall", S.common_run(joined("item"), joined("text")).alias("run"), F.size(X.word_list(F.col("item"))).alias("words"))
+
+
 @query()
 def lcs_run(t: Tables) -> DataFrame:
     a = t.benchmark.select("item_id", F.col("text").alias("x"))

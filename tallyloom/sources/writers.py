@@ -54,3 +54,18 @@ def manifest(spark, paths: list[str]) -> DataFrame:  # noqa: ANN001
 
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """df as Parquet at path: written beside it, and put in its place only when whole, so that a reader finds the old table or the new one."""
+    sc = df.sparkSession.sparkContext
+    of = sc._jvm.org.apache.hadoop.fs.Path
+    part, old = of(f"{path}.part"), of(f"{path}.old")
+    df.write.mode("overwrite").parquet(f"{path}.part")
+    fs = part.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if fs.exists(of(path)):
+        fs.rename(of(path), old)
+    if not fs.rename(part, of(path)):
+        raise OSError(f"can't put {path}.part in the place of {path}")
+    fs.delete(old, True)
