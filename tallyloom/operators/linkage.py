@@ -6,28 +6,72 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.similarity import token_sort_ratio
+from tallyloom.operators.shared import free_names, meet
 
 
-def token_candidates(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, left_tokens: str, right_tokens: str, block: list[str]) -> DataFrame:
-    """Pairs of ids in one block that share a token."""
-    a = left.select(*block, F.col(left_id), F.explode(left_tokens).alias("_t"))
-    b = right.select(*block, F.col(right_id), F.explode(right_tokens).alias("_t"))
-    return a.join(b, [*block, "_t"]).select(left_id, right_id).distinct()
+def sorted_length(core: Column) -> Column:
+    """Characters of core with one space between its words: the length of what token_sort_ratio compares."""
+    return F.length(F.trim(F.regexp_replace(core, r"(?U)[\s\x1c-\x1f]+", " ")))
 
 
-def fuzzy_link(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, core_left: str, core_right: str, left_tokens: str, right_tokens: str, block: list[str], threshold: float = 88, boost: Column | None = None, apart: Column | None = None) -> DataFrame:
-    """The best candidate of each left row with score >= threshold; a tie at the top links nothing unless ids agree in order.
+def reachable(a: Column, b: Column) -> Column:
+    """The highest token_sort_ratio that texts of a and b characters can have."""
+    return F.when(a + b > 0, F.least(a, b) * 200.0 / (a + b)).otherwise(100.0)
 
-    Only the best score is tested. boost adds to the score (100 at most). apart: the pairs that may be linked.
+
+def token_pairs(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, left_tokens: str, right_tokens: str, block: list[str], side: int = 2048) -> DataFrame:
+    """left joined to right where block is equal and a token is shared; each two rows meet once, at the smallest token they share.
+
+    The sides share no names but block. Frequent tokens are met in parts. Rows of a null id, block or token list take no part.
+    """
+    (token,) = free_names([*left.columns, *right.columns], "token")
+    a = left.where(F.col(left_id).isNotNull()).withColumn(token, F.explode(F.array_distinct(left_tokens)))
+    b = right.where(F.col(right_id).isNotNull()).withColumn(token, F.explode(F.array_distinct(right_tokens)))
+    d = meet(a, b, [*block, token], left_id, right_id, side=side)
+    return d.where(F.col(token) == F.array_min(F.array_intersect(left_tokens, right_tokens))).drop(token)
+
+
+def token_candidates(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, left_tokens: str, right_tokens: str, block: list[str], apart: Column | None = None, side: int = 2048) -> DataFrame:
+    """Pairs of ids in one block that share a token. apart: the pairs, by ids, that are wanted."""
+    a, b = left.select(*block, left_id, left_tokens), right.select(*block, right_id, right_tokens)
+    d = token_pairs(a, b, left_id=left_id, right_id=right_id, left_tokens=left_tokens, right_tokens=right_tokens, block=block, side=side)
+    return (d if apart is None else d.where(apart)).select(left_id, right_id).distinct()
+
+
+def fuzzy_link(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, core_left: str, core_right: str, left_tokens: str, right_tokens: str, block: list[str], threshold: float = 88, boost: Column | None = None, other: bool = False, side: int = 2048) -> DataFrame:
+    """The best candidate of each left row with score >= threshold; a tie at the top links nothing. other: an id isn't its own candidate.
+
+    Only the best score is tested. boost, of block and cores, adds to the score (100 at most). Scores are taken between
+    the different cores of both sides, each pair once however many rows have them; pairs whose lengths rule the
+    threshold out aren't compared. Rows that repeat count once; a null core is an empty one; null ids take no part.
     """
-    pairs = token_candidates(left, right, left_id=left_id, right_id=right_id, left_tokens=left_tokens, right_tokens=right_tokens, block=block)
-    pairs = pairs if apart is None else pairs.where(apart)
-    wide = pairs.join(left.select(left_id, core_left), left_id).join(right.select(right_id, core_right), right_id)
-    score = token_sort_ratio(F.col(core_left), F.col(core_right))
-    scored = wide.withColumn("score", score if boost is None else F.least(F.lit(100.0), score + boost))
-    w = Window.partitionBy(left_id)
-    best = scored.withColumn("_m", F.max("score").over(w)).where("score = _m").withColumn("_ties", F.count(F.lit(1)).over(w))
-    return best.where((F.col("score") >= threshold) & (F.col("_ties") == 1)).select(left_id, right_id, "score")
+    x, y, score, n, low, high, level = free_names([*block, left_id, right_id, core_left, core_right, left_tokens, right_tokens], "x", "y", "score", "n", "low", "high", "level")
+
+    def rows(d: DataFrame, key: str, core: str, tokens: str) -> DataFrame:
+        d = d.where(F.col(key).isNotNull()).select(*block, key, F.coalesce(core, F.lit("")).alias(core), F.array_sort(F.array_distinct(tokens)).alias(tokens))
+        return d.distinct()
+
+    a, b = rows(left, left_id, core_left, left_tokens), rows(right, right_id, core_right, right_tokens)
+    names = a.select(*block, core_left, left_tokens).distinct().withColumn(x, sorted_length(F.col(core_left)))
+    kinds = b.groupBy(*block, core_right, right_tokens).agg(F.count(F.lit(1)).alias(n), F.min(right_id).alias(low), F.max(right_id).alias(high)).withColumn(y, sorted_length(F.col(core_right)))
+    pairs = token_pairs(names, kinds, left_id=core_left, right_id=core_right, left_tokens=left_tokens, right_tokens=right_tokens, block=block, side=side)
+    more = F.lit(0.0) if boost is None else boost
+    pairs = pairs.where(reachable(F.col(x), F.col(y)) + more >= threshold - 1e-9)
+    scored = pairs.withColumn(score, F.least(F.lit(100.0), token_sort_ratio(F.col(core_left), F.col(core_right)) + more)).where(F.col(score) >= threshold)
+    # an id can only take itself away from the best score, so that the second best is enough beside it
+    keys = [*block, core_left, left_tokens]
+    levels = scored.groupBy(*keys, score).agg(F.sum(n).alias(n), F.min(low).alias(low), F.max(high).alias(high))
+    ranked = levels.withColumn(level, F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(score).desc()))).where(F.col(level) <= 2)
+    best = ranked.groupBy(*keys).agg(*[F.max(F.when(F.col(level) == k, F.struct(score, n, low, high))).alias(f"{level}{k}") for k in (1, 2)])
+
+    first, second = F.col(f"{level}1"), F.col(f"{level}2")
+    found = F.when(first[n] == 1, F.struct(first[low].alias(right_id), first[score].alias("score")))
+    if other:
+        own = F.col(left_id)
+        rest = F.when(second[n] == 1, F.struct(second[low].alias(right_id), second[score].alias("score")))
+        left_over = F.when(own == first[low], first[high]).when(own == first[high], first[low])
+        found = F.when((first[n] == 1) & (own == first[low]), rest).when(first[n] == 2, F.when(left_over.isNotNull(), F.struct(left_over.alias(right_id), first[score].alias("score")))).otherwise(found)
+    return a.join(best, keys).select(left_id, found.alias(level)).where(F.col(level).isNotNull()).select(left_id, f"{level}.{right_id}", f"{level}.score").distinct()
 
 
 def km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -38,7 +82,7 @@ def km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 def geo_nearest(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, radius: float, k: int = 1, max_lat: float = 75.0) -> DataFrame:
     """The k nearest right rows within radius km, ties by id. Both sides have lat and lon, |lat| <= max_lat.
 
-    Cells are as wide as the radius at max_lat, so the 3 x 3 cells around a point hold all within reach.
+    Cells are as wide as the radius at max_lat, so the 3 x 3 cells around a point hold all within reach. Crowded cells are met in parts.
     """
     import math
 
@@ -47,7 +91,7 @@ def geo_nearest(left: DataFrame, right: DataFrame, *, left_id: str, right_id: st
     a = a.withColumn("_y", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("_la") / tall) + d)))
     a = a.withColumn("_x", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("_lo") / wide) + d)))
     b = right.select(right_id, F.col("lat").alias("_ra"), F.col("lon").alias("_ro"), F.floor(F.col("lat") / tall).alias("_y"), F.floor(F.col("lon") / wide).alias("_x"))
-    near = a.join(b, ["_y", "_x"]).withColumn("km", km(F.col("_la"), F.col("_lo"), F.col("_ra"), F.col("_ro"))).where(F.col("km") <= radius)
+    near = meet(a, b, ["_y", "_x"], left_id, right_id).withColumn("km", km(F.col("_la"), F.col("_lo"), F.col("_ra"), F.col("_ro"))).where(F.col("km") <= radius)
     w = Window.partitionBy(left_id).orderBy("km", right_id)
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(left_id, right_id, "km", "rank")
 

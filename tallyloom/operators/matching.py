@@ -85,10 +85,9 @@ def by_similar_name(articles: DataFrame, records: DataFrame, threshold: float) -
 
     A pair is met at the smallest word that it shares, so none comes twice; pairs whose lengths rule the threshold out are not compared.
     """
-    a = articles.where("w_state <> ''").where(F.length(F.replace("w_core", F.lit(" "), F.lit(""))) >= 4).withColumn("_t", F.explode("w_tokens"))
-    r = records.where("core <> ''").withColumn("_t", F.explode("tokens"))
-    d = a.join(r, (F.col("w_state") == F.col("state")) & (a["_t"] == r["_t"]))
-    d = d.where(a["_t"] == F.array_min(F.array_intersect("w_tokens", "tokens"))).drop("_t")
+    a = articles.where("w_state <> ''").where(F.length(F.replace("w_core", F.lit(" "), F.lit(""))) >= 4).withColumnRenamed("w_state", "state")
+    r = records.where("core <> ''")
+    d = L.token_pairs(a, r, left_id="article_id", right_id="record_id", left_tokens="w_tokens", right_tokens="tokens", block=["state"])
     boost = F.when((F.col("w_city") != "") & (F.col("city") == F.col("w_city")), F.lit(CITY_BOOST)).otherwise(F.lit(0.0))
     x, y = F.length("w_core"), F.length("core")
     d = d.where(F.least(x, y) * 200.0 / (x + y) + boost >= threshold - 1e-9).where(same_school())

@@ -61,3 +61,32 @@ def running_totals(df: DataFrame, by: list[str], order: list[str], value: str, n
     for c, k in zip(by, keys, strict=True):
         same = same & F.col(c).eqNullSafe(F.col(k))
     return ranged.withColumn(name, inside).join(totals, same).withColumn(name, F.col(name) + F.col(before)).select(*df.columns, name)
+
+
+def meet(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, *, side: int = 2048) -> DataFrame:
+    """left joined to right on keys, the only names that they share; null keys meet nothing.
+
+    A key with n rows here and m there, either of them above side, is dealt by the ids' hashes to ceil(n / side) times
+    ceil(m / side) parts: its pairs are then made by as many tasks, and no part is left out. The counts of such keys are
+    at most rows / side, and Spark broadcasts them only if the written table is small enough. The sides themselves are always
+    shuffled: what they make is larger than they are, and has to be spread.
+    """
+    own, other, high, wide = free_names([*left.columns, *right.columns], "own", "other", "high", "wide")
+    left, right = left.dropna(subset=keys), right.dropna(subset=keys)
+
+    def frequent(d: DataFrame, name: str) -> DataFrame:
+        n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).where(F.col(name) > side)
+        return n.withColumn(name, F.ceil(F.col(name) / side))
+
+    hot = cut(frequent(left, high).join(frequent(right, wide), keys, "full"))
+    if hot.isEmpty():
+        return left.join(right.hint("merge"), keys)
+
+    def dealt(d: DataFrame, key: str, parts: str, copies: str, mine: str, theirs: str) -> DataFrame:
+        d = d.join(hot, keys, "left")
+        d = d.withColumn(mine, F.pmod(F.xxhash64(key), F.coalesce(parts, F.lit(1))))
+        return d.withColumn(theirs, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(copies, F.lit(1)).cast("long") - 1))).drop(high, wide)
+
+    a = dealt(left, left_id, high, wide, own, other)
+    b = dealt(right, right_id, wide, high, other, own)
+    return a.join(b.hint("merge"), [*keys, own, other]).drop(own, other)

@@ -122,14 +122,14 @@ def _parts(t: Tables, name: str) -> DataFrame:
 SELECT p_brand, count(*) AS pairs FROM (SELECT DISTINCT a.p_brand, a.p_partkey AS x, b.p_partkey AS y FROM w a JOIN w b USING (p_brand, t) WHERE a.p_partkey < b.p_partkey) GROUP BY p_brand""")
 def token_block_candidates(t: Tables) -> DataFrame:
     a, b = _parts(t, "a"), _parts(t, "b")
-    pairs = L.token_candidates(a, b, left_id="a", right_id="b", left_tokens="tokens_a", right_tokens="tokens_b", block=["p_brand"])
-    return pairs.where("a < b").join(a.select("a", "p_brand"), "a").groupBy("p_brand").agg(F.count(F.lit(1)).alias("pairs"))
+    pairs = L.token_pairs(a, b, left_id="a", right_id="b", left_tokens="tokens_a", right_tokens="tokens_b", block=["p_brand"])
+    return pairs.where("a < b").groupBy("p_brand").agg(F.count(F.lit(1)).alias("pairs"))
 
 
 @query()
 def fuzzy_link(t: Tables) -> DataFrame:
     a, b = _parts(t, "a"), _parts(t, "b")
-    return L.fuzzy_link(a, b, left_id="a", right_id="b", core_left="core_a", core_right="core_b", left_tokens="tokens_a", right_tokens="tokens_b", block=["p_brand"], threshold=80, apart=F.col("a") != F.col("b"))
+    return L.fuzzy_link(a, b, left_id="a", right_id="b", core_left="core_a", core_right="core_b", left_tokens="tokens_a", right_tokens="tokens_b", block=["p_brand"], threshold=80, other=True)
 
 
 POINT = "CAST({k} * 7919 % 6000 AS DOUBLE) / 100.0 - 30.0 AS lat, CAST({k} * 104729 % 30000 AS DOUBLE) / 100.0 - 150.0 AS lon"
