@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions import judge as J
 from tallyloom.functions import pages as P
 from tallyloom.operators import exposure as X
 
@@ -92,3 +93,31 @@ def page_checks(t: Tables) -> DataFrame:
     text = F.concat(F.lit("*See* [the "), k, F.lit("]("), u, F.lit(") and Your website's **"), k, F.lit("** "))
     checks = P.differences([("charter", k % 2, F.length(u) % 2), ("status", F.when(k % 3 > 0, "Active"), F.lit("Active"))])
     return t.pages.select("page_id", P.is_url(a).alias("url"), P.plain(text).alias("plain"), P.is_mail(F.replace(u, F.lit("://"), F.lit("@"))).alias("mail"), P.can_submit(sources, flags).alias("submits"), F.array_join(checks, "; ").alias("differences"))
+
+
+SAID = r"CASE WHEN turn % 3 = 0 THEN coalesce(text, '') || ' It was founded in ' || (1800 + conv_id % 230) || ' and won ' || turn || ' titles.' WHEN turn % 5 = 1 THEN 'UNKNOWN' ELSE text END"
+COUNTED = r"len(regexp_extract_all(lower(answer), '\b(1[89][0-9][0-9]|20[0-2][0-9]|program|titles?)\b'))"
+
+
+@query(rf"""WITH s AS (SELECT conv_id, turn, role, {SAID} AS said FROM conversations), r AS (SELECT *, coalesce(regexp_replace(said, '^[\s*]+|[\s*]+$', '', 'g'), '') AS answer FROM s),
+t AS (SELECT *, {COUNTED} AS n FROM r WHERE NOT (conv_id % 4 = 0 AND turn % 2 = 0))
+SELECT conv_id, turn, md5('School: ' || role || ', Troy, Ohio' || chr(10) || 'Sector: ' || CASE WHEN turn % 2 = 0 THEN 'public' ELSE 'private' END || chr(10) || 'Level: high' || chr(10) || 'Enrollment: ' || conv_id || chr(10)
+  || CASE WHEN turn % 2 = 0 THEN 'District: ' || turn || chr(10) || 'Charter: ' || CASE WHEN conv_id % 2 = 0 THEN 'yes' ELSE 'no' END ELSE 'Religious affiliation: none' END) AS facts,
+  substr(md5(answer), 1, 12) AS answer_hash, CASE WHEN conv_id % 7 > 1 THEN CAST(CASE WHEN answer = '' OR lower(answer) LIKE '%unknown%' THEN 0 WHEN n > 0 THEN 2 ELSE 1 END AS INTEGER) END AS halluc,
+  CASE WHEN conv_id % 7 > 1 THEN CAST(n AS INTEGER) END AS unverifiable_specific, CASE WHEN conv_id % 7 > 1 THEN CAST(lower(answer) LIKE '%well-regarded%' OR lower(answer) LIKE '%won%' AS INTEGER) END AS sentiment,
+  CASE conv_id % 7 WHEN 0 THEN 'no object' WHEN 1 THEN 'not JSON' END AS judge_error FROM t""")
+def judged_answers(t: Tables) -> DataFrame:
+    """Answers that no judgement covers yet, judged by the mock: replies with text around the object, and some without a good one."""
+    k, turn = F.col("conv_id"), F.col("turn")
+    founded = F.concat(F.coalesce("text", F.lit("")), F.lit(" It was founded in "), 1800 + k % 230, F.lit(" and won "), turn, F.lit(" titles."))
+    said = F.when(turn % 3 == 0, founded).when(turn % 5 == 1, "UNKNOWN").otherwise(F.col("text"))
+    r = t.conversations.select("conv_id", "turn", "role", F.concat(F.lit("A1: PUBLIC\n**D1:** "), said).alias("text"))
+    first = J.pending(r, None, ["conv_id", "turn"])
+    stale = F.when(k % 4 == 1, F.lit("0" * 12)).otherwise(F.col("answer_hash"))
+    judged = first.where((k % 4 < 2) & (turn % 2 == 0)).unionByName(first.where(k % 4 == 2)).select("conv_id", "turn", stale.alias("answer_hash"), F.when(k % 4 < 2, 1).alias("halluc"))
+    todo = J.pending(r, judged, ["conv_id", "turn"])
+    known = J.facts({"name": F.col("role"), "city": F.lit("Troy"), "state": F.lit("Ohio"), "sector": F.when(turn % 2 == 0, "public").otherwise("private"), "level": F.lit("high"), "enrollment": k, "district": turn, "charter": k % 2 == 0, "religion": F.lit("none")})
+    mock = J.mock_reply(F.col("answer"))
+    reply = F.when(k % 7 == 0, "I can't say.").when(k % 7 == 1, F.concat(mock, F.lit(" or {"), mock, F.lit("}"))).otherwise(F.concat(F.lit("Here it is:\n"), mock, F.lit("\nDone.")))
+    out = J.with_marks(todo.select("conv_id", "turn", F.md5(known.cast("binary")).alias("facts"), "answer_hash", reply.alias("reply")), "reply")
+    return out.select("conv_id", "turn", "facts", "answer_hash", "halluc", "unverifiable_specific", "sentiment", "judge_error")
