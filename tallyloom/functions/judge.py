@@ -69,9 +69,10 @@ def marks(reply: Column) -> tuple[dict[str, Column], Column]:
     error is null if that is JSON with halluc, the mark that makes a judgement count; a mark that is missing or no whole number is null.
     """
     found = first_object(reply)
-    parsed = F.try_parse_json(found)
-    out = {m: F.try_variant_get(parsed, f"$.{m}", "int") for m in MARKS}
-    error = F.when(found.isNull(), "no object").when(parsed.isNull(), "not JSON").when(out["halluc"].isNull(), "no mark")
+    parsed = F.try_parse_json(F.concat(F.lit("["), found, F.lit("]")))  # as an array's only element, for what follows a whole object is ignored
+    alone = parsed.isNotNull() & F.try_variant_get(parsed, "$[1]", "variant").isNull()
+    out = {m: F.when(alone, F.try_variant_get(parsed, f"$[0].{m}", "int")) for m in MARKS}
+    error = F.when(found.isNull(), "no object").when(~alone, "not JSON").when(out["halluc"].isNull(), "no mark")
     return out, error
 
 

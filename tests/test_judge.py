@@ -14,10 +14,10 @@ def test_mock_replies_and_marks(spark):
 
 
 def test_replies_in_free_text(spark):
-    rows = [("so:\n{\"halluc\": 2,\n\"sentiment\": -1} ok", "old"), ("none", "old"), ("{a} and {b}", "old"), ("{\"sentiment\": 1}", "old"), (None, None), ("{\"halluc\": \"many\"}", "old")]
+    rows = [("so:\n{\"halluc\": 2,\n\"sentiment\": -1} ok", "old"), ("none", "old"), ("{a} and {b}", "old"), ("{\"sentiment\": 1}", "old"), (None, None), ("{\"halluc\": \"many\"}", "old"), ("{\"halluc\": 1} or {\"halluc\": 2}", "old"), ("{\"halluc\": 1}, {\"halluc\": 2}", "old")]
     d = J.with_marks(spark.createDataFrame(rows, "reply string, Halluc string"), "reply")
     got = d.collect()
-    assert [(r[d.columns.index("halluc")], r.sentiment, r.judge_error) for r in got] == [(2, -1, None), (None, None, "no object"), (None, None, "not JSON"), (None, 1, "no mark"), (None, None, "no object"), (None, None, "no mark")]
+    assert [(r[d.columns.index("halluc")], r.sentiment, r.judge_error) for r in got] == [(2, -1, None), (None, None, "no object"), (None, None, "not JSON"), (None, 1, "no mark"), (None, None, "no object"), (None, None, "no mark"), (None, None, "not JSON"), (None, None, "not JSON")]
     assert "_Halluc" in d.columns and got[0]["_Halluc"] == "old"
     assert J.with_marks(spark.createDataFrame([], "reply string"), "reply").count() == 0
 
