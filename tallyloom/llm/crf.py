@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import bounded_sample
+from .store import stratified_sample
 
 UNKNOWN = "und"
 GRAM_BITS, AFFIX_BITS = 15, 14
@@ -209,9 +209,12 @@ class LanguageCRF:
 
 
 def fit_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 1000, sample_chars: int = 4_000_000) -> LanguageCRF:
-    """A model from labelled rows chosen by hash: sample_rows at most, and no more than sample_chars together."""
+    """A model from labelled rows chosen by hash, each language in turn: sample_rows at most, and no more than sample_chars together.
+
+    So a rare language is learned as well, as long as there are no more languages than sample_rows.
+    """
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
-    got = bounded_sample(rows, "id", sample_rows, sample_chars).collect()
+    got = stratified_sample(rows, "id", "lang", sample_rows, sample_chars).collect()
     model = LanguageCRF(sorted({r.lang for r in got}))
     if len(model.labels) > 1:
         model.fit([r.text for r in got], [r.lang for r in got])

@@ -86,3 +86,24 @@ def bounded_sample(rows: DataFrame, id_col: str, n: int, chars: int) -> DataFram
     total = F.sum("_n").over(Window.orderBy("_h").rowsBetween(Window.unboundedPreceding, 0))
     keys = keys.withColumn("_t", total).where(F.col("_t") <= chars).select("_h")
     return rows.join(F.broadcast(keys), "_h").dropDuplicates(["_h"]).orderBy("_h").drop("_h")
+
+
+def stratified_sample(rows: DataFrame, id_col: str, by: str, n: int, chars: int) -> DataFrame:
+    """At most n rows of (text, by, ...), no more than chars characters together, dealt to the values of by in turn.
+
+    Each value, rare or frequent, gives its first row by md5 of id, text's hash and value, then each its second, and so on; what a
+    value lacks goes to the others. Of frequent values only rows with small hashes are numbered, about 2 * n + 40 each, so that
+    no window grows with the table. Repeated rows count once, null texts and values not at all; a text longer than chars is passed over.
+    """
+    h, size, total, turn, share = free_names(rows, "h", "size", "total", "turn", "share")
+    key = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.xxhash64("text").cast("string"), F.col(by).cast("string")))
+    rows = rows.where(F.col("text").isNotNull() & F.col(by).isNotNull()).withColumn(h, key)
+    fit = rows.select(by, h, F.length("text").alias(size)).where(F.col(size) <= chars)
+    counts = cut(fit.groupBy(by).agg((F.lit(2.0 * n + 40) / F.count(F.lit(1))).alias(share)))
+    low = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    fit = fit.join(counts, by).where(low < F.col(share)).select(by, h, size).distinct()
+    fit = fit.withColumn(turn, F.row_number().over(Window.partitionBy(by).orderBy(h))).where(F.col(turn) <= n)
+    chosen = fit.orderBy(turn, h).limit(n)
+    running = F.sum(size).over(Window.orderBy(turn, h).rowsBetween(Window.unboundedPreceding, 0))
+    chosen = chosen.withColumn(total, running).where(F.col(total) <= chars).select(h, turn)
+    return rows.join(F.broadcast(chosen), h).dropDuplicates([h]).orderBy(turn, h).drop(h, turn)

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import re
 from collections import Counter
@@ -7,7 +8,7 @@ import pytest
 from llm_rows import prose, row
 from pyspark.sql import functions as F
 
-from tallyloom.llm import covertree, crf, mil, recurrent
+from tallyloom.llm import covertree, crf, mil, recurrent, store
 
 
 def test_chain_is_forward_backward():
@@ -52,6 +53,24 @@ def test_language(frame, edge_rows):
     assert {r.lang_pred for r in crf.identify(frame(edge_rows), nothing).collect()} == {"und"}
 
 
+def test_languages_are_sampled_in_turn(frame):
+    """A rare language gives all its rows; hot ones share what is left; rows in any order and dealing give the same."""
+    rows = [row(i, prose(i, 20), "en") for i in range(400)] + [row(i, prose(i, 20, "fr"), "fr") for i in range(400, 403)]
+    extra = [row(403, prose(403, 20, "fr") * 50, "fr"), row(404, None, "fr"), row(405, prose(405, 20), None), rows[0], rows[-1]]
+    table = frame(rows + extra)
+    got = [(r.doc_id, r.lang) for r in store.stratified_sample(table, "doc_id", "lang", 10, 5_000).collect()]
+    hashed = {lang: sorted((hashlib.md5(f"{r.doc_id}|{r.h}|{lang}".encode()).hexdigest(), r.doc_id) for r in table.select("doc_id", "lang", F.xxhash64("text").alias("h"), F.length("text").alias("n")).where("n <= 5000").distinct().where(F.col("lang") == lang).collect()) for lang in ("en", "fr")}
+    turns = sorted((i, h, d, lang) for lang in hashed for i, (h, d) in enumerate(hashed[lang]))
+    assert got == [(d, lang) for _, _, d, lang in turns[:10]] and [x for _, x in got].count("fr") == 3
+    assert got == [(r.doc_id, r.lang) for r in store.stratified_sample(table.repartition(7), "doc_id", "lang", 10, 5_000).collect()]
+    few = store.stratified_sample(table, "doc_id", "lang", 10, 400).collect()
+    assert 2 <= len(few) < 10 and sum(len(r.text) for r in few) <= 400 and [r.doc_id for r in few] == [d for d, _ in got][: len(few)]
+    model = crf.fit_languages(table, sample_rows=40)
+    assert model.labels == ["en", "fr"]
+    assert {r.lang_pred for r in crf.identify(frame([row(900, prose(900, 40, "fr"))]), model).collect()} == {"fr"}
+    assert store.stratified_sample(frame([]), "doc_id", "lang", 10, 400).count() == 0
+
+
 def test_quality(spark, frame, edge_rows):
     junk = lambda i: re.sub(" ", "### ", prose(i, 50)) + " 12 $$$ | | |"
     rows = [row(i, prose(i, 150) if i % 2 else prose(i, 70) + " " + junk(i)) for i in range(160)]
