@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; a folder of our own only in a local session without one, as in tests."""
     sc = spark.sparkContext
@@ -21,7 +27,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    """A path that no table has yet: in the innermost scratch block, else in the shared folder."""
+    return f"{SCRATCH.get() or shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table or a folder of tables; nothing happens where there is none."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for the tables that operators cut inside the block; it goes when the block ends, by an error too.
+
+    Frames made inside read these tables, so their results have to be written or collected inside. Blocks may be nested.
+    Without a block such tables stay in the shared folder, as the frames that are handed out need them.
+    """
+    folder = fresh_path(spark)
+    token = SCRATCH.set(folder)
+    try:
+        yield folder
+    finally:
+        SCRATCH.reset(token)
+        remove(spark, folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
