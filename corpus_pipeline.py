@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import bpe, lines, minhash, mixing
 from tallyloom.llm.queries import tokenizer_path
-from tallyloom.llm.store import remove, shared_dir
+from tallyloom.operators.shared import fresh_path, remove, scratch
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -55,16 +53,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written to the shared folder and read again; a stage's input goes once its output is written."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = None
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-            if before:
-                remove(spark, before)
-            before = path
-    return docs
+    """The stages over documents, each but the last written to the shared folder and read again.
+
+    A stage's input goes once its output is written, and so do the tables that the stage made on its way.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        path = fresh_path(spark)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
