@@ -2,30 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.shared import fresh_path
 
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own only in a local session without one, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="tallyloom-"))
-    return sc.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: a lost executor costs no earlier stage."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    """df written as Parquet to the shared folder and read again: a lost executor costs no earlier stage. In a scratch block it goes when that ends."""
+    path = fresh_path(df.sparkSession)
     conf = df.sparkSession.conf
     before = conf.get(CLEAN_UP, "false")
     conf.set(CLEAN_UP, "true")  # the shuffle files have served
@@ -36,12 +23,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table that cut or a stage wrote, once no one reads it any more."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def hot_keys(counts: DataFrame, keys: list[str], total: int, floor: int = 20_000) -> DataFrame:
     """(keys, salts) of the keys with more than max(floor, total / 100,000) of all rows; counts: (keys, n).
 

@@ -1,6 +1,9 @@
+import os
+
 from llm_rows import prose, row
 
 import corpus_pipeline
+from tallyloom.operators.shared import scratch
 
 
 def test_stages(spark, frame, tmp_path):
@@ -25,6 +28,16 @@ def test_stages(spark, frame, tmp_path):
     assert sorted((r.doc_id, r.ids_sha256) for r in whole.collect()) == sorted((r.doc_id, r.ids_sha256) for r in seen[4].collect())
 
 
+def test_only_the_last_input_stays(spark, frame, tmp_path):
+    """Around the run, the one table left is the input of the stage that is handed out."""
+    frame([row(i, prose(i, 90), "en", "ab"[i % 2]) for i in range(30)]).write.parquet(str(tmp_path / "documents.parquet"))
+    with scratch(spark) as folder:
+        whole = corpus_pipeline.run(spark, str(tmp_path))
+        assert len([d for d in os.listdir(folder.removeprefix("file:")) if not d.startswith(".")]) == 1
+        assert whole.count() > 0
+    assert not os.path.exists(folder.removeprefix("file:"))
+
+
 def test_null_and_repeated_ids_and_clashing_columns(spark, frame, tmp_path):
     rows = [row(None if i % 3 else 5, prose(i, 90) + "\nSubscribe to our letter\n" + prose(600 + i, 40), "en", "ab"[i % 2]) for i in range(60)]
     rows += [rows[0]] * 4
