@@ -77,16 +77,36 @@ def with_average_rank(df: DataFrame, value: str, by: list[str], name: str) -> Da
     return df.join(ranks, on, "left").select(*df.columns, name)
 
 
-def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
-    """n, exact agreement, agreement within one, quadratic-weighted kappa of two integer ratings."""
+def kappa(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
+    """by, n, exact agreement, agreement within one, quadratic-weighted kappa of two integer ratings, over rows that have both.
+
+    kappa is null where chance alone gives no disagreement: all rows have one and the same rating.
+    """
     d = F.col(a).cast("double") - F.col(b).cast("double")
-    s = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(
+    s = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by or []).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(d == 0).alias("same"), F.count_if(F.abs(d) <= 1).alias("close"), F.sum(d * d).alias("dd"),
         F.sum(F.col(a).cast("double")).alias("sa"), F.sum(F.col(b).cast("double")).alias("sb"),
         F.sum(F.pow(F.col(a).cast("double"), 2)).alias("saa"), F.sum(F.pow(F.col(b).cast("double"), 2)).alias("sbb"),
     )
     chance = F.col("saa") + F.col("sbb") - 2 * F.col("sa") * F.col("sb") / F.col("n")
-    return s.select("n", ratio(F.col("same"), F.col("n")).alias("exact"), ratio(F.col("close"), F.col("n")).alias("within_one"), F.when(chance != 0, 1 - F.col("dd") / chance).alias("kappa"))
+    return s.select(*by or [], "n", ratio(F.col("same"), F.col("n")).alias("exact"), ratio(F.col("close"), F.col("n")).alias("within_one"), F.when(chance != 0, 1 - F.col("dd") / chance).alias("kappa"))
+
+
+def confusion(df: DataFrame, a: str, b: str, ratings: list[int], by: list[str] | None = None) -> DataFrame:
+    """by, a, and a column r_<rating> for each rating of b: how often b has it where a has this; rows without both are left out.
+
+    Each group has a line for every rating, with zeros where a never has it; ratings outside the list aren't counted.
+    """
+    by = by or []
+    (rating,) = free_names([*df.columns, *by], "rating")
+    valid = df.where(F.col(a).isin(ratings) & F.col(b).isin(ratings))
+    cells = valid.groupBy(*by, a).agg(*[F.count_if(F.col(b) == r).alias(f"r_{r}") for r in ratings])
+    columns = [f"r_{r}" for r in ratings]
+    lines = F.explode(F.array(*[F.lit(r) for r in ratings])).alias(rating)
+    groups = cells.select(*by).distinct() if by else cells.groupBy().agg(F.count(F.lit(1)).alias(rating)).where(F.col(rating) > 0)
+    whole = groups.select(*by, lines)
+    empty = whole.select(*by, F.col(rating).alias(a), *[F.lit(0).cast("long").alias(c) for c in columns])
+    return cells.select(*by, F.col(a).cast("int").alias(a), *columns).union(empty).groupBy(*by, a).agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def smd(df: DataFrame, flag: str, value: str) -> DataFrame:

@@ -216,6 +216,29 @@ def smd(t: Tables) -> DataFrame:
     return s.select(*[F.round(F.round(c, 3) * 1000).cast("long").alias(c) for c in ("m1", "m0")], F.round(F.col("smd") * 1e6).cast("long").alias("smd"))
 
 
+RATED = "SELECT o_orderstatus, CAST(substr(o_orderpriority, 1, 1) AS INT) AS said, CAST(least(5, 1 + floor(o_totalprice / 60000)) AS INT) AS held FROM orders"
+
+
+def _rated(t: Tables) -> DataFrame:
+    held = F.least(F.lit(5), 1 + F.floor(F.col("o_totalprice") / 60000)).cast("int")
+    return t.orders.select("o_orderstatus", F.substring("o_orderpriority", 1, 1).cast("int").alias("said"), held.alias("held"))
+
+
+@query(f"""WITH r AS ({RATED}), g AS (SELECT o_orderstatus, count(*) AS n, CAST(count_if(said = held) AS DOUBLE) AS same, CAST(count_if(abs(said - held) <= 1) AS DOUBLE) AS near, CAST(sum((said - held) * (said - held)) AS DOUBLE) AS dd, CAST(sum(said) AS DOUBLE) AS sa,
+CAST(sum(held) AS DOUBLE) AS sb, CAST(sum(said * said) AS DOUBLE) AS saa, CAST(sum(held * held) AS DOUBLE) AS sbb FROM r WHERE said IS NOT NULL AND held IS NOT NULL GROUP BY 1)
+SELECT o_orderstatus, n, same / n AS exact, near / n AS within_one, CAST(round(1e6 * (1 - dd / (saa + sbb - 2 * sa * sb / n))) AS BIGINT) AS kappa FROM g""")
+def rating_agreement(t: Tables) -> DataFrame:
+    """How far an order's priority and the class of its price agree, by status."""
+    return M.kappa(_rated(t), "said", "held", ["o_orderstatus"]).withColumn("kappa", F.round(F.col("kappa") * 1e6).cast("long"))
+
+
+@query(f"""WITH r AS ({RATED} WHERE o_orderpriority IS NOT NULL AND o_totalprice IS NOT NULL), g AS (SELECT DISTINCT o_orderstatus FROM r) SELECT g.o_orderstatus, x.said, {", ".join(f"CAST(count_if(held = {k}) AS BIGINT) AS r_{k}" for k in range(1, 6))}
+FROM g CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS said) x LEFT JOIN r ON r.o_orderstatus IS NOT DISTINCT FROM g.o_orderstatus AND r.said = x.said GROUP BY 1, 2""")
+def rating_confusion(t: Tables) -> DataFrame:
+    """The same two ratings, counted pair by pair."""
+    return M.confusion(_rated(t), "said", "held", [1, 2, 3, 4, 5], ["o_orderstatus"])
+
+
 RANK = "(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0)"
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.shared import free_names
+
 
 def with_fields(df: DataFrame, fields: list[str], blank: bool = True) -> DataFrame:
     """Exactly these columns as text: others are left out, missing ones blank."""
@@ -27,11 +29,13 @@ def numbered(df: DataFrame, key: str, parts: int | None = None) -> DataFrame:
 
     Rows are numbered within range partitions, and the partitions' sizes are summed up: a row a partition.
     """
-    part = (df.repartitionByRange(parts, key) if parts else df.repartitionByRange(key)).withColumn("_p", F.spark_partition_id())
-    sizes = part.groupBy("_p").count()
-    before = sizes.select(F.col("_p"), (F.sum("count").over(Window.orderBy("_p")) - F.col("count")).alias("_b"), F.sum("count").over(Window.partitionBy(F.lit(0))).alias("total"))
-    row = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1
-    return part.withColumn("_i", row).join(F.broadcast(before), "_p").withColumn("index", F.col("_i") + F.col("_b")).drop("_p", "_b", "_i")
+    p, i, n, before = free_names([*df.columns, "index", "total"], "p", "i", "n", "before")
+    part = (df.repartitionByRange(parts, key) if parts else df.repartitionByRange(key)).withColumn(p, F.spark_partition_id())
+    sizes = part.groupBy(p).agg(F.count(F.lit(1)).alias(n))
+    above = (F.sum(n).over(Window.orderBy(p)) - F.col(n)).alias(before)
+    sizes = sizes.select(p, above, F.sum(n).over(Window.partitionBy(F.lit(0))).alias("total"))
+    row = F.row_number().over(Window.partitionBy(p).orderBy(key)) - 1
+    return part.withColumn(i, row).join(F.broadcast(sizes), p).withColumn("index", F.col(i) + F.col(before)).drop(p, before, i)
 
 
 def chunked(df: DataFrame, key: str, chunks: int) -> DataFrame:

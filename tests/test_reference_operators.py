@@ -1,3 +1,4 @@
+import hashlib
 import io
 import zipfile
 from datetime import datetime
@@ -122,6 +123,46 @@ def test_sources_and_sinks(spark, tmp_path):
     assert paged.count() == 6
 
 
+def test_ratings_agree_as_counted_by_hand(spark):
+    rows = [("x", 1, 1), ("x", 1, 2), ("x", 2, 5), ("x", 5, 5), ("x", None, 3), ("y", 3, 3), ("y", 3, 3), (None, 2, 1), ("x", 9, 1)]
+    d = spark.createDataFrame(rows, "g string, a int, b int")
+    grid = {(r.g, r.a): [r.r_1, r.r_2, r.r_3, r.r_4, r.r_5] for r in M.confusion(d, "a", "b", [1, 2, 3, 4, 5], ["g"]).collect()}
+    assert len(grid) == 15 and grid["x", 1] == [1, 1, 0, 0, 0] and grid["x", 2] == [0, 0, 0, 0, 1] and grid["x", 4] == [0] * 5
+    assert grid["y", 3] == [0, 0, 2, 0, 0] and grid[None, 2] == [1, 0, 0, 0, 0] and sum(map(sum, grid.values())) == 7
+    whole = M.confusion(d, "a", "b", [1, 2, 3, 4, 5]).collect()
+    assert len(whole) == 5 and M.confusion(d.limit(0), "a", "b", [1, 2]).count() == 0
+    got = {r.g: r for r in M.kappa(d.where("a < 9 or a is null"), "a", "b", ["g"]).collect()}
+    a, b = np.array([1, 1, 2, 5]), np.array([1, 2, 5, 5])
+    want = 1 - ((a - b) ** 2).mean() / ((a[:, None] - b) ** 2).mean()
+    assert got["x"].n == 4 and got["x"].exact == 0.5 and got["x"].within_one == 0.75 and abs(got["x"].kappa - want) < 1e-12
+    assert got["y"].exact == 1 and got["y"].kappa is None and M.kappa(d.limit(0), "a", "b", ["g"]).count() == 0
+
+
+def test_releases_are_read_as_they_are_written(spark, tmp_path):
+    d = spark.createDataFrame([(i, None if i == 3 else f"t{i}\n", 7, 7, 7, 7) for i in range(23)], "id int, t string, p int, i int, n int, before int")
+    kind = "id int, t string, p int, i int, n int, before int"
+    writers.write_jsonl(d, str(tmp_path / "a.jsonl"))
+    whole = sorted(tuple(r) for r in d.collect())
+    assert sorted(tuple(r) for r in readers.read_release(spark, str(tmp_path / "a.jsonl"), kind).collect()) == whole
+    assert '"t"' not in next(x for f in (tmp_path / "a.jsonl").glob("part-*") for x in f.read_text().splitlines() if '"id":3,' in x)
+    (tmp_path / "b.jsonl").write_text('{"id": 1, "t": "x"}\n\n{broken\n{"id": 2}\n')
+    assert sorted((r.id, r.t) for r in readers.read_jsonl(spark, str(tmp_path / "b.jsonl"), "id int, t string").collect()) == [(1, "x"), (2, None)]
+    (tmp_path / "c.json").write_text('[{"id": 1,\n "t": "x"}, {"id": 2}]')
+    assert sorted((r.id, r.t) for r in readers.read_json_documents(spark, str(tmp_path / "c.json"), "id int, t string").collect()) == [(1, "x"), (2, None)]
+    writers.write_chunks(d, str(tmp_path / "d"), "id", 4)
+    back = readers.read_release(spark, str(tmp_path / "d"), kind)
+    assert sorted(tuple(r)[:6] for r in back.collect()) == whole
+    assert [(r.chunk, r.lo, r.size) for r in back.groupBy("chunk").agg(F.min("id").alias("lo"), F.count("*").alias("size")).orderBy("chunk").collect()] == [(0, 0, 6), (1, 6, 6), (2, 12, 6), (3, 18, 5)]
+    files = sorted((tmp_path / "d").glob("chunk=*/*.parquet"))
+    told = {r.path.split("/")[-1]: (r.bytes, r.sha256) for r in writers.manifest(spark, [str(tmp_path / "d" / "chunk=*")]).collect()}
+    assert told == {f.name: (f.stat().st_size, hashlib.sha256(f.read_bytes()).hexdigest()) for f in files}
+    writers.write_csv(d, str(tmp_path / "e"), ["id", "t"])
+    wanted = spark.createDataFrame([("4",), ("4",), ("22",), ("99",), (None,)], "id string")
+    assert sorted(r.id for r in readers.read_csv(spark, str(tmp_path / "e"), ids=wanted, id_col="id").collect()) == ["22", "4"]
+    numbers = writers.numbered(d, "id")
+    assert numbers.columns[:6] == d.columns and sorted((r.id, r["index"], r.total) for r in numbers.collect()) == [(i, i, 23) for i in range(23)]
+
+
 def test_log_stream(spark, tmp_path):
     at = datetime(2024, 1, 1, 10)
     d = spark.createDataFrame([(1, "a", at), (1, "a", at), (2, "b", at)], "id int, kind string, ts timestamp")
