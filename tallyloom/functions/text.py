@@ -55,10 +55,11 @@ def has_markup(c: Column) -> Column:
     return c.rlike(r"\{\{|\}\}|\[\[|\]\]|\[[0-9]+\]")
 
 
-def closed_opening(c: Column) -> Column:
-    """The first sentence (of the first 300 characters) says was/were a ..., and no is/are a ...."""
+def closed_opening(c: Column, *, any_case: bool = False) -> Column:
+    """The first sentence (of the first 300 characters) says was/were a ..., and no is/are a .... any_case: capitals don't matter."""
     first = F.substring(replace_all(F.coalesce(c, F.lit("")), [(r"\b([A-Z][a-z]{0,2})\.", "$1")]), 1, 300)
-    past, now = (rf"^[^.]{{0,200}}?\b({verb})\s+(a|an|the)\b" for verb in ("was|were", "is|are"))
+    flag = "(?i)" if any_case else ""
+    past, now = (rf"{flag}^[^.]{{0,200}}?\b({verb})\s+(a|an|the)\b" for verb in ("was|were", "is|are"))
     return first.rlike(past) & ~first.rlike(now)
 
 

@@ -85,7 +85,7 @@ def release_rows(generated: DataFrame, matches: DataFrame, texts: DataFrame, min
     t = texts.select("page", F.col("title").alias("page_title"), F.col("text").alias("page_text"), "revision")
     d = generated.join(matches.select("id", "page", "title", "qid"), "id", "left").join(t, "page", "left")
     text = F.col("page_text")
-    reason = F.when(F.col("page").isNull(), "").when(H.blank(text) == "", "no_text").when(F.length(text) < min_chars, "short_text").when(X.closed_opening(text), "closed_school").otherwise("")
+    reason = F.when(F.col("page").isNull(), "").when(H.blank(text) == "", "no_text").when(F.length(text) < min_chars, "short_text").when(X.closed_opening(text, any_case=True), "closed_school").otherwise("")
     d = d.withColumn("reason", reason).withColumn("taken", F.col("page").isNotNull() & (F.col("reason") == ""))
     title = F.when(H.blank(F.col("page_title")) != "", F.col("page_title")).otherwise(H.blank(F.col("title")))
     either = lambda a, b: F.when(F.col("taken"), a).otherwise(b)

@@ -43,3 +43,17 @@ def test_gate_counts_null_states_and_rows_once(spark):
     assert report["state_counts"].ok and report["text_present"].n_bad == 60
     report = {r.check: r for r in B.release_gate(rows, spans, baseline=rows.where("id % 2 = 0 or state is not null")).collect()}
     assert report["state_counts"].examples == ["none 15 -> 30"]
+
+
+OPENINGS = ["Was the school of Troy, and that for long.", "It WERE a mill, then it was THE school.", "Was a school; it Is a school.", "It is the school of Troy, no more."]
+
+
+def _opened(spark):
+    generated = spark.createDataFrame([(i, f"School {i}", "AL", "public", "A school.") for i in range(4)], "id int, name string, state string, sector string, text string")
+    matches = spark.createDataFrame([(i, i, f"T{i}", "Q1") for i in range(4)], "id int, page int, title string, qid string")
+    texts = spark.createDataFrame([(i, None, x + " [[x]]", 7) for i, x in enumerate(OPENINGS)], "page int, title string, text string, revision int")
+    return B.release_rows(generated, matches, texts, 20)
+
+
+def test_closed_opening_in_capitals_supplies_no_text(spark):
+    assert [r.reason for r in _opened(spark).orderBy("id").collect()] == ["closed_school", "closed_school", "", ""]
