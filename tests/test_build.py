@@ -57,3 +57,9 @@ def _opened(spark):
 
 def test_closed_opening_in_capitals_supplies_no_text(spark):
     assert [r.reason for r in _opened(spark).orderBy("id").collect()] == ["closed_school", "closed_school", "", ""]
+
+
+def test_gate_sees_no_text_of_closed_schools(spark):
+    spans = spark.createDataFrame([(i, ["high"]) for i in range(4)], "id int, span_levels array<string>")
+    report = {r.check: r for r in B.release_gate(_opened(spark), spans).collect()}
+    assert (report["no_markup"].n_bad, report["no_markup"].examples) == (2, ["2", "3"])
