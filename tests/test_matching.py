@@ -122,3 +122,10 @@ def test_equal_names_meet_by_kinds(spark, monkeypatch):
     want = {0: "0002", 1: "0001"}
     assert out == {i: (want[i % 4], "name_state") for i in range(600) if i % 4 in want}
     assert seen[0] == 1
+
+
+def test_similar_names_meet_by_kinds(spark, monkeypatch):
+    seen = seen_pairs(monkeypatch)
+    out = {x.article_id: (x.record_id, x.method) for x in M.match(*alike(spark, "Oak Hill School", "Oak Hill Academy")).collect()}
+    assert out == {i: ({0: "0002", 1: "0001"}[i % 4], "fuzzy") for i in range(600) if i % 4 < 2}
+    assert seen == [0, 1]
