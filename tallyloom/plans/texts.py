@@ -121,9 +121,7 @@ def _parts(t: Tables, name: str) -> DataFrame:
 @query("""WITH w AS (SELECT p_partkey, p_brand, unnest(list_distinct(list_filter(string_split(lower(p_name), ' '), lambda x: length(x) >= 4))) AS t FROM part)
 SELECT p_brand, count(*) AS pairs FROM (SELECT DISTINCT a.p_brand, a.p_partkey AS x, b.p_partkey AS y FROM w a JOIN w b USING (p_brand, t) WHERE a.p_partkey < b.p_partkey) GROUP BY p_brand""")
 def token_block_candidates(t: Tables) -> DataFrame:
-    a, b = _parts(t, "a"), _parts(t, "b")
-    pairs = L.token_pairs(a, b, left_id="a", right_id="b", left_tokens="tokens_a", right_tokens="tokens_b", block=["p_brand"])
-    return pairs.where("a < b").groupBy("p_brand").agg(F.count(F.lit(1)).alias("pairs"))
+    return L.count_token_pairs(_parts(t, "a"), tokens="tokens_a", block=["p_brand"])
 
 
 @query()

@@ -75,3 +75,19 @@ def test_an_id_takes_only_itself_away(spark):
     right = left.select("s", F.col("a").alias("b"), F.col("ca").alias("cb"), F.col("ta").alias("tb"))
     got = L.fuzzy_link(left, right, left_id="a", right_id="b", core_left="ca", core_right="cb", left_tokens="ta", right_tokens="tb", block=["s"], threshold=80, other=True).collect()
     assert {r.a: (r.b, round(r.score, 1)) for r in got} == {1: (2, 100.0), 2: (1, 100.0), 3: (4, 94.1), 4: (3, 94.1)}
+
+
+def test_count_token_pairs(spark):
+    """Against all pairs, with lists that are short, long and both, copies, repeated tokens, nulls and blocks without pairs."""
+    words = [f"w{i}" for i in range(14)]
+    rows = [(i, "xyz"[i % 3], [words[(i * 5 + j * (i % 4 + 1)) % 14] for j in range(i % 13)] + ["dup", "dup"] * (i % 7 == 0)) for i in range(120)]
+    rows += [(i + 500, *r[1:]) for i, r in enumerate(rows[:40])] + [(900, "lone", ["w1"]), (901, "x", None), (902, None, ["w1"]), (903, "x", [None, "w1"]), (904, "x", [])]
+    d = spark.createDataFrame(rows, "id int, b string, t array<string>")
+    want = {}
+    sets = [(b, {x for x in t if x}) for _, b, t in rows if b and t]
+    for i, (b, t) in enumerate(sets):
+        for c, u in sets[:i]:
+            if b == c and t & u:
+                want[b] = want.get(b, 0) + 1
+    for most in (0, 4, 30):
+        assert {r.b: r.pairs for r in L.count_token_pairs(d, tokens="t", block=["b"], most=most).collect()} == want
