@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators.shared import cut
+
 #: The properties that are read.
 INSTANCE_OF, COUNTRY, DISTRICT, FOUNDED, DISSOLVED, WEBSITE, RECORD_ID, POSTAL_CODE = "P31", "P17", "P5353", "P571", "P576", "P856", "P2484", "P281"
 
@@ -20,8 +22,8 @@ def parsed(json: Column) -> Column:
 def values(claims: Column, prop: str) -> Column:
     """The values of a property's statements that have one, in order; an empty array if there is none."""
     snaks = F.try_variant_get(claims, f"$.{prop}", "array<variant>")
-    stated = F.filter(snaks, lambda s: F.coalesce(F.try_variant_get(s, "$.mainsnak.snaktype", "string") == "value", F.lit(False)))
-    found = F.transform(stated, lambda s: F.try_variant_get(s, "$.mainsnak.datavalue.value", "variant"))
+    kept = F.filter(snaks, lambda s: F.coalesce(F.try_variant_get(s, "$.mainsnak.snaktype", "string") == "value", F.lit(False)))
+    found = F.transform(kept, lambda s: F.try_variant_get(s, "$.mainsnak.datavalue.value", "variant"))
     return F.coalesce(found, F.array().cast("array<variant>"))
 
 
@@ -30,13 +32,9 @@ def text(value: Column) -> Column:
     return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")).otherwise("")
 
 
-def ids(claims: Column, prop: str) -> Column:
-    """The ids of all entities that a property names, in order, repeats kept."""
-    return F.filter(F.transform(values(claims, prop), lambda v: F.try_variant_get(v, "$.id", "string")), lambda i: F.coalesce(i != "", F.lit(False)))
-
-
-def first(claims: Column, prop: str) -> Column:
-    return F.get(values(claims, prop), 0)
+def ids(found: Column) -> Column:
+    """The ids of all entities among a property's values, in order, repeats kept."""
+    return F.filter(F.transform(found, lambda v: F.try_variant_get(v, "$.id", "string")), lambda i: F.coalesce(i != "", F.lit(False)))
 
 
 def year(value: Column) -> Column:
@@ -49,15 +47,18 @@ def facts(entities: DataFrame, *, key: str = "qid", json_col: str = "claims") ->
 
     country_id is the first that is named, district_id only what the first statement names.
     """
-    c = parsed(F.col(json_col))
-    some = {name: text(first(c, prop)) for name, prop in (("website", WEBSITE), ("record_id", RECORD_ID), ("postal_code", POSTAL_CODE))}
-    return entities.select(
+    read = (INSTANCE_OF, COUNTRY, DISTRICT, FOUNDED, DISSOLVED, WEBSITE, RECORD_ID, POSTAL_CODE)
+    # each step is a projection of its own, so that the text is parsed once and each property read once
+    found = entities.select(key, parsed(F.col(json_col)).alias("_claims")).select(key, *[values(F.col("_claims"), prop).alias(f"_{prop}") for prop in read])
+    first = lambda prop: F.get(f"_{prop}", 0)
+    some = {name: text(first(prop)) for name, prop in (("website", WEBSITE), ("record_id", RECORD_ID), ("postal_code", POSTAL_CODE))}
+    return found.select(
         key,
-        ids(c, INSTANCE_OF).alias("type_ids"),
-        F.get(ids(c, COUNTRY), 0).alias("country_id"),
-        F.nullif(F.try_variant_get(first(c, DISTRICT), "$.id", "string"), F.lit("")).alias("district_id"),
-        (F.size(values(c, DISSOLVED)) > 0).alias("dissolved"),
-        year(first(c, FOUNDED)).alias("founded"),
+        ids(F.col(f"_{INSTANCE_OF}")).alias("type_ids"),
+        F.get(ids(F.col(f"_{COUNTRY}")), 0).alias("country_id"),
+        F.nullif(F.try_variant_get(first(DISTRICT), "$.id", "string"), F.lit("")).alias("district_id"),
+        (F.size(f"_{DISSOLVED}") > 0).alias("dissolved"),
+        year(first(FOUNDED)).alias("founded"),
         *[F.coalesce(v, F.lit("")).alias(name) for name, v in some.items()],
     )
 
@@ -88,7 +89,9 @@ def enrich(records: DataFrame, entities: DataFrame, labels: DataFrame, *, key: s
 
     An entity that is there twice counts once, whichever comes; records that share one get the same.
     """
-    got = labelled(facts(entities.where(F.col(key).isNotNull()).dropDuplicates([key]), key=key, json_col=json_col), labels, key=key)
+    # the claims' text goes no further than the task that reads it: what is shuffled is its facts, and the cut table serves both phases
+    found = cut(facts(entities.where(F.col(key).isNotNull()), key=key, json_col=json_col).dropDuplicates([key]))
+    got = labelled(found, labels, key=key)
     got = got.drop("type_ids", "country_id", "district_id")
     text_columns = ["country", "school_district", "founded", "website", "record_id", "postal_code"]
     out = records.join(got, key, "left").na.fill("", text_columns).na.fill(False, ["dissolved"])

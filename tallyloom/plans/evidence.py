@@ -49,8 +49,8 @@ o_orderkey % 11 <> 0 AND o_orderstatus = 'F' AS dissolved, CASE WHEN o_orderkey
 CASE WHEN o_orderkey % 11 <> 0 AND o_orderkey % 3 = 0 THEN 'http://s' || o_orderkey ELSE '' END AS website, CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE CAST(o_orderkey AS VARCHAR) END AS record_id, '' AS postal_code
 FROM orders LEFT JOIN l ON l_orderkey = o_orderkey LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey""")
 def claim_labels(t: Tables) -> DataFrame:
-    entities = _entities(t)
-    return C.enrich(entities.select("qid"), entities, _labels(t))
+    every = t.orders.select(F.concat(F.lit("E"), F.col("o_orderkey").cast("string")).alias("qid"))
+    return C.enrich(every, _entities(t), _labels(t))
 
 
 TAG = "CASE event_type WHEN 'view' THEN '' WHEN 'click' THEN 'unverified' ELSE event_type END"
