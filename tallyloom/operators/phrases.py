@@ -49,6 +49,7 @@ def counter(own: list[str]):  # noqa: ANN201
         for b in batches:
             for text in b["text"] if own else ():
                 n.update(occurrences(automaton, text))
-        yield pd.DataFrame({"phrase": list(n), "n": list(n.values())}).astype({"n": "int64"})
+        if n:  # the columns of an empty frame would have no type
+            yield pd.DataFrame({"phrase": list(n), "n": list(n.values())}).astype({"n": "int64"})
 
     return run

@@ -130,3 +130,12 @@ def test_phrases_in_one_pass(spark):
     want = {x: n for x in asked if x and (n := sum(t.count(x) for t in texts if t))}
     for group in (100, 2):
         assert {r.phrase: r.n for r in phrases.count_phrases(d, p, group=group).collect()} == want
+
+
+def test_phrases_in_parts_without_any(spark):
+    """Parts whose texts hold no phrase, or that have no text, send nothing."""
+    d = spark.createDataFrame([("red sun",), ("blue moon",), (None,)], "text string")
+    d = d.where("text = 'red sun'").coalesce(1).union(d.where("text is null or text = 'blue moon'").coalesce(1)).union(d.where("text = 'none'").coalesce(1))
+    p = spark.createDataFrame([("red",)], "phrase string")
+    assert [tuple(r) for r in phrases.count_phrases(d, p).collect()] == [("red", 1)]
+    assert phrases.count_phrases(d, p.where("phrase = ''")).collect() == []
