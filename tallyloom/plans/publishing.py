@@ -209,8 +209,7 @@ m AS (SELECT k, CAST(k AS VARCHAR) AS record_id, 'id' AS method FROM p WHERE k %
 SELECT record_id, CAST(k AS INTEGER) AS article_id, method, CAST(0 AS BIGINT) AS n_losers FROM m""")
 def waterfall_exact(t: Tables) -> DataFrame:
     """What the tiers of ids and of equal names link, one article for each record."""
-    found = M.match(*match_sides(t)).where(F.col("method").isin("id", "id_stale", "name_state"))
-    return M.resolve_claims(found, F.lit(0)).select("record_id", "article_id", "method", "n_losers")
+    return M.resolve_claims(M.match(*match_sides(t), last="name_state"), F.lit(0)).select("record_id", "article_id", "method", "n_losers")
 
 
 @query(f"""WITH d AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'no' ELSE 'yes' END AS o, c_nationkey % 3 = 0 AS known FROM customer) SELECT c_custkey, CASE WHEN o = 'no' THEN 'not_operating' WHEN NOT known THEN 'no_state' ELSE 'no_record_or_variant_name' END AS reason FROM d""")

@@ -129,3 +129,14 @@ def test_similar_names_meet_by_kinds(spark, monkeypatch):
     out = {x.article_id: (x.record_id, x.method) for x in M.match(*alike(spark, "Oak Hill School", "Oak Hill Academy")).collect()}
     assert out == {i: ({0: "0002", 1: "0001"}[i % 4], "fuzzy") for i in range(600) if i % 4 < 2}
     assert seen == [0, 1]
+
+
+def test_no_tier_runs_after_the_last(spark, monkeypatch):
+    """Earlier tiers link what they link in a whole run, and the tiers of similar names and places, by far the longest, aren't begun."""
+    a, r = alike(spark, "Oak Hill School", "Oak Hill School")
+    want = sorted(tuple(x) for x in M.match(a, r).where("method = 'name_state'").collect())
+    later = []
+    for tier in ("by_similar_name", "by_place"):
+        monkeypatch.setattr(M, tier, lambda *_: later.append(1))
+    assert sorted(tuple(x) for x in M.match(a, r, last="name_state").collect()) == want and len(want) == 300
+    assert later == []
