@@ -55,11 +55,21 @@ def has_markup(c: Column) -> Column:
     return c.rlike(r"\{\{|\}\}|\[\[|\]\]|\[[0-9]+\]")
 
 
+#: What words and spaces are made of, in any language.
+WORD, SPACE = r"\p{L}\p{N}\p{M}_", r"\s\p{Z}\x1c-\x1f\x85"
+
+
 def closed_opening(c: Column, *, any_case: bool = False) -> Column:
-    """The first sentence (of the first 300 characters) says was/were a ..., and no is/are a .... any_case: capitals don't matter."""
-    first = F.substring(replace_all(F.coalesce(c, F.lit("")), [(r"\b([A-Z][a-z]{0,2})\.", "$1")]), 1, 300)
-    flag = "(?i)" if any_case else ""
-    past, now = (rf"{flag}^[^.]{{0,200}}?\b({verb})\s+(a|an|the)\b" for verb in ("was|were", "is|are"))
+    """The first sentence (of the first 300 characters) says was/were a ..., and no is/are a .... any_case: capitals don't matter.
+
+    With any_case words end where letters, digits and marks of any language end, whatever the Java version takes for a border, and any space counts.
+    """
+    short = rf"(?<![{WORD}])([A-Z][a-z]{{0,2}})\." if any_case else r"\b([A-Z][a-z]{0,2})\."
+    first = F.substring(replace_all(F.coalesce(c, F.lit("")), [(short, "$1")]), 1, 300)
+    if any_case:
+        past, now = (rf"(?i)^(?:[^.]{{0,199}}[^.{WORD}])?(?:{verb})[{SPACE}]+(?:a|an|the)(?:[^{WORD}]|$)" for verb in ("wa[sſ]|were", "i[sſ]|are"))
+    else:
+        past, now = (rf"^[^.]{{0,200}}?\b({verb})\s+(a|an|the)\b" for verb in ("was|were", "is|are"))
     return first.rlike(past) & ~first.rlike(now)
 
 

@@ -1,6 +1,10 @@
+import duckdb
 from pyspark.sql import functions as F
 
+from tallyloom.functions import text as X
 from tallyloom.operators import build as B
+from tallyloom.plans.civic import CLOSED, OPENING
+from tallyloom.plans.registry import ORACLES
 
 
 def test_count_text(spark):
@@ -63,3 +67,23 @@ def test_gate_sees_no_text_of_closed_schools(spark):
     spans = spark.createDataFrame([(i, ["high"]) for i in range(4)], "id int, span_levels array<string>")
     report = {r.check: r for r in B.release_gate(_opened(spark), spans).collect()}
     assert (report["no_markup"].n_bad, report["no_markup"].examples) == (2, ["2", "3"])
+
+
+def test_openings_of_any_language_in_spark_and_sql(spark):
+    """Accented letters belong to words, and any space parts them, for the operator and for the SQL of release_rows and release_gate."""
+    said = {
+        "It was a school": True, "It WAS\u00a0a school": True, "It was\x0ba school": True, "It waſ a school": True, "Oak Jr. Hall was the school": True, "A.B.C. was a school": True, "It was a": True, "école. It was a school": False,
+        "It was añejo": False, "It était was aérien": False, "Éwas a school": False, "PROGRÈS. It was a school": False, "It was a school and ís a ruin": True, "It was a school and is\u2003a ruin": False, ("x" * 199) + " was a school": True, ("x" * 200) + " was a school": False,
+    }
+    d = spark.createDataFrame([(x,) for x in said], "page_text string")
+    assert {r[0]: r[1] for r in d.select("page_text", X.closed_opening(F.col("page_text"), any_case=True)).collect()} == said
+    values = ", ".join("(?)" for _ in said)
+    rows = duckdb.execute(f"SELECT page_text, {CLOSED} FROM (SELECT *, {OPENING} AS o FROM (VALUES {values}) t(page_text))", [*said]).fetchall()
+    assert dict(rows) == said
+
+
+def test_gate_counts_are_longs_in_sql_too():
+    """A HUGEINT would be written as a double."""
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents AS SELECT 1::BIGINT AS doc_id, 'It was a school.' AS text; CREATE TABLE labels AS SELECT 1::BIGINT AS doc_id")
+    assert [(r[0], r[1]) for r in db.execute(f"DESCRIBE {ORACLES['release_gate']}").fetchall()] == [("check", "VARCHAR"), ("ok", "BOOLEAN"), ("n_bad", "BIGINT"), ("n_examples", "BIGINT")]
